@@ -50,8 +50,13 @@ def tidy(c) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+# Printable ASCII without backslash and with single inner blanks is clean already.
+PLAIN = r"^[!-\[\]-~]+(?: [!-\[\]-~]+)*\z"
+
+
 def clean_text(c) -> Column:
-    return tidy(nfkc(c))
+    c = F.coalesce(col(c).cast("string"), F.lit(""))
+    return F.when(c.rlike(PLAIN), c).otherwise(tidy(nfkc(c)))
 
 
 def compact_text(c) -> Column:
@@ -81,10 +86,10 @@ def normal_form(c, digit_fix=False, numeric=False) -> Column:
     c = F.replace(c, F.lit("KWH/YEAR"), F.lit("KWH"))
     c = F.regexp_replace(c, r"(?U)\bLITERS?\b", "L")
     c = F.btrim(F.regexp_replace(c, SPACE + "+", ""), F.lit(":："))
+    if numeric is False:
+        return c
     bare = F.regexp_replace(c, r"(?U)(?<=\d)\.0+(?=\D|$)", "")
-    if isinstance(numeric, Column):
-        return F.when(numeric, bare).otherwise(c)
-    return bare if numeric else c
+    return F.when(F.lit(numeric), bare).otherwise(c)
 
 
 def tidy_candidate(c) -> Column:

@@ -1,7 +1,7 @@
 """Comparison: specification against label, label against baseline label.
 
-Labels are rows ``(case_id, label_no, label_file, vals, norms)`` with
-``label_no`` dense from 1 within the case; drawings ``(case_id, vals, norms)``.
+Labels are rows ``(case_id, label_no, label_file)`` with a record (see records)
+and ``label_no`` dense from 1 within the case; drawings ``(case_id)`` with one.
 """
 
 from __future__ import annotations
@@ -51,15 +51,18 @@ def verdict_of_severity(level) -> Column:
     return F.when(level == 2, "FAIL").when(level == 1, "REVIEW").when(level == 0, "PASS")
 
 
-def _pairs(a_vals, a_norms, b_vals, b_norms) -> Column:
-    """Zip two records into (field_ord, a, b, a_norm, b_norm)."""
-    return F.transform(T.col(a_vals), lambda a, i: F.struct(
-        i.alias("field_ord"), a.alias("a"), F.get(b_vals, i).alias("b"),
-        F.get(a_norms, i).alias("a_norm"), F.get(b_norms, i).alias("b_norm")))
+def _statuses(ords, a: str, b: str, a_missing: str, b_missing: str) -> Column:
+    """(field_ord, a, b, a_norm, b_norm, status) of two records at the given positions.
 
-
-def _with_status(pairs, a_missing: str, b_missing: str) -> Column:
-    return F.transform(pairs, lambda p: F.struct(
+    ``a`` and ``b`` are the column prefixes of the two records.
+    """
+    def pair(o):
+        return F.struct(o.alias("field_ord"),
+                        R.value_at(f"{a}ords", f"{a}vals", o).alias("a"),
+                        R.value_at(f"{b}ords", f"{b}vals", o).alias("b"),
+                        R.value_at(f"{a}ords", f"{a}norms", o).alias("a_norm"),
+                        R.value_at(f"{b}ords", f"{b}norms", o).alias("b_norm"))
+    return F.transform(F.transform(ords, pair), lambda p: F.struct(
         p["field_ord"].alias("field_ord"), p["a"].alias("a"), p["b"].alias("b"),
         p["a_norm"].alias("a_norm"), p["b_norm"].alias("b_norm"),
         field_status(p["a"], p["b"], p["a_norm"], p["b_norm"], a_missing, b_missing)
@@ -78,16 +81,21 @@ def with_counts(df: DataFrame, rows: str = "cmp") -> DataFrame:
               .withColumn("verdict", verdict_of("n_fail", "n_unknown")))
 
 
-def compare_records(df: DataFrame, cat: Catalogue, drawing: tuple[str, str],
-                    label: tuple[str, str], out: str = "cmp") -> DataFrame:
+def compare_records(df: DataFrame, cat: Catalogue, drawing: str = "drawing_", label: str = "",
+                    out: str = "cmp") -> DataFrame:
     """Compare the two records of each row: fields filled on either side, else the defaults."""
-    pairs = _pairs(F.col(drawing[0]), F.col(drawing[1]), F.col(label[0]), F.col(label[1]))
-    used = F.filter(pairs, lambda p: (p["a"] != "") | (p["b"] != ""))
-    rows = F.when(F.size(used) > 0, used).otherwise(F.slice(pairs, 1, cat.default_count))
-    return df.withColumn(out, _with_status(rows, "drawing_missing", "label_missing"))
+    used = F.array_sort(F.array_union(f"{drawing}ords", f"{label}ords"))
+    ords = T.let(used, lambda u: R.shown_ords(u, cat))
+    return df.withColumn(out, _statuses(ords, drawing, label, "drawing_missing", "label_missing"))
+
+
+def prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    for c in R.RECORD:
+        df = df.withColumnRenamed(c, prefix + c)
+    return df
 
 
-def join_drawing(labels: DataFrame, drawings: DataFrame, cat: Catalogue) -> DataFrame:
+def join_drawing(labels: DataFrame, drawings: DataFrame) -> DataFrame:
     """Every label with its case's drawing; a case without one gets the empty record.
 
     The drawing is repeated per block of label numbers, so a case holding a large
@@ -95,21 +103,17 @@ def join_drawing(labels: DataFrame, drawings: DataFrame, cat: Catalogue) -> Data
     """
     extent = labels.groupBy("case_id").agg(F.max("label_no").alias("_last"))
     spread = spread_over_blocks(
-        drawings.withColumnRenamed("vals", "drawing_vals")
-                .withColumnRenamed("norms", "drawing_norms")
-                .join(extent, "case_id"), "_last").drop("_last")
-    none = R.empty_record(cat)
+        prefixed(drawings, "drawing_").join(extent, "case_id"), "_last").drop("_last")
     return (labels.withColumn("_block", by_label_block("label_no"))
             .join(spread, ["case_id", "_block"], "left").drop("_block")
-            .withColumn("drawing_vals", F.coalesce("drawing_vals", none))
-            .withColumn("drawing_norms", F.coalesce("drawing_norms", none)))
+            .withColumn("drawing_ords", F.coalesce("drawing_ords", R.no_ords()))
+            .withColumn("drawing_vals", F.coalesce("drawing_vals", R.no_strings()))
+            .withColumn("drawing_norms", F.coalesce("drawing_norms", R.no_strings())))
 
 
 def compare_to_drawing(labels: DataFrame, drawings: DataFrame, cat: Catalogue) -> DataFrame:
     """One row per label: nested comparison ``cmp``, counts and verdict."""
-    joined = join_drawing(labels, drawings, cat)
-    compared = compare_records(joined, cat, ("drawing_vals", "drawing_norms"), ("vals", "norms"))
-    return with_counts(compared)
+    return with_counts(compare_records(join_drawing(labels, drawings), cat))
 
 
 def field_comparison(compared: DataFrame, keys: list[str], cat: Catalogue) -> DataFrame:
@@ -135,7 +139,8 @@ def case_context(labels: DataFrame, cat: Catalogue) -> DataFrame:
     """Per case: label count, last label number, fields filled by any label."""
     return labels.groupBy("case_id").agg(
         F.count("*").alias("n_labels"), F.max("label_no").alias("last_label_no"),
-        R.any_filled("vals", cat).alias("active"))
+        R.any_filled(cat).alias("_words")
+    ).withColumn("active", R.active_ords("_words", cat)).drop("_words")
 
 
 def with_case_context(labels: DataFrame, context: DataFrame) -> DataFrame:
@@ -154,9 +159,8 @@ def compare_to_baseline(labels: DataFrame, cat: Catalogue, baseline_no: int = 1,
     by ``baseline_violations``.
     """
     context = case_context(labels, cat)
-    baseline = labels.filter(F.col("label_no") == baseline_no).select(
-        "case_id", F.col("label_file").alias("baseline_file"),
-        F.col("vals").alias("baseline_vals"), F.col("norms").alias("baseline_norms"))
+    baseline = prefixed(labels.filter(F.col("label_no") == baseline_no).select(
+        "case_id", F.col("label_file").alias("baseline_file"), *R.RECORD), "baseline_")
     context = context.join(baseline, "case_id", "left" if strict else "inner")
     if strict:
         context = context.withColumn("baseline_vals", F.when(
@@ -165,10 +169,8 @@ def compare_to_baseline(labels: DataFrame, cat: Catalogue, baseline_no: int = 1,
                                    F.col("case_id").cast("string"))).cast("array<string>"))
             .otherwise(F.col("baseline_vals")))
     joined = with_case_context(labels, context)
-    pairs = F.filter(_pairs(F.col("baseline_vals"), F.col("baseline_norms"),
-                            F.col("vals"), F.col("norms")),
-                     lambda p: R.is_active("active", p["field_ord"], cat))
-    compared = joined.withColumn("cmp", _with_status(pairs, "baseline_missing", "target_missing"))
+    compared = joined.withColumn("cmp", _statuses(
+        F.col("active"), "baseline_", "", "baseline_missing", "target_missing"))
     return with_counts(compared.withColumn("is_baseline", F.col("label_no") == baseline_no))
 
 

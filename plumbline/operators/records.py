@@ -1,9 +1,10 @@
 """Field records.
 
-A record holds one document's field values as ``vals``: an array with one string
-per catalogue field, '' where absent, already cleaned. ``norms`` is the array of
-comparison forms. Both are made once per document, before any join, so a
-comparison is row-local work on two short arrays.
+A record holds one document's filled fields as three parallel arrays in catalogue
+order: ``ords`` (field positions), ``vals`` (cleaned values, never '') and
+``norms`` (comparison forms, which may be ''). They are made once per document,
+before any join, so a comparison is row-local work on short arrays and a shuffled
+record costs only what it holds.
 """
 
 from __future__ import annotations
@@ -14,66 +15,83 @@ from plumbline.catalogue import Catalogue
 from plumbline.functions import lookup, text as T
 
 
+RECORD = ["ords", "vals", "norms"]
+
+
 def ids_array(cat: Catalogue) -> Column:
     return F.array(*[F.lit(i) for i in cat.ids])
 
 
-def empty_record(cat: Catalogue) -> Column:
-    return F.array_repeat(F.lit(""), len(cat))
+def no_strings() -> Column:
+    return F.array().cast("array<string>")
 
 
-def clean_vals(vals) -> Column:
-    return F.transform(T.col(vals), lambda v: F.when(F.coalesce(v, F.lit("")) != "",
-                                                     T.clean_text(v)).otherwise(F.lit("")))
+def no_ords() -> Column:
+    return F.array().cast("array<int>")
 
 
-def vals_from_map(fields, cat: Catalogue) -> Column:
-    fields = T.col(fields)
-    return clean_vals(F.transform(ids_array(cat), lambda i: F.try_element_at(fields, i)))
+def norm_at(value, position, cat: Catalogue) -> Column:
+    """Comparison form of a value by the rule of its field."""
+    fix = F.array(*[F.lit(f.digit_fix) for f in cat.fields])
+    numeric = F.array(*[F.lit(f.numeric) for f in cat.fields])
+    return T.normal_form(value, F.get(fix, position), F.get(numeric, position))
 
 
-def vals_from_columns(columns: dict[str, Column], cat: Catalogue) -> Column:
-    return clean_vals(F.array(*[columns.get(i, F.lit("")) for i in cat.ids]))
+def with_record(df: DataFrame, by_position, cat: Catalogue, cleaned: bool = False) -> DataFrame:
+    """Add a record from an array with one (maybe empty) value per catalogue field."""
+    def value(v):
+        return v if cleaned else F.when(F.coalesce(v, F.lit("")) != "", T.clean_text(v)).otherwise("")
+    return (df.withColumn("_all", F.transform(T.col(by_position), value))
+              .withColumn("ords", F.filter(F.sequence(F.lit(0), F.lit(len(cat) - 1)),
+                                           lambda i: F.get("_all", i) != ""))
+              .withColumn("vals", F.filter("_all", lambda v: v != ""))
+              .withColumn("norms", F.transform("vals", lambda v, i: norm_at(
+                  v, F.get("ords", i), cat)))
+              .drop("_all"))
 
 
-def norms_of(vals, cat: Catalogue) -> Column:
-    fix = F.array(*[F.lit(f.digit_fix) for f in cat.fields])
-    numeric = F.array(*[F.lit(f.numeric) for f in cat.fields])
-    return F.transform(T.col(vals), lambda v, i: F.when(
-        v != "", T.normal_form(v, F.get(fix, i), F.get(numeric, i))).otherwise(v))
+def record_from_map(df: DataFrame, fields: str, cat: Catalogue) -> DataFrame:
+    """Record of a MAP<field id, value>."""
+    return with_record(df, F.transform(ids_array(cat), lambda i: F.try_element_at(F.col(fields), i)), cat)
 
 
-def with_norms(df: DataFrame, cat: Catalogue) -> DataFrame:
-    return df.withColumn("norms", norms_of("vals", cat))
+def record_from_columns(df: DataFrame, columns: dict[str, Column], cat: Catalogue) -> DataFrame:
+    return with_record(df, F.array(*[columns.get(i, F.lit("")) for i in cat.ids]), cat)
 
 
-def to_map(vals, cat: Catalogue) -> Column:
-    """Filled fields as MAP<field id, value>."""
-    return F.map_filter(F.map_from_arrays(ids_array(cat), T.col(vals)), lambda k, v: v != "")
+def value_at(ords, values, position) -> Column:
+    """Value of a field in parallel arrays, '' where absent."""
+    return F.coalesce(F.get(T.col(values), F.array_position(T.col(ords), position).cast("int") - 1),
+                      F.lit(""))
 
 
-def n_filled(vals) -> Column:
-    return F.size(F.filter(T.col(vals), lambda v: v != ""))
+def names_of(ords, cat: Catalogue) -> Column:
+    ids = ids_array(cat)
+    return F.transform(T.col(ords), lambda o: F.get(ids, o))
 
 
-def filled_names(vals, cat: Catalogue) -> Column:
-    """Ids of the filled fields in catalogue order."""
-    vals = T.col(vals)
-    return F.filter(ids_array(cat), lambda name, i: F.get(vals, i) != "")
+def to_map(ords, vals, cat: Catalogue) -> Column:
+    """Filled fields as MAP<field id, value>."""
+    return F.map_from_arrays(names_of(ords, cat), T.col(vals))
+
 
+def n_filled() -> Column:
+    return F.size("ords").cast("long")
 
-def missing_names(vals, cat: Catalogue, required_only: bool = True) -> Column:
-    """Ids of the unfilled (required) fields in catalogue order."""
-    vals = T.col(vals)
-    wanted = F.array(*[F.lit(f.required or not required_only) for f in cat.fields])
-    return F.filter(ids_array(cat), lambda name, i: (F.get(vals, i) == "") & F.get(wanted, i))
 
+def missing_ords(cat: Catalogue, required_only: bool = True) -> Column:
+    """Positions of the unfilled (required) fields in catalogue order."""
+    wanted = F.array(*[F.lit(i) for i, f in enumerate(cat.fields) if f.required or not required_only])
+    return F.filter(wanted, lambda o: ~F.array_contains("ords", o))
 
-def to_long(df: DataFrame, keys: list[str], cat: Catalogue, only_filled: bool = True) -> DataFrame:
-    out = (df.select(*keys, F.posexplode("vals").alias("field_ord", "value")))
-    if only_filled:
-        out = out.filter(F.col("value") != "")
-    return out.withColumn("field_name", lookup.field_name_at("field_ord", cat))
+
+def to_long(df: DataFrame, keys: list[str], cat: Catalogue) -> DataFrame:
+    """One row per filled field."""
+    rows = F.arrays_zip("ords", "vals", "norms")
+    return (df.select(*keys, F.explode(rows).alias("_r"))
+              .select(*keys, F.col("_r.ords").alias("field_ord"),
+                      lookup.field_name_at("_r.ords", cat).alias("field_name"),
+                      F.col("_r.vals").alias("value"), F.col("_r.norms").alias("norm")))
 
 
 def from_long(df: DataFrame, keys: list[str], cat: Catalogue) -> DataFrame:
@@ -81,19 +99,25 @@ def from_long(df: DataFrame, keys: list[str], cat: Catalogue) -> DataFrame:
     one = df.groupBy(*keys, "field_name").agg(F.min("value").alias("value"))
     held = one.groupBy(*keys).agg(F.map_from_entries(
         F.collect_list(F.struct("field_name", "value"))).alias("_m"))
-    return held.withColumn("vals", vals_from_map("_m", cat)).drop("_m")
+    return record_from_map(held, "_m", cat).drop("_m")
+
+
+def shown_ords(ords, cat: Catalogue) -> Column:
+    """The given positions, or the default ones if there are none."""
+    ords = T.col(ords)
+    return F.when(F.size(ords) > 0, ords).otherwise(
+        F.array(*[F.lit(i) for i in range(min(cat.default_count, len(cat)))]))
 
 
 def field_table(df: DataFrame, keys: list[str], cat: Catalogue, all_fields: bool = False) -> DataFrame:
     """(field, value, recognised) rows: filled fields, else the default ones."""
-    vals = F.col("vals")
-    rows = F.transform(vals, lambda v, i: F.struct(i.alias("field_ord"), v.alias("value")))
-    if not all_fields:
-        filled = F.filter(rows, lambda r: r["value"] != "")
-        rows = F.when(F.size(filled) > 0, filled).otherwise(F.slice(rows, 1, cat.default_count))
-    out = df.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.field_ord", "_r.value")
-    return (out.withColumn("field_name", lookup.field_name_at("field_ord", cat))
-               .withColumn("recognised", T.recognised("value")))
+    every = F.sequence(F.lit(0), F.lit(len(cat) - 1))
+    shown = every if all_fields else shown_ords("ords", cat)
+    return (df.select(*keys, "ords", "vals", F.explode(shown).alias("field_ord"))
+              .withColumn("value", value_at("ords", "vals", F.col("field_ord")))
+              .withColumn("field_name", lookup.field_name_at("field_ord", cat))
+              .withColumn("recognised", T.recognised("value"))
+              .drop("ords", "vals"))
 
 
 # --- which fields does any record of a group fill? -----------------------------
@@ -103,33 +127,23 @@ def field_table(df: DataFrame, keys: list[str], cat: Catalogue, all_fields: bool
 WORD_BITS = 62
 
 
-def fill_words(vals, cat: Catalogue) -> list[Column]:
-    vals = T.col(vals)
+def fill_words(cat: Catalogue) -> list[Column]:
     words = []
     for start in range(0, len(cat), WORD_BITS):
-        bits = [F.when(F.get(vals, F.lit(p)) != "", F.lit(1 << (p - start)).cast("long"))
-                .otherwise(F.lit(0).cast("long"))
-                for p in range(start, min(start + WORD_BITS, len(cat)))]
-        word = bits[0]
-        for b in bits[1:]:
-            word = word + b
-        words.append(word)
+        here = F.filter("ords", lambda o: (o >= start) & (o < start + WORD_BITS))
+        words.append(F.aggregate(here, F.lit(0).cast("long"), lambda w, o: w.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), o - start))))
     return words
 
 
-def any_filled(vals, cat: Catalogue) -> Column:
+def any_filled(cat: Catalogue) -> Column:
     """Aggregate: array of words saying which fields some record of the group fills."""
-    return F.array(*[F.bit_or(w) for w in fill_words(vals, cat)])
-
-
-def is_active(words, position, cat: Catalogue) -> Column:
-    """Is the field active in the group? With no filled field, the default ones are."""
-    words, position = T.col(words), T.col(position)
-    word = F.get(words, F.floor(position / F.lit(WORD_BITS)).cast("int"))
-    bit = F.bit_get(word, position % WORD_BITS) == 1
-    none = F.forall(words, lambda w: w == 0)
-    return F.when(none, position < cat.default_count).otherwise(bit)
+    return F.array(*[F.bit_or(w) for w in fill_words(cat)])
 
 
-def active_positions(words, cat: Catalogue) -> Column:
-    return F.filter(F.sequence(F.lit(0), F.lit(len(cat) - 1)), lambda i: is_active(words, i, cat))
+def active_ords(words, cat: Catalogue) -> Column:
+    """Positions set in the words; with none set, the default ones."""
+    words = T.col(words)
+    return T.let(F.filter(F.sequence(F.lit(0), F.lit(len(cat) - 1)), lambda i: F.bit_get(
+        F.get(words, F.floor(i / WORD_BITS).cast("int")), i % WORD_BITS) == 1),
+        lambda found: shown_ords(found, cat))

@@ -46,7 +46,7 @@ def verdict_counts(labels: DataFrame) -> DataFrame:
 def active_fields(labels: DataFrame, cat: Catalogue) -> DataFrame:
     """Fields some label of the case fills, in catalogue order; else the defaults."""
     return (C.case_context(labels, cat)
-            .select("case_id", F.explode(R.active_positions("active", cat)).alias("field_ord"))
+            .select("case_id", F.explode("active").alias("field_ord"))
             .withColumn("field_name", lookup.field_name_at("field_ord", cat)))
 
 
@@ -56,18 +56,15 @@ def inconsistent_fields(labels: DataFrame, cat: Catalogue) -> DataFrame:
     Only filled fields leave the label rows, pre-counted per value, so a case
     with very many labels costs one row per distinct value and task.
     """
-    filled = labels.select("case_id", F.explode(F.filter(
-        F.transform("vals", lambda v, i: F.struct(
-            i.alias("field_ord"), v.alias("v"), F.get(F.col("norms"), i).alias("norm"))),
-        lambda r: r["v"] != "")).alias("_f"))
-    per_value = filled.groupBy("case_id", "_f.field_ord", "_f.norm").agg(F.count("*").alias("n"))
+    per_value = R.to_long(labels, ["case_id"], cat).groupBy("case_id", "field_ord", "norm").agg(
+        F.count("*").alias("n"))
     has_norm = F.col("norm") != ""
     per_field = per_value.groupBy("case_id", "field_ord").agg(
         F.count_if(has_norm).alias("n_values"),
         F.coalesce(F.sum(F.when(has_norm, F.col("n"))), F.lit(0)).alias("n_present"))
     context = C.case_context(labels, cat).select("case_id", "n_labels", "active")
     grid = context.select("case_id", "n_labels",
-                          F.explode(R.active_positions("active", cat)).alias("field_ord"))
+                          F.explode("active").alias("field_ord"))
     both = (grid.join(per_field, ["case_id", "field_ord"], "left")
             .withColumn("n_values", F.coalesce("n_values", F.lit(0).cast("long")))
             .withColumn("n_missing", F.col("n_labels") - F.coalesce("n_present", F.lit(0))))
@@ -83,8 +80,7 @@ def missing_labels(labels: DataFrame, cat: Catalogue) -> DataFrame:
     """Numbers of the labels lacking an active field, joined in order (by block)."""
     joined = C.with_case_context(
         labels, C.case_context(labels, cat).select("case_id", "last_label_no", "active"))
-    lacking = F.filter(F.transform("norms", lambda n, i: F.when(n == "", i)),
-                       lambda i: i.isNotNull() & R.is_active("active", i, cat))
+    lacking = F.filter("active", lambda o: R.value_at("ords", "norms", o) == "")
     rows = joined.select("case_id", "label_no", F.explode(lacking).alias("field_ord"))
     return ordered_concat(rows, ["case_id", "field_ord"], "label_no", "label_no",
                           fv.LIST_SEPARATOR, "missing_labels")
@@ -109,14 +105,12 @@ def label_values(labels: DataFrame, cat: Catalogue, issues: DataFrame) -> DataFr
     wanted = issues.groupBy("case_id").agg(F.collect_set("field_ord").alias("_wanted"))
     context = labels.groupBy("case_id").agg(F.max("label_no").alias("last_label_no"))
     joined = C.with_case_context(labels, context.join(wanted, "case_id"))
-    cells = F.filter(F.transform("vals", lambda v, i: F.struct(
-        i.alias("field_ord"), v.alias("value"), F.get(F.col("norms"), i).alias("norm"))),
-        lambda r: F.array_contains("_wanted", r["field_ord"]))
-    cell = F.col("_c")
-    return (joined.select("case_id", "label_no", "label_file", F.explode(cells).alias("_c"))
+    return (joined.select("case_id", "label_no", "label_file", *R.RECORD,
+                          F.explode("_wanted").alias("field_ord"))
             .select("case_id", "label_no", "label_file",
-                    lookup.field_name_at(cell["field_ord"], cat).alias("field_name"),
-                    cell["value"].alias("value"), (cell["norm"] == "").alias("is_missing")))
+                    lookup.field_name_at("field_ord", cat).alias("field_name"),
+                    R.value_at("ords", "vals", F.col("field_ord")).alias("value"),
+                    (R.value_at("ords", "norms", F.col("field_ord")) == "").alias("is_missing")))
 
 
 def batch_overview(compared: DataFrame, summary: DataFrame, issues: DataFrame) -> DataFrame:

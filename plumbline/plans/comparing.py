@@ -138,7 +138,7 @@ def batch_overview(spark, sf):
 @query("field_unpivot", S.BASE + """
 SELECT case_id, label_no, lf.field_name, value FROM lf WHERE value <> ''""")
 def field_unpivot(spark, sf):
-    return R.to_long(derive.labels(spark, sf), ["case_id", "label_no"], CAT).drop("field_ord")
+    return R.to_long(derive.labels(spark, sf), ["case_id", "label_no"], CAT).drop("field_ord", "norm")
 
 
 @query("field_table", S.BASE + """
@@ -162,10 +162,10 @@ SELECT l.case_id, l.label_no, count(*) AS n_missing, string_agg(r.field_name, '
 FROM lab l CROSS JOIN rules r LEFT JOIN lf f ON f.case_id = l.case_id AND f.label_no = l.label_no AND f.ord = r.ord
 WHERE r.required AND coalesce(f.value, '') = '' GROUP BY ALL""")
 def missing_required(spark, sf):
-    names = R.missing_names("vals", CAT)
+    ords = R.missing_ords(CAT)
     return (derive.labels(spark, sf)
-            .select("case_id", "label_no", F.size(names).cast("long").alias("n_missing"),
-                    F.array_join(names, fv.LIST_SEPARATOR).alias("missing"))
+            .select("case_id", "label_no", F.size(ords).cast("long").alias("n_missing"),
+                    F.array_join(R.names_of(ords, CAT), fv.LIST_SEPARATOR).alias("missing"))
             .filter("n_missing > 0"))
 
 
@@ -175,7 +175,6 @@ SELECT case_id, label_no, count(*) AS n_fields, string_agg(lf.field_name, '、'
 def record_from_long(spark, sf):
     long = R.to_long(derive.labels(spark, sf), ["case_id", "label_no"], CAT)
     back = R.from_long(long, ["case_id", "label_no"], CAT)
-    return back.select("case_id", "label_no", R.n_filled("vals").cast("long").alias("n_fields"),
-                       F.array_join(R.filled_names("vals", CAT), fv.LIST_SEPARATOR).alias("fields"),
-                       F.array_join(F.filter("vals", lambda v: v != ""), fv.MESSAGE_SEPARATOR)
-                       .alias("field_values"))
+    return back.select("case_id", "label_no", R.n_filled().alias("n_fields"),
+                       F.array_join(R.names_of("ords", CAT), fv.LIST_SEPARATOR).alias("fields"),
+                       F.array_join("vals", fv.MESSAGE_SEPARATOR).alias("field_values"))

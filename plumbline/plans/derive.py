@@ -84,11 +84,10 @@ def label_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label records: case_id, label_no, label_file, h, vals, norms."""
-    vals = R.vals_from_columns({k: F.expr(v) for k, v in LABEL_FIELDS.items()}, APPLIANCE)
-    rows = label_source(spark, sf_dir).select(
-        "case_id", "label_no", "label_file", "h", vals.alias("vals"))
-    return R.with_norms(rows, APPLIANCE)
+    """Label records with case_id, label_no, label_file, h."""
+    rows = R.record_from_columns(label_source(spark, sf_dir),
+                                 {k: F.expr(v) for k, v in LABEL_FIELDS.items()}, APPLIANCE)
+    return rows.select("case_id", "label_no", "label_file", "h", *R.RECORD)
 
 
 def drawing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,12 +95,11 @@ def drawing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawing records: case_id, drawing_file, vals, norms."""
-    vals = R.vals_from_columns({k: F.expr(v) for k, v in DRAWING_FIELDS.items()}, APPLIANCE)
-    rows = drawing_source(spark, sf_dir).select(
-        "case_id", F.concat(F.lit("drawing_"), F.col("case_id").cast("string"), F.lit(".pdf"))
-        .alias("drawing_file"), vals.alias("vals"))
-    return R.with_norms(rows, APPLIANCE)
+    """Drawing records with case_id, drawing_file."""
+    rows = R.record_from_columns(drawing_source(spark, sf_dir),
+                                 {k: F.expr(v) for k, v in DRAWING_FIELDS.items()}, APPLIANCE)
+    file = F.concat(F.lit("drawing_"), F.col("case_id").cast("string"), F.lit(".pdf"))
+    return rows.select("case_id", file.alias("drawing_file"), *R.RECORD)
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
