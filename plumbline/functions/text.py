@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fv
 
@@ -34,6 +34,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fence(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column through a one-row generator.
+
+    A later filter on something made from the column then runs on its value
+    instead of being rewritten into (many copies of) its definition.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def strip(c) -> Column:
     return F.btrim(col(c), F.lit(SPACE_CHARS))
 
@@ -50,13 +59,13 @@ def tidy(c) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
-# Printable ASCII without backslash and with single inner blanks is clean already.
-PLAIN = r"^[!-\[\]-~]+(?: [!-\[\]-~]+)*\z"
+# Printable ASCII without a backslash and with single inner blanks is clean already.
+UNPLAIN = r"[^ -\[\]-~]|  |^ | \z"
 
 
 def clean_text(c) -> Column:
     c = F.coalesce(col(c).cast("string"), F.lit(""))
-    return F.when(c.rlike(PLAIN), c).otherwise(tidy(nfkc(c)))
+    return F.when(c.rlike(UNPLAIN), tidy(nfkc(c))).otherwise(c)
 
 
 def compact_text(c) -> Column:

@@ -86,7 +86,7 @@ def compare_records(df: DataFrame, cat: Catalogue, drawing: str = "drawing_", la
     """Compare the two records of each row: fields filled on either side, else the defaults."""
     used = F.array_sort(F.array_union(f"{drawing}ords", f"{label}ords"))
     ords = T.let(used, lambda u: R.shown_ords(u, cat))
-    return df.withColumn(out, _statuses(ords, drawing, label, "drawing_missing", "label_missing"))
+    return T.fence(df, out, _statuses(ords, drawing, label, "drawing_missing", "label_missing"))
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -169,7 +169,7 @@ def compare_to_baseline(labels: DataFrame, cat: Catalogue, baseline_no: int = 1,
                                    F.col("case_id").cast("string"))).cast("array<string>"))
             .otherwise(F.col("baseline_vals")))
     joined = with_case_context(labels, context)
-    compared = joined.withColumn("cmp", _statuses(
+    compared = T.fence(joined, "cmp", _statuses(
         F.col("active"), "baseline_", "", "baseline_missing", "target_missing"))
     return with_counts(compared.withColumn("is_baseline", F.col("label_no") == baseline_no))
 
