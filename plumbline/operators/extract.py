@@ -202,11 +202,15 @@ def _backfill(by_position: Column, cat: Catalogue) -> Column:
          .when((v == "") & (i == b), F.get(vals, F.lit(a))).otherwise(v))))
 
 
-def record_from_hits(df: DataFrame, cat: Catalogue, hits: str = "hits") -> DataFrame:
-    hit = F.col(hits)
+def by_position(hits: Column, cat: Catalogue) -> Column:
+    """Array with each field's hit value, '' where there is none."""
     every = F.sequence(F.lit(0), F.lit(len(cat) - 1))
-    by_position = F.transform(every, lambda i: R.value_at(hit["ord"], hit["value"], i))
-    return R.with_record(df, _backfill(by_position, cat), cat, cleaned=True)
+    both = F.struct(hits["ord"].alias("ords"), hits["value"].alias("vals"))
+    return T.let(both, lambda h: F.transform(every, lambda i: R.value_at(h["ords"], h["vals"], i)))
+
+
+def record_from_hits(df: DataFrame, cat: Catalogue, hits: str = "hits") -> DataFrame:
+    return R.with_record(df, _backfill(by_position(F.col(hits), cat), cat), cat, cleaned=True)
 
 
 def extract_fields(df: DataFrame, cat: Catalogue = APPLIANCE, text: str = "text") -> DataFrame:
@@ -281,8 +285,5 @@ def extract_six_fields(df: DataFrame, cat: Catalogue, text: str = "text") -> Dat
     same = F.flatten(F.transform(lines, lambda s: _words_on_line(s, table, _SIX_AFTER_WORD, 2)))
     hits = F.filter(F.concat(near, same), lambda h: h["value"].isNotNull())
     out = T.fence(out, "hits", first_hits(hits))
-    hit = F.col("hits")
-    every = F.sequence(F.lit(0), F.lit(len(cat) - 1))
-    by_position = F.transform(every, lambda i: R.value_at(hit["ord"], hit["value"], i))
-    return (R.with_record(out, by_position, cat, cleaned=True)
+    return (R.with_record(out, by_position(F.col("hits"), cat), cat, cleaned=True)
              .drop("_lines", "_keyed", "hits"))

@@ -41,13 +41,20 @@ def with_record(df: DataFrame, by_position, cat: Catalogue, cleaned: bool = Fals
     """Add a record from an array with one (maybe empty) value per catalogue field."""
     def value(v):
         return v if cleaned else F.when(F.coalesce(v, F.lit("")) != "", T.clean_text(v)).otherwise("")
-    return (df.withColumn("_all", F.transform(T.col(by_position), value))
-              .withColumn("ords", F.filter(F.sequence(F.lit(0), F.lit(len(cat) - 1)),
-                                           lambda i: F.get("_all", i) != ""))
-              .withColumn("vals", F.filter("_all", lambda v: v != ""))
-              .withColumn("norms", F.transform("vals", lambda v, i: norm_at(
-                  v, F.get("ords", i), cat)))
-              .drop("_all"))
+
+    def filled(every):
+        return F.struct(
+            F.filter(F.sequence(F.lit(0), F.lit(len(cat) - 1)),
+                     lambda i: F.get(every, i) != "").alias("ords"),
+            F.filter(every, lambda v: v != "").alias("vals"))
+
+    def record(r):
+        norms = F.transform(r["vals"], lambda v, i: norm_at(v, F.get(r["ords"], i), cat))
+        return F.struct(r["ords"].alias("ords"), r["vals"].alias("vals"), norms.alias("norms"))
+
+    # Bound step by step: a column used inside a lambda would be copied into it.
+    all_values = F.transform(T.col(by_position), value)
+    return df.select("*", F.inline(F.transform(F.array(T.let(all_values, filled)), record)))
 
 
 def record_from_map(df: DataFrame, fields: str, cat: Catalogue) -> DataFrame:
