@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline import fixed_values as fv
 from plumbline.catalogue import APPLIANCE
 from plumbline.operators import records as R
 from plumbline.operators.skew import number_rows
-from plumbline.plans.registry import table
+from plumbline.plans.registry import table, text_table
 
 LABEL_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
                "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -79,7 +80,7 @@ def label_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("case_id"), "label_no",
         F.expr(LABEL_CLASS).alias("h"),
         F.expr("concat('label_', cast(l_orderkey as string), '_', cast(l_linenumber as string), '.jpg')")
-        .alias("label_file"), "l_orderkey", "l_linenumber", "l_discount", "l_tax")
+        .alias("label_file"), "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_shipdate")
     return items.join(part, "case_id")
 
 
@@ -87,11 +88,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label records with case_id, label_no, label_file, h."""
     rows = R.record_from_columns(label_source(spark, sf_dir),
                                  {k: F.expr(v) for k, v in LABEL_FIELDS.items()}, APPLIANCE)
-    return rows.select("case_id", "label_no", "label_file", "h", *R.RECORD)
+    return rows.select("case_id", "label_no", "label_file", "h", "l_shipdate", "l_discount", *R.RECORD)
 
 
 def drawing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "case_id")
+    return text_table(spark, sf_dir, "part", "p_partkey").withColumnRenamed("p_partkey", "case_id")
 
 
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,35 @@ def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.record_from_columns(drawing_source(spark, sf_dir),
                                  {k: F.expr(v) for k, v in DRAWING_FIELDS.items()}, APPLIANCE)
     file = F.concat(F.lit("drawing_"), F.col("case_id").cast("string"), F.lit(".pdf"))
-    return rows.select("case_id", file.alias("drawing_file"), *R.RECORD)
+    return rows.select("case_id", file.alias("drawing_file"), "p_size", "p_name", *R.RECORD)
+
+
+# What recognition reported about each drawing and label.
+PARSE_MODE = "CASE WHEN case_id % 50 = 7 THEN 'error' WHEN p_size % 10 = 0 THEN 'ocr' ELSE 'text' END"
+DRAWING_ERROR = "CASE WHEN case_id % 50 = 7 THEN concat('cannot open drawing ', cast(case_id AS STRING)) END"
+LABEL_CONFIDENCE = "0.6 + l_discount"
+PREPROCESS = "CASE WHEN h = 3 THEN 'rotate_90' ELSE 'original' END"
+LABEL_ERROR = "CASE WHEN h = 11 THEN concat('cannot decode ', label_file) END"
+
+
+def drawing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode = F.expr(PARSE_MODE)
+    return (drawings(spark, sf_dir)
+            .withColumn("parse_mode", mode).withColumn("error", F.expr(DRAWING_ERROR))
+            .withColumn("raw_text", F.when(mode == "error", "").otherwise(F.col("p_name")))
+            .withColumn("page_count", F.when(mode == "error", 0).otherwise(F.col("p_size")))
+            .withColumn("drawing_warnings", F.array_compact(F.array(
+                F.col("error"), F.when(mode == "ocr", fv.WARN_TOO_FEW_FIELDS)))))
+
+
+def label_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.col("confidence") < fv.LOW_MEAN_CONFIDENCE
+    return (labels(spark, sf_dir)
+            .withColumn("confidence", F.round(F.expr(LABEL_CONFIDENCE), 4))
+            .withColumn("preprocess", F.expr(PREPROCESS)).withColumn("error", F.expr(LABEL_ERROR))
+            .withColumn("label_warnings", F.array_compact(F.array(
+                F.when(F.size("ords") == 0, fv.WARN_NO_FIELDS),
+                F.when(low, fv.WARN_LOW_CONFIDENCE)))))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

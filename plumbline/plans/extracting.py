@@ -9,11 +9,11 @@ from plumbline.catalogue import APPLIANCE as CAT, SIX
 from plumbline.functions import lookup, text as T
 from plumbline.operators import extract as E, records as R
 from plumbline.plans import derive, sql as S
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import query, table, text_table
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return text_table(spark, sf, "documents", "doc_id")
 
 
 # --- scalars over whole document texts --------------------------------------------

@@ -9,7 +9,7 @@ from plumbline.catalogue import APPLIANCE as CAT
 from plumbline.operators import candidates as X, extract as E, records as R, rollup
 from plumbline.plans import derive, sql as S
 from plumbline.plans.extracting import lines_ctes, pattern_ctes
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import query, table, text_table
 
 # Four texts per document: as is; upper case, for some with a model; with more
 # lines, for others with two fields; one word per line.
@@ -31,7 +31,7 @@ scored AS (SELECT m.doc_id, m.mode_ord, m.mode, m.text, coalesce(n, 0) AS n_fiel
 
 def pages(spark, sf):
     texts = F.array(*[F.struct(F.lit(m).alias("mode"), F.expr(x).alias("text")) for m, x in MODES])
-    return table(spark, sf, "documents").select("doc_id", texts.alias("texts"))
+    return text_table(spark, sf, "documents", "doc_id").select("doc_id", texts.alias("texts"))
 
 
 @query("page_best_text", _SCORED + """

@@ -102,7 +102,7 @@ lab AS (SELECT i.*, p_name, p_brand, p_size FROM (
   SELECT l_partkey AS case_id, {derive.LABEL_CLASS} AS h,
    CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY {_ORDER}) AS INT) AS label_no,
    concat('label_', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING), '.jpg') AS label_file,
-   l_orderkey, l_linenumber, l_discount, l_tax
+   l_orderkey, l_linenumber, l_discount, l_tax, l_shipdate
   FROM lineitem) i JOIN part ON p_partkey = case_id),
 lf AS ({_fields('lab', derive.LABEL_FIELDS, 'case_id, label_no, label_file')}),
 draw AS (SELECT p_partkey AS case_id, * FROM part),
