@@ -201,7 +201,7 @@ def file_stem(path) -> Column:
 
 
 def relative_path(path, root: str) -> Column:
-    root = root.rstrip("/") + "/"
+    root = root if root.endswith("/") else root + "/"
     path = col(path)
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 2147483647)).otherwise(path)
 

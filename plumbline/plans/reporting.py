@@ -181,10 +181,10 @@ def label_export(spark, sf):
 
 
 @query("failed_labels", S.BASE + f"""
-SELECT l.case_id, l.label_no, CASE WHEN h = 11 THEN 0 ELSE count(value) FILTER (value <> '') END AS n_fields,
+SELECT case_id, label_no, CASE WHEN h = 11 THEN 0 ELSE n END AS n_fields,
  CASE WHEN h = 11 THEN 0.0 ELSE round({derive.LABEL_CONFIDENCE}, 4) END AS confidence,
- CASE WHEN h = 11 THEN 'error' ELSE {derive.PREPROCESS} END AS preprocess, coalesce(CASE WHEN h = 11 THEN concat('cannot decode ', l.label_file) END, '') AS warnings
-FROM lab l JOIN lf ON lf.case_id = l.case_id AND lf.label_no = l.label_no GROUP BY ALL""")
+ CASE WHEN h = 11 THEN 'error' ELSE {derive.PREPROCESS} END AS preprocess, coalesce({derive.LABEL_ERROR}, '') AS warnings
+FROM lab JOIN (SELECT case_id, label_no, count(*) FILTER (value <> '') AS n FROM lf GROUP BY ALL) USING (case_id, label_no)""")
 def failed_labels(spark, sf):
     rows = P.empty_on_error(derive.label_facts(spark, sf), "error", CAT)
     return rows.select(*KEYS, R.n_filled().alias("n_fields"), "confidence", "preprocess",
@@ -201,12 +201,12 @@ def failed_drawings(spark, sf):
                        F.array_join("warnings", fv.MESSAGE_SEPARATOR).alias("warnings"))
 
 
-_ERRS = f"""errs AS (SELECT case_id, 0 AS at, concat('PDF处理失败：', {derive.DRAWING_ERROR}) AS e FROM draw WHERE case_id % 50 = 7
+_ERRS = f"""errs AS (SELECT case_id, 0 AS pos, concat('PDF处理失败：', {derive.DRAWING_ERROR}) AS e FROM draw WHERE case_id % 50 = 7
  UNION ALL SELECT case_id, label_no, concat(label_file, ' OCR失败：', {derive.LABEL_ERROR}) FROM lab WHERE h = 11)"""
 
 
 @query("case_errors", S.BASE + ", " + _ERRS + """
-SELECT case_id, CAST(floor(at / 10000) AS INT) AS block_no, string_agg(e, '；' ORDER BY at) AS errors FROM errs GROUP BY ALL""")
+SELECT case_id, CAST(floor(pos / 10000) AS INT) AS block_no, string_agg(e, '；' ORDER BY pos) AS errors FROM errs GROUP BY ALL""")
 def case_errors(spark, sf):
     return P.case_errors(P.error_rows(derive.drawing_facts(spark, sf), derive.label_facts(spark, sf)))
 
@@ -230,7 +230,7 @@ SELECT d.case_id, concat('drawing_', d.case_id, '.pdf') AS drawing_file, {derive
 FROM draw d JOIN bverdict b ON b.case_id = d.case_id
 JOIN (SELECT case_id, count(*) FILTER (value <> '') AS n_drawing_fields FROM df GROUP BY 1) f ON f.case_id = d.case_id
 LEFT JOIN (SELECT case_id, count(*) AS n_labels FROM lab GROUP BY 1) n ON n.case_id = d.case_id
-LEFT JOIN (SELECT case_id, string_agg(e, '；' ORDER BY at) AS errors FROM errs WHERE at < 10000 GROUP BY 1) e ON e.case_id = d.case_id
+LEFT JOIN (SELECT case_id, string_agg(e, '；' ORDER BY pos) AS errors FROM errs WHERE pos < 10000 GROUP BY 1) e ON e.case_id = d.case_id
 LEFT JOIN (SELECT l_partkey, round(sum(l_quantity / 1000), 3) AS seconds FROM lineitem GROUP BY 1) t ON l_partkey = d.case_id""")
 def case_summary(spark, sf):
     labels = derive.label_facts(spark, sf)
