@@ -34,13 +34,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fence(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a costly column through a one-row generator.
+def fenced(value: Column) -> Column:
+    """The value, in a form the optimizer computes once per row and never copies.
 
-    A later filter on something made from the column then runs on its value
-    instead of being rewritten into (many copies of) its definition.
+    Without it a filter on something made from a costly column is rewritten into
+    (many copies of) the column's definition, and a column used inside a lambda
+    is computed once per element. An unused fenced column is still pruned away.
     """
-    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+def fence(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.withColumn(name, fenced(value))
 
 
 def strip(c) -> Column:

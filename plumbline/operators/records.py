@@ -37,15 +37,18 @@ def norm_at(value, position, cat: Catalogue) -> Column:
     return T.normal_form(value, F.get(fix, position), F.get(numeric, position))
 
 
-def with_record(df: DataFrame, by_position, cat: Catalogue, cleaned: bool = False) -> DataFrame:
-    """Add a record from an array with one (maybe empty) value per catalogue field."""
+def with_record(df: DataFrame, values, cat: Catalogue, cleaned: bool = False,
+                positions: list[int] | None = None) -> DataFrame:
+    """Add a record from an array of (maybe empty) values, one per catalogue field
+    or per given position (rising)."""
+    places = F.array(*[F.lit(p) for p in (positions or range(len(cat)))])
+
     def value(v):
         return v if cleaned else F.when(F.coalesce(v, F.lit("")) != "", T.clean_text(v)).otherwise("")
 
     def filled(every):
         return F.struct(
-            F.filter(F.sequence(F.lit(0), F.lit(len(cat) - 1)),
-                     lambda i: F.get(every, i) != "").alias("ords"),
+            F.filter(places, lambda p, i: F.get(every, i) != "").alias("ords"),
             F.filter(every, lambda v: v != "").alias("vals"))
 
     def record(r):
@@ -53,8 +56,11 @@ def with_record(df: DataFrame, by_position, cat: Catalogue, cleaned: bool = Fals
         return F.struct(r["ords"].alias("ords"), r["vals"].alias("vals"), norms.alias("norms"))
 
     # Bound step by step: a column used inside a lambda would be copied into it.
-    all_values = F.transform(T.col(by_position), value)
-    return df.select("*", F.inline(F.transform(F.array(T.let(all_values, filled)), record)))
+    all_values = F.transform(T.col(values), value)
+    out = T.fence(df, "_record", T.let(T.let(all_values, filled), record))
+    for c in RECORD:
+        out = out.withColumn(c, F.col("_record")[c])
+    return out.drop("_record")
 
 
 def record_from_map(df: DataFrame, fields: str, cat: Catalogue) -> DataFrame:
@@ -63,7 +69,10 @@ def record_from_map(df: DataFrame, fields: str, cat: Catalogue) -> DataFrame:
 
 
 def record_from_columns(df: DataFrame, columns: dict[str, Column], cat: Catalogue) -> DataFrame:
-    return with_record(df, F.array(*[columns.get(i, F.lit("")) for i in cat.ids]), cat)
+    """Record of one column per named field."""
+    positions = sorted(cat.position[name] for name in columns)
+    return with_record(df, F.array(*[columns[cat.ids[p]] for p in positions]), cat,
+                       positions=positions)
 
 
 def value_at(ords, values, position) -> Column:
