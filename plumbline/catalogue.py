@@ -26,6 +26,8 @@ class Field:
     digit_fix: bool = False
     aliases: tuple[str, ...] = ()
     patterns: tuple[str, ...] = dc_field(default_factory=tuple)
+    # Optional, per pattern: words of which a matching text holds at least one.
+    pattern_words: tuple[tuple[str, ...], ...] = ()
 
     def __post_init__(self):
         if self.kind not in VALUE_KINDS:
@@ -85,7 +87,8 @@ class Catalogue:
 
 def appliance_catalogue() -> Catalogue:
     return Catalogue(
-        tuple(Field(i, d, k, r, x, tuple(a), tuple(p))
+        tuple(Field(i, d, k, r, x, tuple(a), tuple(p),
+                    tuple(tuple(fv.PATTERN_WORDS.get((i, n), ())) for n in range(len(p))))
               for i, d, k, r, x, a, p in fv.APPLIANCE_FIELDS),
         twins=fv.MODEL_PAIR)
 

@@ -140,6 +140,19 @@ LABEL_NAME_RULES = [
 ]
 PROJECT_NAME_PATTERN = r"项目名称\s*[:：]?\s*([^\n\r]{2,40})"
 
+# Words of which a text must hold one for the pattern to match at all (pattern
+# number within its field); patterns not listed start with their word.
+PATTERN_WORDS = {
+    ("serial_no", 0): ["S/N", "SN", "SERIAL"],
+    ("energy_class", 0): ["级", "等級", "CLASS"],
+    ("annual_energy", 0): ["ANNUAL", "KWH"],
+    ("annual_water", 0): ["ANNUAL", "LITER"],
+    ("part_code", 1): ["100"],
+    ("label_name", 0): ["能效标签", "铭牌"],
+}
+PHRASE_WORDS = {"made_in": ["MADE"], "brand": ["impex", "DEFY"],
+                "label_name": ["LABEL", "能效", "铭牌", "Multilingual"]}
+
 # --- Fixed values: limits and thresholds -------------------------------------
 MAX_VALUE_CHARS = 90
 LOOKAHEAD_LINES = 5

@@ -22,6 +22,8 @@ SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
                "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                "\u2028\u2029\u202f\u205f\u3000")
 SPACE = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Runs of white space, and single ones that are no plain blank.
+SQUEEZE = SPACE + "{2,}|" + SPACE.replace("\\x1c- ", "\\x1c-\\x1f")
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -57,10 +59,22 @@ def nfkc(c) -> Column:
                      F.coalesce(col(c).cast("string"), F.lit("")), F.lit(True))
 
 
+def replace_each(c, pairs: dict[str, str]) -> Column:
+    """Plain replacements: a byte search each, where translate() boxes every character."""
+    c = col(c)
+    for old, new in pairs.items():
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
 def tidy(c) -> Column:
-    """Unify slashes and dashes, squeeze blanks and empty lines, strip."""
-    c = F.translate(col(c), "\\—–－", "/---")
-    c = F.regexp_replace(c, r"[ \t\r\f\x0b]+", " ")
+    """Unify slashes and dashes, squeeze blanks and empty lines, strip.
+
+    Takes NFKC text. A single blank is left alone rather than replaced by itself,
+    so usual text passes without being rebuilt.
+    """
+    c = replace_each(c, {"\\": "/", "—": "-", "–": "-"})
+    c = F.regexp_replace(c, r"[ \t\r\f\x0b]{2,}|[\t\r\f\x0b]", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
@@ -81,7 +95,7 @@ def label_key(c) -> Column:
     """Comparison form of a label word; takes cleaned text."""
     c = F.btrim(F.upper(col(c)), F.lit(" :"))
     c = F.regexp_replace(c, f"{SPACE}*/{SPACE}*", "/")
-    return F.regexp_replace(c, SPACE + "+", " ")
+    return F.regexp_replace(c, SQUEEZE, " ")
 
 
 def fix_ocr_digits(c) -> Column:
@@ -125,11 +139,11 @@ def split_lines(c) -> Column:
 
 
 def clean_line(c) -> Column:
-    return strip(F.regexp_replace(F.coalesce(col(c), F.lit("")), SPACE + "+", " "))
+    return strip(F.regexp_replace(F.coalesce(col(c), F.lit("")), SQUEEZE, " "))
 
 
 def six_field_key(c) -> Column:
-    return F.upper(F.translate(clean_line(c), "：／", ":/"))
+    return F.upper(replace_each(clean_line(c), {"：": ":", "／": "/"}))
 
 
 def keyword_hits(c, words) -> Column:

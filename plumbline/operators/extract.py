@@ -111,6 +111,20 @@ def _hint(pattern: str) -> str | None:
     return word or None
 
 
+def _has_word(low: Column, words) -> Column:
+    """Does the folded text hold one of the words?"""
+    tests = [low.contains(w.lower()) for w in words]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def _folded(text: Column) -> Column:
+    """Lower case, with the letters case-insensitive patterns also take for i."""
+    return F.lower(T.replace_each(text, {"ı": "i", "İ": "i"}))
+
+
 def pattern_hits(clean, found_ords, cat: Catalogue) -> Column:
     """First matching pattern of each field not found yet, over the joined lines."""
     joined = F.array_join(T.split_lines(clean), "\n")
@@ -123,11 +137,12 @@ def pattern_hits(clean, found_ords, cat: Catalogue) -> Column:
             if not f.patterns:
                 continue
             groups = []
-            for pattern in f.patterns:
+            for n, pattern in enumerate(f.patterns):
                 group = F.nullif(F.regexp_extract(text, "(?iU)" + pattern, 1), F.lit(""))
                 hint = _hint(pattern)
-                groups.append(group if hint is None
-                              else F.when(low.contains(hint.lower()), group))
+                given = f.pattern_words[n] if n < len(f.pattern_words) else ()
+                words = given or ((hint,) if hint else ())
+                groups.append(F.when(_has_word(low, words), group) if words else group)
             value = F.when(~F.array_contains(found, pos), F.coalesce(*groups))
             pick = F.lit(len(groups) - 1)
             for n in reversed(range(len(groups) - 1)):
@@ -135,7 +150,7 @@ def pattern_hits(clean, found_ords, cat: Catalogue) -> Column:
             hits.append(_hit(pos, PATTERN, pick if len(groups) > 1 else 0, 0, 0, value))
         return F.array(*hits)
     text = T.let(joined, lambda t: F.struct(
-        t.alias("text"), F.lower(F.translate(t, "ıİ", "ii")).alias("low")))
+        t.alias("text"), _folded(t).alias("low")))
     return T.let(text, search)
 
 
@@ -153,9 +168,11 @@ def phrase_hits(clean, found_ords, cat: Catalogue) -> Column:
     for pattern, value in reversed(fv.LABEL_NAME_RULES):
         name = F.when(clean.rlike("(?iU)" + pattern), value).otherwise(name)
     rules["label_name"] = name
-    hits = [_hit(cat.position[i], PHRASE, 0, 0, 0, F.when(~F.array_contains(found, cat.position[i]), v))
-            for i, v in rules.items() if i in cat.position]
-    plain = F.filter(F.array(*hits).cast(HIT), lambda h: h["value"].isNotNull())
+    def search(low):
+        return F.array(*[_hit(at, PHRASE, 0, 0, 0, F.when(
+            ~F.array_contains(found, at) & _has_word(low, fv.PHRASE_WORDS[i]), v))
+            for i, v in rules.items() if (at := cat.position.get(i)) is not None]).cast(HIT)
+    plain = F.filter(T.let(_folded(clean), search), lambda h: h["value"].isNotNull())
     if "project_name" not in cat.position:
         return plain
     at = cat.position["project_name"]

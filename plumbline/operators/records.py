@@ -51,16 +51,13 @@ def with_record(df: DataFrame, values, cat: Catalogue, cleaned: bool = False,
             F.filter(places, lambda p, i: F.get(every, i) != "").alias("ords"),
             F.filter(every, lambda v: v != "").alias("vals"))
 
-    def record(r):
-        norms = F.transform(r["vals"], lambda v, i: norm_at(v, F.get(r["ords"], i), cat))
-        return F.struct(r["ords"].alias("ords"), r["vals"].alias("vals"), norms.alias("norms"))
-
     # Bound step by step: a column used inside a lambda would be copied into it.
     all_values = F.transform(T.col(values), value)
-    out = T.fence(df, "_record", T.let(T.let(all_values, filled), record))
-    for c in RECORD:
-        out = out.withColumn(c, F.col("_record")[c])
-    return out.drop("_record")
+    out = T.fence(df, "_record", T.let(all_values, filled))
+    out = out.withColumn("ords", F.col("_record.ords")).withColumn("vals", F.col("_record.vals"))
+    norms = T.let(F.col("_record"), lambda r: F.transform(
+        r["vals"], lambda v, i: norm_at(v, F.get(r["ords"], i), cat)))
+    return T.fence(out, "norms", norms).drop("_record")
 
 
 def record_from_map(df: DataFrame, fields: str, cat: Catalogue) -> DataFrame:
