@@ -40,6 +40,19 @@ def field_position(key, cat: Catalogue) -> Column:
     return F.least(one(key), F.when(key.contains("/"), parts))
 
 
+def line_position(line, cat: Catalogue) -> Column:
+    """``field_position`` of a clean line, skipping the many lines too long to be a word.
+
+    Exact: upper case never shortens, so without a '/' (whose blanks go) or odd
+    white space (which is squeezed) a key is at least as long as its stripped line.
+    """
+    line = T.col(line)
+    longest = max(map(len, word_positions(cat)))
+    may_be = ((F.length(F.btrim(line, F.lit(" :"))) <= longest) | line.contains("/")
+              | line.rlike("[\x1f\u1680]"))
+    return F.when(may_be, T.let(T.label_key(line), lambda k: field_position(k, cat)))
+
+
 def field_name_at(position, cat: Catalogue) -> Column:
     return F.try_element_at(F.array(*[F.lit(i) for i in cat.ids]), T.col(position) + 1)
 

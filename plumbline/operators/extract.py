@@ -81,10 +81,9 @@ def inline_hits(lines, cat: Catalogue, after=None, stage: int = INLINE) -> Colum
 
 
 def _keyed_lines(lines, cat: Catalogue) -> Column:
-    """(i, x, key, pos): line number, line, its label key, the field it names."""
-    keyed = F.transform(T.col(lines), lambda x, i: F.struct(
-        i.alias("i"), x.alias("x"), T.label_key(x).alias("key")))
-    return F.transform(keyed, lambda s: s.withField("pos", lookup.field_position(s["key"], cat)))
+    """(i, x, pos): line number, line, position of the field it names."""
+    return F.transform(T.col(lines), lambda x, i: F.struct(
+        i.alias("i"), x.alias("x"), lookup.line_position(x, cat).alias("pos")))
 
 
 def adjacent_hits(keyed, cat: Catalogue, ahead: int = fv.LOOKAHEAD_LINES) -> Column:
@@ -94,7 +93,7 @@ def adjacent_hits(keyed, cat: Catalogue, ahead: int = fv.LOOKAHEAD_LINES) -> Col
     def below(s):
         window = F.slice(keyed, s["i"] + 2, F.lit(ahead))
         return F.get(F.filter(window, lambda b: b["pos"].isNotNull()
-                              | ~lookup.noise_key(b["key"], cat)), F.lit(0))
+                              | ~lookup.is_noise(b["x"], cat)), F.lit(0))
     label_lines = F.filter(keyed, lambda s: s["pos"].isNotNull())
     found = F.transform(label_lines, lambda s: F.struct(
         s["pos"].alias("ord"), s["i"].alias("i"), below(s).alias("b")))

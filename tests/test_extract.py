@@ -109,3 +109,24 @@ def test_filter_after_extraction_keeps_the_plan_small(spark):
     (r"Rated\s+Frequency", "Rated"), (r"colou?r (x)", "colo")])
 def test_pattern_hint(pattern, hint):
     assert E._hint(pattern) == hint
+
+
+def test_line_position_equals_key_position(spark):
+    values = ["MODEL", " : MODEL : ", "x" * 200, "a / MODEL", "long " * 30 + "/ MODEL", "RATED\x1fPOWER",
+              "RATED" + "\u1680" * 60 + "POWER", "annual energy consumption kwh", "straße", ""]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    from plumbline.functions import lookup, text as T
+    rows = df.select("i", lookup.line_position("v", APPLIANCE).alias("a"),
+                     lookup.field_position(T.label_key("v"), APPLIANCE).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+    assert sum(r["b"] is not None for r in rows) == 7
+
+
+def test_pattern_words_hold_in_matches(spark):
+    """A text a pattern matches holds one of its words, so the guard loses nothing."""
+    texts = {"serial_no": ["x sn: ABC1", "s/n 1234", "Serial No A-77"], "energy_class": ["2 级", "a class", "B等級"],
+             "annual_energy": ["annual energy consumption 35", "kwh 1.5"], "annual_water": ["liter 12", "Annual Water Consumption: 9"],
+             "part_code": ["x 10012345 y"], "label_name": ["铭牌 rating label", "能效标签 label-energy"]}
+    for field, values in texts.items():
+        for v in values:
+            assert field in stage(spark, v, E.PATTERN), (field, v)
