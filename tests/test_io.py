@@ -116,7 +116,9 @@ def test_stream_equals_batch(spark, folder):
     texts.repartition(3).write.parquet(folder + "/in")
     drawings = drawings_of(spark, [(1, {"product_model": "A1"})])
     stream = spark.readStream.schema(texts.schema).parquet(folder + "/in")
-    query = ingest.detection_stream(stream, drawings, folder + "/h", folder + "/d", "labels",
+    # The name picks the checkpoint, which may lie in a shared folder: one per run.
+    name = "labels-" + os.path.basename(folder)
+    query = ingest.detection_stream(stream, drawings, folder + "/h", folder + "/d", name,
                                     folder + "/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = sorted((r["label_file"], r["result"]) for r in sinks.read_history(spark, folder + "/h").collect())
