@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, mixing, packing, simhash
+from plumbline.llm import decontaminate, language, mixing, packing, simhash, toxicity
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = toxicity.labelled_documents(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, toxicity.fit(learned))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+                         F.size("passages").alias("n_passages"))
+
+
 @query("op8_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sent(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """Broadcast an object of this subpackage's classes, together with their code; call the
+    result in a task to get it."""
+    handle = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: cloudpickle.loads(handle.value)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of an array<bigint> column without nulls, offsets from 0."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import flat, slices
+from plumbline.llm.common import flat, sent, slices
 
 #: Word edits (insert, delete, replace) allowed, as a share of a test item's words.
 ERROR_RATE = 0.2
@@ -171,7 +171,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
         # a pass holds the items of one hash class
         part = ready.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k).orderBy("item_id", "words")
         rows = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in part.toLocalIterator()]
-        index = spark.sparkContext.broadcast(Index(rows, rate))
+        index = sent(spark, Index(rows, rate))
         found.append(searched.mapInArrow(_searcher(index), MATCH_SCHEMA))
     out = found[0]
     for more in found[1:]:
@@ -181,11 +181,12 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
 
 def _searcher(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = index()
         for batch in slices(batches, "words", CHUNK):
             words, offsets = flat(batch.column("words"))
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[r], item, d, a, b, int(offsets[r + 1] - offsets[r]))
-                    for r, item, d, a, b in index.value.search(words.view(np.uint64), offsets)]
+                    for r, item, d, a, b in found.search(words.view(np.uint64), offsets)]
             names = ["doc_id", "item_id", "distance", "first_word", "end_word", "n_words"]
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bytes_of, slices
+from plumbline.llm.common import bytes_of, sent, slices
 
 HIDDEN = 8
 #: Bytes of a segment; each is labelled from both of its ends.
@@ -179,14 +179,13 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     probabilities are averaged over the document, and the likeliest language wins. Without a
     letter (or text, or any learned class) lang_pred is ``und`` and score 0. The columns of
     ``docs`` stay; lang_pred and score replace columns of those names."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(net)
+    get_net = sent(docs.sparkSession, net)
     names = [f.name for f in docs.schema if f.name not in ("lang_pred", "score")]
     schema = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     place = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = get_net()
         for batch in slices(batches, "_bytes", CHUNK):
             data, offsets = bytes_of(batch.column("_bytes"))
             total = np.zeros((batch.num_rows, len(model.classes)))
