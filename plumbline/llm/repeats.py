@@ -93,7 +93,7 @@ class Chunk:
         ends = np.cumsum([0, *row["sizes"]])
         self.texts = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         self.symbols, self.offsets = kind.symbols(self.texts)
-        self.doc, self.first, self.count, self.anchor, self.digest = paths(self.symbols, self.offsets, kind.width, kind.short)
+        self.doc, self.first, self.count, self.anchor, self.digest, self.place_of_anchor = paths(self.symbols, self.offsets, kind.width, kind.short)
         order = np.array([LAST if d is None else d for d in self.doc_ids], np.int64)
         self.order = order[self.doc]
         by = np.lexsort((np.arange(len(self.doc)), self.order, self.digest, self.anchor))

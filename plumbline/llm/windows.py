@@ -59,11 +59,11 @@ def paths(symbols: np.ndarray, offsets: np.ndarray, width: int, short: int):
     """All paths of the documents that ``offsets`` cuts ``symbols`` (uint64) into.
 
     Returns arrays: document, first window (place in ``symbols``), number of windows,
-    anchor hash, and digest of the whole path with its anchor's place.
+    anchor hash, digest of the whole path with its anchor's place, and that place in ``symbols``.
     """
     none = np.zeros(0, np.int64)
     if len(symbols) < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     hashes = RunHashes(symbols)
     at = np.arange(len(symbols) - short + 1)
     small = hashes.of(at, at + short)
@@ -78,7 +78,7 @@ def paths(symbols: np.ndarray, offsets: np.ndarray, width: int, short: int):
     ends = np.nonzero(inside & ~np.concatenate((inside[1:] & ~begins[1:], [False])))[0] + 1
     count = ends - first
     digest = hashes.of(first, ends - 1 + width) + mixed((anchor[first] - first).astype(np.uint64)) * _B2 + count.astype(np.uint64)
-    return doc[first], first, count, small[anchor[first]], digest
+    return doc[first], first, count, small[anchor[first]], digest, anchor[first]
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
