@@ -195,8 +195,13 @@ def _searcher(index):
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` (all columns) without the documents that hold a test item. Documents
-    without a doc_id are judged like all others, by a key of their text."""
+    without a doc_id are judged like all others: they go by their text."""
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
-    keyed = docs.withColumn("doc_id", F.struct(key.alias("id"), F.col("doc_id").isNull().alias("unnamed")))
-    hits = find_items(keyed.select(F.col("doc_id.id").alias("doc_id"), "text"), items).select("doc_id").distinct()
-    return docs.join(hits.withColumnRenamed("doc_id", "_hit"), key == F.col("_hit"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("doc_id").isNull().alias("unnamed"))
+    named, unnamed = rows.where("NOT unnamed"), rows.where("unnamed")
+
+    def clean(part: DataFrame) -> DataFrame:
+        hits = find_items(part.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), items)
+        return part.join(hits.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
+
+    return clean(named).union(clean(unnamed))

@@ -127,8 +127,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = SEGMENT) -> tu
     start = offsets[row] + first * length
     at = start + np.arange(length)[:, None]
     real = at < offsets[row + 1]
-    codes = np.where(real, data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else 0, 256)
-    return codes.astype(np.intp), row
+    codes = np.full(at.shape, 256, np.intp)
+    codes[real] = data[at[real]]
+    return codes, row
 
 
 def train(texts: list[bytes], labels: list[str], seed: int = 7, rounds: int = ROUNDS) -> Network:
@@ -166,6 +167,9 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int =
     raw = F.col("text").cast("binary")
     room = F.greatest(F.length(raw) - sample_bytes, F.lit(0)) + 1
     part = F.substring(raw, (F.pmod(digest, room) + 1).cast("int"), F.lit(sample_bytes))
+    # two in expectation for each row wanted, so that tasks send a bounded number in all
+    share = min(1.0, 2 * sample_docs / max(1, labelled.where("lang IS NOT NULL").count()))
+    usable = usable.where(F.pmod(digest, F.lit(1 << 40)) < int(share * (1 << 40)))
     rows = (usable.select(digest.alias("digest"), part.alias("part"), "lang").orderBy("digest", "lang", "part").limit(sample_docs)).collect()
     return train([bytes(r.part) for r in rows], [r.lang for r in rows], rounds=rounds)
 
@@ -174,36 +178,43 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with lang_pred and score: every position of the whole text is labelled, the
-    probabilities are averaged over the document, and the likeliest language wins. Without a
-    letter (or text, or any learned class) lang_pred is ``und`` and score 0. The columns of
-    ``docs`` stay; lang_pred and score replace columns of those names."""
+def labelled(docs: DataFrame, net: Network) -> DataFrame:
+    """row (a struct of all columns of ``docs``), lang_pred and score of every row.
+
+    Every position of the whole text is labelled, the probabilities are averaged over the
+    document, and the likeliest language wins. Without a letter (so for null and empty
+    texts), or if the network knows no language, lang_pred is ``und`` and score 0. Equal
+    probabilities go to the first language in order. Repeated rows and null ids are
+    labelled like others; an empty table gives no rows.
+    """
     get_net = sent(docs.sparkSession, net)
-    names = [f.name for f in docs.schema if f.name not in ("lang_pred", "score")]
-    schema = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    place = "text"
+    ready = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"),
+                        has_letter(F.col("text")).alias("letter"))
+    schema = ready.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = get_net()
-        for batch in slices(batches, "_bytes", CHUNK):
-            data, offsets = bytes_of(batch.column("_bytes"))
-            total = np.zeros((batch.num_rows, len(model.classes)))
+        classes = len(model.classes)
+        for batch in slices(batches, "bytes", CHUNK):
+            data, offsets = bytes_of(batch.column("bytes"))
+            total = np.zeros((batch.num_rows, max(classes, 1)))
             codes, row = segments(data, offsets)
-            for at in range(0, len(row), CHUNK // SEGMENT):
+            for at in range(0, len(row) if classes else 0, CHUNK // SEGMENT):
                 part = codes[:, at:at + CHUNK // SEGMENT]
                 p = model.label(part) * (part < 256)[:, None, :]
                 sums = p.sum(axis=0)
-                for c in range(len(model.classes)):
+                for c in range(classes):
                     total[:, c] += np.bincount(row[at:at + CHUNK // SEGMENT], sums[c], batch.num_rows)
-            known = np.array(batch.column("_letter").to_pylist(), bool) & (len(model.classes) > 0)
+            known = np.array(batch.column("letter").to_pylist(), bool) & (classes > 0)
             mean = total / np.maximum(np.diff(offsets), 1)[:, None]
-            best = mean.argmax(axis=1) if len(model.classes) else np.zeros(batch.num_rows, int)
-            said = [model.classes[b] if k else UNKNOWN for b, k in zip(best, known)]
-            score = np.where(known, mean.max(axis=1, initial=0), 0.0).clip(0, 1)
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(said, pa.string()), pa.array(score)],
-                                             [*names, "lang_pred", "score"])
-
-    ready = docs.select(*names, F.coalesce(F.col(place), F.lit("")).cast("binary").alias("_bytes"),
-                        has_letter(F.col(place)).alias("_letter"))
+            said = [model.classes[b] if k else UNKNOWN for b, k in zip(mean.argmax(axis=1), known)]
+            score = np.where(known, mean.max(axis=1), 0.0).clip(0, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(said, pa.string()), pa.array(score, pa.float64())],
+                                             ["row", "lang_pred", "score"])
+
     return ready.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, net: Network) -> DataFrame:
+    """``docs`` with lang_pred and score, which replace columns of those names."""
+    return labelled(docs.drop("lang_pred", "score"), net).select("row.*", "lang_pred", "score")

@@ -17,7 +17,7 @@ RANGES = 4096
 MIX_SQL = """
 WITH sized AS MATERIALIZED (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce('mix:' || CAST(doc_id AS VARCHAR), 'mix')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key
   FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY source),
 ranked AS (SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM per),
@@ -61,14 +61,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levelled.select("source", "s", target.alias("target"))
 
 
-def random_key(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(F.concat(F.lit("mix:"), doc_id.cast("string")), F.lit("mix")))
+def random_key(doc_id: Column, text: Column) -> Column:
+    """A digest of the doc_id, or of the text where there is none."""
+    return F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))))
 
 
 def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int, ranges: int) -> DataFrame:
     """Each row's size and key, its source's size s and target, and the words before it."""
     sized = stored(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"),
-                               random_key(F.col("doc_id")).alias("key")))
+                               random_key(F.col("doc_id"), F.col("text")).alias("key")))
     span = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / F.lit(1 << 32)).cast("int")
     sized = sized.withColumn("span", span)
     spans = sized.groupBy("source", "span").agg(F.sum("size").alias("inside"))
@@ -110,8 +111,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     The running sum is distributed: the key's first hex digits deal each source into
     ``ranges`` ranges; sums per range (combined before the shuffle) are accumulated over
     ranges, then each range is accumulated alone. Null and empty texts have size 0 and
-    give 0 words; rows without source form the last source; documents without an id have
-    one common key; equal rows are taken in any order, which gives the same rows. A source
+    give 0 words; rows without source form the last source; documents without an id go
+    by their text; equal rows are taken in any order, which gives the same rows. A source
     without words has target 0. An empty table gives an empty result.
     """
     placed = _placed(docs, weights, share, epochs, ranges)
@@ -134,16 +135,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     cuts = placed.groupBy("source", "s", "target").agg(last.alias("last"))
     cuts = cuts.select(F.col("source").alias("_source"), F.struct(_whole().alias("whole"), "last").alias("_cut"))
     cuts = stored(cuts)
-    words = words_of(F.col("text"))
-    mark = F.struct(random_key(F.col("doc_id")).alias("key"), F.col("doc_id"), F.size(words).cast("bigint").alias("size"))
+    rows = docs.select(F.struct("*").alias("row"))
+    words = words_of(F.col("row.text"))
+    mark = F.struct(random_key(F.col("row.doc_id"), F.col("row.text")).alias("key"), F.col("row.doc_id").alias("doc_id"), F.size(words).cast("bigint").alias("size"))
     at = F.struct("_cut.last.key", "_cut.last.doc_id", "_cut.last.size")
-    rest = F.when(F.col("_cut.last").isNull() | (mark > at), 0).when(mark < at, F.col("_mark.size")).otherwise(F.col("_cut.last.rest"))
-    times = F.col("_cut.whole") + (F.col("_cut.last").isNotNull() & (mark < at) | (F.col("_rest") > 0)).cast("bigint")
-    joined = (docs.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
-              .withColumn("_mark", mark).withColumn("_rest", rest)
-              .withColumn("_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))))))
-    cut = (F.col("_epoch") > F.col("_cut.whole")) & (F.col("_rest") < F.col("_mark.size"))
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_rest").cast("int")), " ")).otherwise(F.col("text"))
-    out = joined.withColumn("_text", text)
-    shown = {"text": F.col("_text"), "n_chars": F.when(cut, F.length("_text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[shown[c].cast(docs.schema[c].dataType).alias(c) if c in shown else F.col(c) for c in docs.columns])
+    joined = rows.join(cuts, F.col("row.source").eqNullSafe(F.col("_source"))).withColumn("mark", mark)
+    before, at_cut = F.col("mark") < at, F.col("mark").eqNullSafe(at)
+    rest = F.when(F.coalesce(at_cut, F.lit(False)), F.col("_cut.last.rest")).otherwise(F.col("mark.size"))
+    times = F.col("_cut.whole") + F.when(F.col("_cut.last").isNull(), 0).otherwise((before | at_cut).cast("bigint"))
+    epochs_of = joined.select("row", "_cut.whole", rest.alias("rest"), F.col("mark.size").alias("size"),
+                              F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int")))).alias("epoch"))
+    cut = (F.col("epoch") > F.col("whole")) & (F.col("rest") < F.col("size"))
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")).otherwise(F.col("row.text"))
+    out = epochs_of.select("row", cut.alias("cut"), text.alias("text"))
+    shown = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[(shown[c] if c in shown else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
