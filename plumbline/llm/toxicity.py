@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import flat, sent, slices
+from plumbline.llm.common import flat, sent, slices, stored
 
 #: Tokens are counted by hash class, so tables have this size for any corpus.
 CLASSES = 1 << 20
@@ -35,8 +35,8 @@ SCAN_SCHEMA = ("doc_id bigint, n_words int, best double, evidence double, "
 
 @dataclass
 class Model:
-    """Token log-odds, the Gumbel law's rate and size factor, and the
-    logistic curve over a document's evidence."""
+    """Token log-odds, the Gumbel law's rate and size factor, and the logistic curve over a
+    document's evidence (which leaves the size factor to the curve's shift)."""
 
     odds: np.ndarray
     rate: float = 1.0
@@ -144,9 +144,10 @@ def _scan(rows: DataFrame, model: Model) -> DataFrame:
                 top = max((s for _, _, s in found), default=0.0)
                 kept = [(s, e, v, float(x)) for s, e, v in found if (x := m.chance(v, b - a)) <= limit]
                 best.append(top)
-                # the best passage, and what further significant ones add beyond the limit
-                more = sum(limit - x for *_, x in kept) - max((limit - x for *_, x in kept), default=0.0)
-                evidence.append(float(-m.chance(top, b - a)) + more)
+                # the best passage, and what further outstanding ones add
+                length = float(np.log(max(b - a, 1)))
+                more = sorted(v for v in (m.rate * s - length for *_, s in found) if v > 0)[:-1]
+                evidence.append(m.rate * top - length + sum(more))
                 passages.append([{"first_word": s, "end_word": e, "score": v, "expected": float(np.exp(x))} for s, e, v, x in kept])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int32)), pa.array(best, pa.float64()),
@@ -186,13 +187,12 @@ def fit(labelled: DataFrame) -> Model:
     model = Model(odds=log_odds(toxic, clean))
     model.rate = gumbel_rate(model.odds - DRIFT, clean)
     # the label rides along in doc_id, which the scan hands through
-    curve = rows.where("_curve").select(F.col("toxic").cast("bigint").alias("doc_id"), "words")
-    scanned = _scan(curve, model)
-    sums = scanned.where("doc_id = 0 AND n_words > 0").agg(
+    curve = stored(_scan(rows.where("_curve").select(F.col("toxic").cast("bigint").alias("doc_id"), "words"), model).drop("passages"))
+    sums = curve.where("doc_id = 0 AND n_words > 0").agg(
         F.count("*"), F.sum(F.col("n_words") * F.exp(-model.rate * F.col("best")))).first()
     if sums[0]:
         model.size = float(sums[0] / sums[1])
-    found = _scan(curve, model).select(F.col("doc_id").alias("y"), F.round(F.greatest(F.lit(-50.0), F.least(F.lit(200.0), "evidence")), 1).alias("x"))
+    found = curve.select(F.col("doc_id").alias("y"), F.round(F.greatest(F.lit(-50.0), F.least(F.lit(200.0), "evidence")), 1).alias("x"))
     bins = found.groupBy("x").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).orderBy("x").collect()
     if bins:
         x, ones, n = (np.array([float(r[k]) for r in bins]) for k in ("x", "ones", "n"))
@@ -218,4 +218,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of documents with a label (the greatest, where a doc_id has several)."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(one, "doc_id")
+    # sorted and merged at every size, so that what is shuffled follows the input
+    return docs.select("doc_id", "text").join(one.hint("merge"), "doc_id")
