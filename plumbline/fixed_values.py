@@ -202,6 +202,7 @@ NO_DIFFERENCE_TEXT = "未发现标签之间存在字段差异。"
 # --- Fixed values: warnings and failure reasons -------------------------------
 WARN_TEXT_TOO_SHORT = "PDF文字层为空或有效字段过少，已启用PDF OCR模式。"
 WARN_TOO_FEW_FIELDS = "PDF文字层存在但关键字段命中过少，已补充PDF OCR模式。"
+WARN_OCR_FAILED = "PDF OCR失败，保留文字层结果："
 WARN_NO_FIELDS = "OCR未提取到可比较字段，需要人工确认。"
 WARN_LOW_CONFIDENCE = "OCR平均置信度偏低。"
 REASON_SCANNED = "PDF 是扫描件或关键字段需要 OCR 补充"
@@ -244,3 +245,8 @@ COMPARISON_HEADERS = {
     "result": "检测结果", "reason": "异常说明", "required": "是否必填",
     "confidence": "置信度",
 }
+
+# What may follow a label word on its line (the value is the group).
+AFTER_WORD = [r"(?U)^\s*[:：]\s*(.+)$", r"(?U)^\s{2,}(.+)$",
+              r"(?U)^\s+([A-Za-z0-9][A-Za-z0-9./ _()~:-]{0,60})$"]
+SIX_AFTER_WORD = [r"(?U)^\s*[:：]\s*(.+)$", r"(?U)^\s+(.+)$"]

@@ -75,7 +75,8 @@ def choose_drawing_text(df: DataFrame, cat: Catalogue = APPLIANCE) -> DataFrame:
     direct = direct.withColumn("_needs", needs).withColumn(
         "_ocr", F.when(F.col("_needs"), F.coalesce("ocr_text", F.lit(""))).otherwise(""))
     both = E.extract_fields(direct, cat, "_ocr").withColumn("n_ocr", R.n_filled()).drop(*R.RECORD)
-    failed = F.col("ocr_error") if "ocr_error" in df.columns else F.lit(None).cast("string")
+    error = F.col("ocr_error") if "ocr_error" in df.columns else F.lit(None).cast("string")
+    failed = F.concat(F.lit(fv.WARN_OCR_FAILED), error)
     take = F.col("_needs") & failed.isNull() & (F.col("n_ocr") >= F.col("n_direct"))
     warning = F.when(F.col("_needs"), F.when(short, fv.WARN_TEXT_TOO_SHORT)
                      .otherwise(fv.WARN_TOO_FEW_FIELDS))
@@ -152,10 +153,11 @@ def best_candidate(scored: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("warnings", quality_warnings("n_fields", "confidence"))
 
 
-def page_confidence(lines: DataFrame, keys: list[str], page_no: str) -> DataFrame:
-    """Unweighted mean of the page means."""
-    per_page = lines.groupBy(*keys, page_no).agg(F.avg("score").alias("_m"))
-    return per_page.groupBy(*keys).agg(F.round(F.avg("_m"), 4).alias("confidence"),
+def page_confidence(pages: DataFrame, keys: list[str], floor: float = fv.PAGE_SCORE_FLOOR) -> DataFrame:
+    """Unweighted mean of the page means, from page rows with their ``lines``; a page
+    without a kept line counts as 0."""
+    per_page = with_line_stats(pages, floor).select(*keys, "confidence")
+    return per_page.groupBy(*keys).agg(F.round(F.avg("confidence"), 4).alias("confidence"),
                                        F.count("*").alias("n_pages"))
 
 

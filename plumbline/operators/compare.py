@@ -135,11 +135,12 @@ def field_comparison(compared: DataFrame, keys: list[str], cat: Catalogue) -> Da
 
 # --- label against baseline label ----------------------------------------------
 
-def case_context(labels: DataFrame, cat: Catalogue) -> DataFrame:
-    """Per case: label count, last label number, fields filled by any label."""
+def case_context(labels: DataFrame, cat: Catalogue, *more: Column) -> DataFrame:
+    """Per case: label count, last label number, fields filled by any label, and what
+    the ``more`` aggregates say."""
     return labels.groupBy("case_id").agg(
         F.count("*").alias("n_labels"), F.max("label_no").alias("last_label_no"),
-        R.any_filled(cat).alias("_words")
+        R.any_filled(cat).alias("_words"), *more
     ).withColumn("active", R.active_ords("_words", cat)).drop("_words")
 
 
@@ -158,10 +159,13 @@ def compare_to_baseline(labels: DataFrame, cat: Catalogue, baseline_no: int = 1,
     a case without that label; otherwise such cases drop out here and are listed
     by ``baseline_violations``.
     """
-    context = case_context(labels, cat)
-    baseline = prefixed(labels.filter(F.col("label_no") == baseline_no).select(
-        "case_id", F.col("label_file").alias("baseline_file"), *R.RECORD), "baseline_")
-    context = context.join(baseline, "case_id", "left" if strict else "inner")
+    own = F.max(F.when(F.col("label_no") == baseline_no, F.struct("label_file", *R.RECORD)))
+    context = case_context(labels, cat, own.alias("_own"))
+    context = context.select("*", F.col("_own.label_file").alias("baseline_file"),
+                             *[F.col(f"_own.{c}").alias(f"baseline_{c}") for c in R.RECORD])
+    if not strict:
+        context = context.filter(F.col("_own").isNotNull())
+    context = context.drop("_own")
     if strict:
         context = context.withColumn("baseline_vals", F.when(
             F.col("baseline_vals").isNull(),

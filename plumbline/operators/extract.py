@@ -23,10 +23,6 @@ from plumbline.operators import records as R
 HIT = "array<struct<ord:int,stage:int,pick:int,line:int,rank:int,value:string>>"
 INLINE, ADJACENT, PATTERN, PHRASE = 1, 2, 3, 4
 
-# What may follow a label word on its line (the value is the group).
-_AFTER_WORD = [r"(?U)^\s*[:：]\s*(.+)$", r"(?U)^\s{2,}(.+)$",
-               r"(?U)^\s+([A-Za-z0-9][A-Za-z0-9./ _()~:-]{0,60})$"]
-_SIX_AFTER_WORD = [r"(?U)^\s*[:：]\s*(.+)$", r"(?U)^\s+(.+)$"]
 
 
 def _first_group(text: Column, patterns: list[str]) -> Column:
@@ -65,19 +61,19 @@ def _words_on_line(line: Column, table: Column, after: list[str], stage: int) ->
         _first_group(F.substr(line["x"], w["n"] + 1), after)))
 
 
-def _starts_with_word(cat: Catalogue) -> str:
-    """One pattern telling whether any label word could start a line with a value."""
-    words = sorted({w for _, _, w in cat.label_words}, key=len, reverse=True)
+def _starts_with_word(words) -> str:
+    """One pattern telling whether any of the words could start a line with a value."""
+    words = sorted(set(words), key=len, reverse=True)
     return r"(?iU)^(?:" + "|".join(re.escape(w) for w in words) + r")\s*(?:[:：]|\s)"
 
 
 def inline_hits(lines, cat: Catalogue, after=None, stage: int = INLINE) -> Column:
-    table, start = _word_table(cat), _starts_with_word(cat)
+    table, start = _word_table(cat), _starts_with_word(w for _, _, w in cat.label_words)
     numbered = F.transform(T.col(lines), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     likely = F.transform(F.filter(numbered, lambda s: s["x"].rlike(start)),
                          lambda s: s.withField("upper", F.upper(s["x"])))
     return F.flatten(F.transform(likely, lambda s: _words_on_line(
-        s, table, after or _AFTER_WORD, stage)))
+        s, table, after or fv.AFTER_WORD, stage)))
 
 
 def _keyed_lines(lines, cat: Catalogue) -> Column:
@@ -296,9 +292,11 @@ def extract_six_fields(df: DataFrame, cat: Catalogue, text: str = "text") -> Dat
     table = F.array(*[F.struct(F.lit(p).alias("ord"), F.lit(n).alias("rank"),
                                F.lit(w.upper()).alias("word"), F.lit(len(w)).alias("n"))
                       for p, f in enumerate(cat.fields) for n, w in enumerate(f.aliases)])
-    lines = F.transform("_lines", lambda x, i: F.struct(
-        i.alias("i"), x.alias("x"), F.upper(x).alias("upper")))
-    same = F.flatten(F.transform(lines, lambda s: _words_on_line(s, table, _SIX_AFTER_WORD, 2)))
+    start = _starts_with_word(w for f in cat.fields for w in f.aliases)
+    numbered = F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    lines = F.transform(F.filter(numbered, lambda s: s["x"].rlike(start)),
+                        lambda s: s.withField("upper", F.upper(s["x"])))
+    same = F.flatten(F.transform(lines, lambda s: _words_on_line(s, table, fv.SIX_AFTER_WORD, 2)))
     hits = F.filter(F.concat(near, same), lambda h: h["value"].isNotNull())
     out = T.fence(out, "hits", first_hits(hits))
     return (R.with_record(out, by_position(F.col("hits"), cat), cat, cleaned=True)

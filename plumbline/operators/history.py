@@ -99,7 +99,9 @@ def detail_of(details: DataFrame, detection_id: str) -> DataFrame:
 def with_details(history: DataFrame, details: DataFrame) -> DataFrame:
     """History rows with their detail, NULL where there is none; first detail per id."""
     payload = [c for c in details.columns if c not in history.columns]
-    first = details.groupBy("detection_id").agg(F.min(F.struct(*payload)).alias("detail"))
+    detail = F.struct(*payload)
+    # maps have no order of their own; their JSON has
+    first = details.groupBy("detection_id").agg(F.min_by(detail, F.to_json(detail)).alias("detail"))
     return history.join(first, "detection_id", "left")
 
 

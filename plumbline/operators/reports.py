@@ -8,7 +8,8 @@ from plumbline import fixed_values as fv
 from plumbline.catalogue import Catalogue
 from plumbline.functions import lookup, text as T
 from plumbline.operators import compare as C, records as R
-from plumbline.operators.skew import BLOCK_ROWS, ordered_concat
+from plumbline.operators import skew
+from plumbline.operators.skew import ordered_concat
 
 LABEL_KEYS = ["case_id", "label_no"]
 
@@ -88,18 +89,22 @@ def pivot_fields(long: DataFrame, keys: list[str], fields: list[str]) -> DataFra
 
 
 def inconsistent_sheet(issues: DataFrame, cases: DataFrame) -> DataFrame:
-    """Issue rows; a case without any gets one row saying so."""
+    """Issue rows; a case without any gets one row saying so. A field whose missing labels
+    fill several blocks has one row per block."""
     rows = cases.select("case_id").join(issues, "case_id", "left")
     return rows.select("case_id", F.coalesce("field_name", F.lit(fv.NO_DIFFERENCE_TEXT)).alias("field_name"),
+                       F.coalesce("block_no", F.lit(0)).alias("block_no"),
                        *[F.coalesce(c, F.lit("")).alias(c) for c in ("issue_type", "missing_labels")])
 
 
 def label_value_columns(values: DataFrame, n: int = fv.MAX_LABELS_PER_CASE) -> DataFrame:
-    """Values of the first ``n`` labels as columns label_1..label_n (the sheet's width)."""
-    shown = values.filter(F.col("label_no") <= n)
-    cells = [F.max(F.when(F.col("label_no") == i, F.col("value"))).alias(f"label_{i}")
-             for i in range(1, n + 1)]
-    return shown.groupBy("case_id", "field_name").agg(*cells)
+    """Values of all labels in columns label_1..label_n (the sheet's width): labels
+    1..n in block 0, the next ``n`` in block 1, and so on."""
+    at = F.col("label_no") - 1
+    cells = [F.max(F.when(F.pmod(at, F.lit(n)) == i, F.col("value"))).alias(f"label_{i + 1}")
+             for i in range(n)]
+    block = F.floor(at / F.lit(n)).cast("int")
+    return values.groupBy("case_id", "field_name", block.alias("block_no")).agg(*cells)
 
 
 def union_rows(*parts: DataFrame) -> DataFrame:
@@ -175,14 +180,15 @@ def case_errors(errors: DataFrame) -> DataFrame:
 def case_summary(drawings: DataFrame, summary: DataFrame, errors: DataFrame, seconds: DataFrame) -> DataFrame:
     """Per case: parse mode, pages, fields, labels, batch verdict, errors, seconds.
 
-    The error text is that of the first block; ``case_errors`` holds any further ones.
+    A case whose errors fill several blocks has one row per block, so none is cut.
     """
     n_labels = summary.groupBy("case_id").agg(F.count("*").alias("n_labels"))
-    first_errors = case_errors(errors).filter("block_no = 0").drop("block_no")
+    all_errors = case_errors(errors)
     return (drawings.select("case_id", "drawing_file", "parse_mode", "page_count",
                             R.n_filled().alias("n_drawing_fields"))
             .join(n_labels, "case_id", "left").join(C.batch_verdict(summary), "case_id", "left")
-            .join(first_errors, "case_id", "left").join(seconds, "case_id", "left")
+            .join(all_errors, "case_id", "left").join(seconds, "case_id", "left")
+            .withColumn("block_no", F.coalesce("block_no", F.lit(0)))
             .withColumn("n_labels", F.coalesce("n_labels", F.lit(0).cast("long")))
             .withColumn("batch_verdict", F.coalesce("verdict", F.lit("FAIL"))).drop("verdict")
             .withColumn("errors", F.coalesce("errors", F.lit(""))))
@@ -220,10 +226,10 @@ def export_tables(drawings: DataFrame, compared: DataFrame, horizontal: DataFram
     }
 
 
-def nested_case(compared: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nested_case(compared: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Case results as nested documents: labels with their comparison rows, in blocks
     of at most ``block_rows`` labels."""
-    block = F.floor((F.col("label_no") - 1) / F.lit(block_rows)).cast("int")
+    block = F.floor((F.col("label_no") - 1) / F.lit(block_rows or skew.BLOCK_ROWS)).cast("int")
     label = F.struct("label_no", "label_file", "verdict", "cmp")
     return compared.groupBy("case_id", block.alias("block_no")).agg(
         F.array_sort(F.collect_list(label)).alias("labels"))

@@ -89,14 +89,14 @@ def spread_over_blocks(per_case: DataFrame, last_label_no: str) -> DataFrame:
 
 
 def ordered_concat(df: DataFrame, keys: list[str], position: str, value: str, separator: str,
-                   out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Join values in position order, one row per ``block_rows`` positions.
+                   out: str, block_rows: int | None = None) -> DataFrame:
+    """Join values in position order, one row per ``block_rows`` (or BLOCK_ROWS) positions.
 
     Usual groups fit block 0 and give the one joined value; larger groups go on
     in further blocks, so no group is gathered beyond ``block_rows`` values.
     Positions count from 1 and are unique within the keys.
     """
-    block = F.floor((F.col(position) - 1) / F.lit(block_rows)).cast("int")
+    block = F.floor((F.col(position) - 1) / F.lit(block_rows or BLOCK_ROWS)).cast("int")
     pairs = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).cast("string").alias("v"))))
     return (df.groupBy(*keys, block.alias("block_no"))
               .agg(pairs.alias("_pairs"))

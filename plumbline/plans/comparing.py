@@ -9,6 +9,7 @@ from plumbline.catalogue import APPLIANCE as CAT
 from plumbline.operators import compare as C, records as R, rollup
 from plumbline.plans import derive, sql as S
 from plumbline.plans.registry import query
+from plumbline.session import saved
 
 
 def compared(spark, sf):
@@ -16,7 +17,7 @@ def compared(spark, sf):
 
 
 def horizontal(spark, sf):
-    return C.compare_to_baseline(derive.labels(spark, sf), CAT)
+    return C.compare_to_baseline(saved(derive.labels(spark, sf)), CAT)
 
 
 VERDICT_COLS = ["case_id", "label_no", "n_pass", "n_fail", "n_unknown", "verdict"]
@@ -98,7 +99,7 @@ def active_fields(spark, sf):
 @query("inconsistent_fields", S.BASE + """
 SELECT case_id, field_name, issue, n_values, n_missing, n_labels FROM issue""")
 def inconsistent_fields(spark, sf):
-    return rollup.inconsistent_fields(derive.labels(spark, sf), CAT).drop("field_ord")
+    return rollup.inconsistent_fields(saved(derive.labels(spark, sf)), CAT).drop("field_ord")
 
 
 @query("inconsistency_report", S.BASE + f"""
@@ -109,14 +110,14 @@ FROM issue i LEFT JOIN (
   string_agg(CAST(label_no AS STRING), '、' ORDER BY label_no) AS missing_labels
  FROM grid WHERE norm = '' GROUP BY ALL) m ON m.case_id = i.case_id AND m.ord = i.ord""")
 def inconsistency_report(spark, sf):
-    return rollup.inconsistency_report(derive.labels(spark, sf), CAT)
+    return rollup.inconsistency_report(saved(derive.labels(spark, sf)), CAT)
 
 
 @query("inconsistent_values", S.BASE + """
 SELECT g.case_id, g.label_no, g.label_file, g.field_name, g.value, g.norm = '' AS is_missing
 FROM grid g JOIN issue i ON i.case_id = g.case_id AND i.ord = g.ord""")
 def inconsistent_values(spark, sf):
-    labels = derive.labels(spark, sf)
+    labels = saved(derive.labels(spark, sf))
     return rollup.label_values(labels, CAT, rollup.inconsistent_fields(labels, CAT))
 
 
@@ -129,7 +130,7 @@ FROM (SELECT case_id, count(*) FILTER (verdict = 'PASS') AS n_label_pass,
  FROM verdict GROUP BY 1) v JOIN bverdict b ON b.case_id = v.case_id
 LEFT JOIN (SELECT case_id, count(*) AS n_inconsistent FROM issue GROUP BY 1) i ON i.case_id = v.case_id""")
 def batch_overview(spark, sf):
-    labels = derive.labels(spark, sf)
+    labels = saved(derive.labels(spark, sf))
     against_drawing = C.compare_to_drawing(labels, derive.drawings(spark, sf), CAT)
     return rollup.batch_overview(against_drawing, C.compare_to_baseline(labels, CAT),
                                  rollup.inconsistent_fields(labels, CAT))

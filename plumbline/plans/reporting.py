@@ -9,6 +9,7 @@ from plumbline.catalogue import APPLIANCE as CAT
 from plumbline.operators import compare as C, records as R, reports as P, rollup
 from plumbline.plans import derive, sql as S
 from plumbline.plans.registry import query, table
+from plumbline.session import saved
 
 KEYS = ["case_id", "label_no"]
 SHOWN = list(derive.LABEL_FIELDS)
@@ -92,22 +93,24 @@ def field_pivot(spark, sf):
 
 
 @query("inconsistent_sheet", S.BASE + f"""
-SELECT p.p_partkey AS case_id, coalesce(i.field_name, '未发现标签之间存在字段差异。') AS field_name,
+SELECT p.p_partkey AS case_id, coalesce(i.field_name, '未发现标签之间存在字段差异。') AS field_name, coalesce(m.block_no, 0) AS block_no,
  coalesce({S.by_words('i.issue', fv.ISSUE_WORDS)}, '') AS issue_type, coalesce(m.missing, '') AS missing_labels
 FROM part p LEFT JOIN issue i ON i.case_id = p.p_partkey LEFT JOIN (
- SELECT case_id, ord, string_agg(CAST(label_no AS STRING), '、' ORDER BY label_no) AS missing FROM grid WHERE norm = '' GROUP BY ALL) m
+ SELECT case_id, ord, CAST(floor((label_no - 1) / 10000) AS INT) AS block_no, string_agg(CAST(label_no AS STRING), '、' ORDER BY label_no) AS missing
+ FROM grid WHERE norm = '' GROUP BY ALL) m
  ON m.case_id = i.case_id AND m.ord = i.ord""")
 def inconsistent_sheet(spark, sf):
-    issues = rollup.inconsistency_report(derive.labels(spark, sf), CAT)
+    issues = rollup.inconsistency_report(saved(derive.labels(spark, sf)), CAT)
     return P.inconsistent_sheet(issues, derive.cases(spark, sf))
 
 
 @query("label_value_columns", S.BASE + """
-SELECT g.case_id, g.field_name, max(CASE WHEN label_no = 1 THEN value END) AS label_1, max(CASE WHEN label_no = 2 THEN value END) AS label_2,
- max(CASE WHEN label_no = 3 THEN value END) AS label_3, max(CASE WHEN label_no = 4 THEN value END) AS label_4, max(CASE WHEN label_no = 5 THEN value END) AS label_5
-FROM grid g JOIN issue i ON i.case_id = g.case_id AND i.ord = g.ord WHERE label_no <= 5 GROUP BY ALL""")
+SELECT g.case_id, g.field_name, CAST((label_no - 1) // 5 AS INT) AS block_no,
+ max(CASE WHEN label_no % 5 = 1 THEN value END) AS label_1, max(CASE WHEN label_no % 5 = 2 THEN value END) AS label_2,
+ max(CASE WHEN label_no % 5 = 3 THEN value END) AS label_3, max(CASE WHEN label_no % 5 = 4 THEN value END) AS label_4, max(CASE WHEN label_no % 5 = 0 THEN value END) AS label_5
+FROM grid g JOIN issue i ON i.case_id = g.case_id AND i.ord = g.ord GROUP BY ALL""")
 def label_value_columns(spark, sf):
-    labels = derive.labels(spark, sf)
+    labels = saved(derive.labels(spark, sf))
     values = rollup.label_values(labels, CAT, rollup.inconsistent_fields(labels, CAT))
     return P.label_value_columns(values)
 
@@ -226,14 +229,14 @@ def stage_timings(spark, sf):
 @query("case_summary", S.BASE + ", " + _ERRS + f"""
 SELECT d.case_id, concat('drawing_', d.case_id, '.pdf') AS drawing_file, {derive.PARSE_MODE.replace('case_id', 'd.case_id')} AS parse_mode,
  CASE WHEN d.case_id % 50 = 7 THEN 0 ELSE p_size END AS page_count, n_drawing_fields, coalesce(n_labels, 0) AS n_labels,
- b.verdict AS batch_verdict, coalesce(errors, '') AS errors, seconds
+ b.verdict AS batch_verdict, coalesce(e.block_no, 0) AS block_no, coalesce(errors, '') AS errors, seconds
 FROM draw d JOIN bverdict b ON b.case_id = d.case_id
 JOIN (SELECT case_id, count(*) FILTER (value <> '') AS n_drawing_fields FROM df GROUP BY 1) f ON f.case_id = d.case_id
 LEFT JOIN (SELECT case_id, count(*) AS n_labels FROM lab GROUP BY 1) n ON n.case_id = d.case_id
-LEFT JOIN (SELECT case_id, string_agg(e, '；' ORDER BY pos) AS errors FROM errs WHERE pos < 10000 GROUP BY 1) e ON e.case_id = d.case_id
+LEFT JOIN (SELECT case_id, CAST(floor(pos / 10000) AS INT) AS block_no, string_agg(e, '；' ORDER BY pos) AS errors FROM errs GROUP BY ALL) e ON e.case_id = d.case_id
 LEFT JOIN (SELECT l_partkey, round(sum(l_quantity / 1000), 3) AS seconds FROM lineitem GROUP BY 1) t ON l_partkey = d.case_id""")
 def case_summary(spark, sf):
-    labels = derive.label_facts(spark, sf)
+    labels = saved(derive.label_facts(spark, sf))
     drawings = derive.drawing_facts(spark, sf)
     summary = C.label_summary(C.compare_to_baseline(labels, CAT))
     return P.case_summary(drawings, summary, P.error_rows(drawings, labels),

@@ -201,12 +201,15 @@ def reextract_empty(spark, sf):
 
 @query("page_confidence", """
 SELECT l_orderkey AS doc_id, round(avg(m), 4) AS confidence, count(*) AS n_pages FROM (
- SELECT l_orderkey, l_linenumber, avg(l_quantity) AS m FROM lineitem GROUP BY ALL) GROUP BY 1""")
+ SELECT l_orderkey, l_linenumber, coalesce(list_avg(list_filter([l_quantity / 53, l_discount * 9.713177, l_tax * 4.397753], lambda s: s >= 0.25)), 0.0) AS m
+ FROM lineitem) GROUP BY 1""")
 def page_confidence(spark, sf):
-    """Orders as documents, line numbers as pages, quantities as line scores."""
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), F.col("l_quantity").alias("score"))
-    return X.page_confidence(lines, ["doc_id"], "page_no")
+    """Line items as pages of their order, with three lines each; some pages keep none."""
+    scores = [F.col("l_quantity") / 53, F.col("l_discount") * 9.713177, F.col("l_tax") * 4.397753]
+    lines = F.array(*[F.struct(F.lit(i + 1).alias("line_no"), F.lit("line").alias("text"), s.cast("double").alias("score"))
+                      for i, s in enumerate(scores)])
+    pages = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), lines.alias("lines"))
+    return X.page_confidence(pages, ["doc_id"])
 
 
 @query("low_confidence", """

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -20,3 +23,17 @@ def configure(spark: SparkSession) -> SparkSession:
     }.items():
         spark.conf.set(key, value)
     return spark
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows written once to shared storage and read back.
+
+    For results that several later steps start from: they are computed once, and a
+    lost executor costs no recomputation. The folder lies below spark.checkpoint.dir;
+    where that is unset (one machine) in a temporary folder.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,15 +7,48 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from plumbline import fixed_values as fv
 from plumbline.functions import text as T
 from plumbline.operators.skew import join_unique
+from plumbline.session import saved
 
 MANIFEST_SCHEMA = "case_id string, drawing string, labels array<string>"
 
 
+LISTING = "path string, is_dir boolean"
+#: Entries handed over at a time while listing.
+LISTING_ROWS = 10_000
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Relative paths of everything below ``root``, directories too (contents are not read).
+
+    Any file system Spark knows, with or without a scheme in ``root``. Unlike Spark's
+    own file index it shows empty files, empty directories and names with a leading
+    ``_`` or ``.``. Only names pass the driver, as for every listing; they are written
+    to shared storage part by part.
+    """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    parts, rows, waiting = [], [], [top]
+    while waiting:
+        for entry in fs.listStatus(waiting.pop()):
+            path = entry.getPath()
+            rows.append((path.toUri().getPath().removeprefix(prefix), entry.isDirectory()))
+            if entry.isDirectory():
+                waiting.append(path)
+            if len(rows) == LISTING_ROWS:
+                parts.append(saved(spark.createDataFrame(rows, LISTING)))
+                rows = []
+    parts.append(spark.createDataFrame(rows, LISTING))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Relative paths of all files below ``root`` (contents are not read)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
-    return files.select(T.relative_path(path, root).alias("path"))
+    """Relative paths of all files below ``root``."""
+    return list_tree(spark, root).filter("NOT is_dir").select("path")
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -35,26 +68,28 @@ def images(files: DataFrame) -> DataFrame:
 
 
 def _case_files(files: DataFrame) -> DataFrame:
-    """Files inside a case directory, with their sort key."""
+    """Entries inside a case directory, with their sort key. A listing without ``is_dir``
+    holds files only."""
+    is_dir = F.col("is_dir") if "is_dir" in files.columns else F.lit(False)
     parts = T.path_order("path")
-    inner = files.withColumn("_parts", parts).filter(F.size("_parts") > 1)
-    label_dir = F.when((F.size("_parts") > 2) & F.lower(F.get("_parts", F.lit(1)))
+    inner = files.withColumn("_parts", parts).withColumn("_is_dir", is_dir).filter(F.size("_parts") > 1)
+    label_dir = F.when(((F.size("_parts") > 2) | F.col("_is_dir")) & F.lower(F.get("_parts", F.lit(1)))
                        .startswith(fv.LABEL_DIR_PREFIX), F.get("_parts", F.lit(1)))
-    return inner.select("path", "_parts", F.get("_parts", F.lit(0)).alias("case_id"),
+    return inner.select("path", "_parts", "_is_dir", F.get("_parts", F.lit(0)).alias("case_id"),
                         label_dir.alias("label_dir"))
 
 
 def choose_labels(files: DataFrame, cap: int = fv.MAX_LABELS_PER_CASE) -> DataFrame:
     """Label images of each case, numbered: (case_id, label_no, path).
 
-    With label directories, the first image of each; else all loose images. The
+    With label directories (empty ones count), the first image of each; else all loose images. The
     ``cap`` is the feature's own; ranking by it keeps only ``cap`` rows per case
     and task before the shuffle.
     """
     inside = _case_files(files)
     uses_dirs = inside.groupBy("case_id").agg(
         F.max(F.when(F.col("label_dir").isNotNull(), 1).otherwise(0)).alias("_dirs"))
-    pictures = inside.filter(has_suffix("path", fv.IMAGE_SUFFIXES))
+    pictures = inside.filter(has_suffix("path", fv.IMAGE_SUFFIXES) & ~F.col("_is_dir"))
     firsts = (pictures.filter(F.col("label_dir").isNotNull())
               .groupBy("case_id", "label_dir").agg(F.min("_parts").alias("_parts"))
               .select("case_id", F.lit(1).alias("_dirs"), "_parts"))
@@ -69,7 +104,7 @@ def choose_labels(files: DataFrame, cap: int = fv.MAX_LABELS_PER_CASE) -> DataFr
 def scan_cases(files: DataFrame) -> DataFrame:
     """Manifest rows from a listing: first drawing and chosen labels of every case
     that has either. At most ``cap`` labels per case are ever gathered."""
-    drawings = (_case_files(files).filter(has_suffix("path", fv.DRAWING_SUFFIXES))
+    drawings = (_case_files(files).filter(has_suffix("path", fv.DRAWING_SUFFIXES) & ~F.col("_is_dir"))
                 .groupBy("case_id").agg(F.array_join(F.min("_parts"), "/").alias("drawing")))
     labels = choose_labels(files).groupBy("case_id").agg(
         F.array_sort(F.collect_list(F.struct("label_no", "path")))["path"].alias("labels"))
@@ -88,7 +123,7 @@ def load_or_scan(spark: SparkSession, root: str, manifest: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(manifest)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        scan_cases(list_files(spark, root)).write.json(manifest)
+        scan_cases(list_tree(spark, root)).write.json(manifest)
     return read_manifest(spark, manifest, one_array=fs.getFileStatus(path).isFile())
 
 

@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.operators import history as H
 
-def append_history(detections: DataFrame, path: str) -> None:
-    H.summary_rows(detections).write.mode("append").partitionBy("detection_date").parquet(path)
+def batch_folder(path: str, batch: str) -> str:
+    """Both tables have one folder per batch, and in it one per date."""
+    return f"{path.rstrip('/')}/batch={batch}"
+
+
+def append_history(detections: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add rows, as a batch of their own unless one is named."""
+    folder = batch_folder(path, batch or uuid.uuid4().hex)
+    H.summary_rows(detections).write.mode("append").partitionBy("detection_date").parquet(folder)
 
 
-def append_details(detections: DataFrame, path: str) -> None:
-    detections.write.mode("append").partitionBy("detection_date").json(path)
+def append_details(detections: DataFrame, path: str, batch: str | None = None) -> None:
+    """As JSON lines."""
+    folder = batch_folder(path, batch or uuid.uuid4().hex)
+    detections.write.mode("append").partitionBy("detection_date").json(folder)
 
 
-def _replace_batch(df: DataFrame, path: str, batch: str) -> None:
-    """Write one batch's partitions; writing the same batch again replaces them."""
-    (df.withColumn("batch", F.lit(batch)).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "detection_date").parquet(path))
+def _replace_batch(df: DataFrame, path: str, batch: str) -> DataFrame:
+    """Write one batch's folder anew, whatever dates it held, and read just that folder."""
+    folder = batch_folder(path, batch)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+       .partitionBy("detection_date").parquet(folder))
+    return df.sparkSession.read.option("basePath", folder).parquet(folder)
 
 
 def save_detections(detections: DataFrame, history_path: str, detail_path: str, batch: str) -> None:
@@ -27,8 +40,7 @@ def save_detections(detections: DataFrame, history_path: str, detail_path: str,
     The comparison runs once, both tables agree, and a batch repeated after a
     failure replaces itself instead of adding rows twice.
     """
-    _replace_batch(detections, detail_path, batch)
-    written = detections.sparkSession.read.parquet(detail_path).filter(F.col("batch") == batch)
+    written = _replace_batch(detections, detail_path, batch)
     _replace_batch(H.summary_rows(written), history_path, batch)
 
 

@@ -52,3 +52,16 @@ def test_warnings(spark):
     df = spark.createDataFrame([(0, 0.5), (3, 0.65), (3, 0.64999)], "n long, c double")
     got = [r[0] for r in df.select(F.size(X.quality_warnings("n", "c"))).collect()]
     assert got == [2, 0, 0]
+
+
+def test_empty_pages_count_as_zero(spark):
+    line = "array<struct<line_no:int,text:string,score:double>>"
+    pages = spark.createDataFrame([(1, [(1, "a", 0.9)]), (1, [(1, "b", 0.2), (2, " ", 0.9)]), (2, [(1, "c", 0.25)]), (3, [])], f"doc int, lines {line}")
+    got = {r["doc"]: (r["confidence"], r["n_pages"]) for r in X.page_confidence(pages, ["doc"]).collect()}
+    assert got == {1: (0.45, 2), 2: (0.25, 1), 3: (0.0, 1)}
+
+
+def test_failed_recognition_keeps_the_text_layer(spark):
+    df = spark.createDataFrame([("short", None, "boom")], "direct_text string, ocr_text string, ocr_error string")
+    r = X.choose_drawing_text(df).first()
+    assert r["parse_mode"] == "text" and r["raw_text"] == "short" and r["warnings"][1] == "PDF OCR失败，保留文字层结果：boom"

@@ -122,3 +122,37 @@ def test_localized_history(spark):
     df = spark.createDataFrame([("x", "REVIEW")], "drawing_file string, result string")
     shown = H.localize(df, {"drawing_file": "图纸文件名", "result": "总体结果"})
     assert shown.columns == ["图纸文件名", "总体结果"] and shown.first()[1] == "待人工确认"
+
+
+def test_no_error_label_or_block_is_cut(spark, monkeypatch):
+    from plumbline.operators import skew
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 2)
+    rows = [(1, n, {"brand": "A"} if n == 1 else {"serial_no": str(n)}) for n in range(1, 8)] + [(2, 1, {"brand": "B"})]
+    labels = labels_of(spark, rows)
+    report = rollup.inconsistency_report(labels, CAT)
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id int")
+    sheet = P.inconsistent_sheet(report, cases).collect()
+    brand = sorted((r["block_no"], r["missing_labels"]) for r in sheet if r["field_name"] == "brand")
+    assert brand == [(0, "2"), (1, "3、4"), (2, "5、6"), (3, "7")]
+    assert sorted((r["case_id"], r["block_no"], r["issue_type"]) for r in sheet if r["case_id"] > 1) == [(2, 0, ""), (3, 0, "")]
+    values = P.label_value_columns(rollup.label_values(labels, CAT, rollup.inconsistent_fields(labels, CAT)))
+    serial = {r["block_no"]: [r[f"label_{i}"] for i in range(1, 6)] for r in values.filter("field_name = 'serial_no'").collect()}
+    assert serial == {0: ["", "2", "3", "4", "5"], 1: ["6", "7", None, None, None]}
+    faults = labels.withColumn("error", F.concat(F.lit("e"), F.col("label_no").cast("string"))).filter("case_id = 1")
+    drawings = drawings_of(spark, [(1, {}), (2, {"brand": "B"})]).withColumns(
+        {"parse_mode": F.lit("text"), "page_count": F.lit(1), "error": F.lit(None).cast("string")})
+    summary = P.case_summary(drawings, C.label_summary(C.compare_to_baseline(labels, CAT)), P.error_rows(drawings, faults),
+                             spark.createDataFrame([(1, 0.5)], "case_id int, seconds double")).collect()
+    texts = [r["errors"] for r in sorted(summary, key=lambda r: (r["case_id"], r["block_no"])) if r["case_id"] == 1]
+    assert [t.count("；") + 1 for t in texts] == [1, 2, 2, 2] and "；".join(texts).count("OCR失败") == 7
+    assert [(r["block_no"], r["errors"]) for r in summary if r["case_id"] == 2] == [(0, "")]
+    nested = P.nested_case(C.compare_to_drawing(labels, drawings, CAT)).collect()
+    assert sum(len(r["labels"]) for r in nested) == 8 and max(len(r["labels"]) for r in nested) == 2
+
+
+def test_cases_without_the_baseline_label(spark):
+    labels = labels_of(spark, [(1, 1, {"brand": "A"}), (1, 2, {"brand": "B"}), (2, 1, {"brand": "A"})])
+    loose = C.compare_to_baseline(labels, CAT, baseline_no=2, strict=False)
+    assert {r["case_id"] for r in loose.collect()} == {1}
+    with pytest.raises(Exception, match="baseline label out of range"):
+        C.compare_to_baseline(labels, CAT, baseline_no=2).collect()

@@ -132,3 +132,45 @@ def test_records_round_trip(spark):
     assert (first["ords"], first["vals"], first["norms"]) == ([23], ["A"], ["A"])
     back = R.from_long(R.to_long(labels, ["case_id", "label_no"], CAT), ["case_id", "label_no"], CAT)
     assert back.count() == 1 and back.first()["vals"] == ["A"]
+
+
+def test_listing_shows_everything_under_any_root(spark, folder):
+    root = os.path.join(folder, "root")
+    touch(root, "c1/loose.png", "_case3/a.pdf", "c4/.hidden.jpg", "c5/x.pdf")
+    os.makedirs(os.path.join(root, "c1/label_empty"))
+    open(os.path.join(root, "c5/empty.png"), "w").close()
+    for where in (root, "file://" + root, "file:" + root + "/"):
+        files = sorted(r["path"] for r in K.list_files(spark, where).collect())
+        assert files == ["_case3/a.pdf", "c1/loose.png", "c4/.hidden.jpg", "c5/empty.png", "c5/x.pdf"]
+        cases = {r["case_id"]: (r["drawing"], r["labels"]) for r in K.scan_cases(K.list_tree(spark, where)).collect()}
+        # c1: its label directory is empty, so its loose image is not taken
+        assert cases == {"_case3": ("_case3/a.pdf", []), "c4": ("", ["c4/.hidden.jpg"]), "c5": ("c5/x.pdf", ["c5/empty.png"])}
+
+
+def test_rerun_with_fewer_dates_leaves_none_behind(spark, folder):
+    rows = detections(spark)
+    later = rows.withColumn("detection_date", F.date_add("detection_date", F.when(F.col("result") == "FAIL", 1).otherwise(0)))
+    sinks.save_detections(later, folder + "/h", folder + "/d", "b1")
+    sinks.save_detections(rows.filter("result = 'PASS'"), folder + "/h", folder + "/d", "b2")
+    sinks.save_detections(later.filter("result = 'PASS'"), folder + "/h", folder + "/d", "b1")
+    assert sorted((r["batch"], r["result"]) for r in sinks.read_history(spark, folder + "/h").collect()) == [("b1", "PASS"), ("b2", "PASS")]
+    assert spark.read.parquet(folder + "/d").count() == 2
+
+
+def test_appended_tables(spark, folder):
+    rows = detections(spark)
+    for _ in range(2):
+        sinks.append_history(rows, folder + "/h")
+        sinks.append_details(rows, folder + "/d")
+    assert sinks.read_history(spark, folder + "/h").count() == 4
+    details = sinks.read_details(spark, folder + "/d", "detection_id string, label_fields map<string,string>")
+    assert details.count() == 4 and details.filter("label_fields['brand'] = 'B'").count() == 2
+
+
+def test_details_of_saved_tables(spark, folder):
+    sinks.save_detections(detections(spark), folder + "/h", folder + "/d", "b1")
+    history, details = sinks.read_history(spark, folder + "/h"), spark.read.parquet(folder + "/d")
+    more = history.union(history.withColumn("detection_id", F.lit("none")).limit(1))
+    got = H.with_details(more, details.union(details)).collect()
+    found = {r["detection_id"]: r["detail"] and r["detail"]["label_fields"]["brand"] for r in got}
+    assert len(got) == 3 and sorted(map(str, found.values())) == ["A", "B", "None"] and found["none"] is None
