@@ -96,16 +96,27 @@ def _fields(source: str, fields: dict[str, str], keys: str) -> str:
 
 _ORDER = ", ".join(derive.LABEL_ORDER)
 
-# lab: labels; lf / df: their field values, '' where absent; used: comparison rows
-BASE = f"""WITH {rule_table()},
+# lab: labels; draw: drawings; lf / df: their field values, '' where absent; used: comparison rows
+LAB = f"""WITH {rule_table()},
 lab AS (SELECT i.*, p_name, p_brand, p_size FROM (
   SELECT l_partkey AS case_id, {derive.LABEL_CLASS} AS h,
    CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY {_ORDER}) AS INT) AS label_no,
    concat('label_', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING), '.jpg') AS label_file,
    l_orderkey, l_linenumber, l_discount, l_tax, l_shipdate
   FROM lineitem) i JOIN part ON p_partkey = case_id),
+draw AS (SELECT p_partkey AS case_id, * FROM part)"""
+
+VERDICT = f"""cmp AS (SELECT *, CASE WHEN dv = '' AND lv = '' THEN 'not_applicable' WHEN dv = '' THEN 'drawing_missing'
+   WHEN lv = '' THEN 'label_missing' WHEN dn = ln THEN 'match' ELSE 'mismatch' END AS status FROM cmp0),
+verdict AS (SELECT case_id, label_no, label_file,
+   count(*) FILTER (status = 'match') AS n_pass, count(*) FILTER (status = 'mismatch') AS n_fail,
+   count(*) FILTER (status NOT IN ('match', 'mismatch')) AS n_unknown,
+   CASE WHEN count(*) FILTER (status = 'mismatch') > 0 THEN 'FAIL'
+        WHEN count(*) FILTER (status NOT IN ('match', 'mismatch')) > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict
+  FROM cmp GROUP BY ALL)"""
+
+BASE = LAB + f""",
 lf AS ({_fields('lab', derive.LABEL_FIELDS, 'case_id, label_no, label_file')}),
-draw AS (SELECT p_partkey AS case_id, * FROM part),
 df AS ({_fields('draw', derive.DRAWING_FIELDS, 'case_id')}),
 pairs AS (SELECT lf.case_id, lf.label_no, lf.label_file, lf.ord, lf.field_name,
    df.value AS dv, lf.value AS lv, df.norm AS dn, lf.norm AS ln
@@ -116,14 +127,7 @@ cmp0 AS (SELECT * FROM used UNION ALL
   FROM lab l CROSS JOIN rules r
   WHERE r.ord < {fv.DEFAULT_FIELD_COUNT} AND NOT EXISTS (
     SELECT 1 FROM used u WHERE u.case_id = l.case_id AND u.label_no = l.label_no)),
-cmp AS (SELECT *, CASE WHEN dv = '' AND lv = '' THEN 'not_applicable' WHEN dv = '' THEN 'drawing_missing'
-   WHEN lv = '' THEN 'label_missing' WHEN dn = ln THEN 'match' ELSE 'mismatch' END AS status FROM cmp0),
-verdict AS (SELECT case_id, label_no, label_file,
-   count(*) FILTER (status = 'match') AS n_pass, count(*) FILTER (status = 'mismatch') AS n_fail,
-   count(*) FILTER (status NOT IN ('match', 'mismatch')) AS n_unknown,
-   CASE WHEN count(*) FILTER (status = 'mismatch') > 0 THEN 'FAIL'
-        WHEN count(*) FILTER (status NOT IN ('match', 'mismatch')) > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict
-  FROM cmp GROUP BY ALL),
+{VERDICT},
 filled AS (SELECT DISTINCT case_id, ord FROM lf WHERE value <> ''),
 active AS (SELECT case_id, ord FROM filled UNION ALL
   SELECT c.case_id, r.ord FROM (SELECT DISTINCT case_id FROM lab) c CROSS JOIN rules r
