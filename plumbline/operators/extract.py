@@ -230,13 +230,35 @@ def extract_fields(df: DataFrame, cat: Catalogue = APPLIANCE, text: str = "text"
     return record_from_hits(with_hits(df, cat, text), cat).drop("hits")
 
 
+def with_page_headers(pages: DataFrame, keys: list[str], page_no: str, text: str = "text") -> DataFrame:
+    """Each page's text between its own header line and that of the page after it.
+
+    A header is a line like any other, so it takes what a label word at the end of a
+    page announces, and no value reaches beyond it. Pages are numbered without gaps.
+    """
+    last = pages.groupBy(*keys).agg(F.max(page_no).alias("_last"))
+    before, after = fv.PAGE_HEADER
+
+    def header(number) -> Column:
+        return F.concat(F.lit(before), number.cast("string"), F.lit(after))
+    following = F.when(F.col(page_no) < F.col("_last"), F.concat(F.lit(fv.PAGE_SEPARATOR), header(F.col(page_no) + 1)))
+    return (pages.join(last, keys)
+            .withColumn(text, F.concat(header(F.col(page_no)), F.col(text), F.coalesce(following, F.lit(""))))
+            .drop("_last"))
+
+
 def extract_document_fields(pages: DataFrame, keys: list[str], page_no: str,
-                            cat: Catalogue = APPLIANCE, text: str = "text") -> DataFrame:
+                            cat: Catalogue = APPLIANCE, text: str = "text",
+                            headers: bool = False) -> DataFrame:
     """One record per document from its pages, each extracted on its own.
 
     Only the few hits of a page are shuffled, and folding them is a minimum with
-    partial aggregation, so a document may have any number of pages.
+    partial aggregation, so a document may have any number of pages. ``headers``
+    gives what the joined text of all pages under their header lines gives; without
+    it a page end just ends the search.
     """
+    if headers:
+        pages = with_page_headers(pages, keys, page_no, text)
     hit = F.col("_h")
     rows = (with_hits(pages, cat, text)
             .select(*keys, F.col(page_no).alias("_page"), F.explode("hits").alias("_h"))

@@ -10,6 +10,7 @@ from plumbline.functions import lookup, text as T
 from plumbline.operators import extract as E, records as R
 from plumbline.plans import derive, sql as S
 from plumbline.plans.registry import query, table, text_table
+from plumbline.sources import cases
 
 
 def docs(spark, sf):
@@ -259,13 +260,24 @@ def extract_record(spark, sf):
     return R.to_long(rows, KEYS, CAT).drop("field_ord", "norm")
 
 
-DOC_FULL = (f"WITH {S.rule_table()}, src AS (SELECT doc_id, text FROM documents), "
+# Documents with label lines at their end; equal texts stay equal.
+DOC_TEXT = ("concat(text, chr(10), 'Model: L', CAST(length(text) % 97 AS STRING), chr(10), 'S/N', chr(10), 'SN-', "
+            "CAST(length(text) % 53 AS STRING), CASE WHEN length(text) % 3 = 0 THEN concat(chr(10), 'MADE IN CHINA') ELSE '' END)")
+DOC_FULL = (f"WITH {S.rule_table()}, src AS (SELECT doc_id, {DOC_TEXT} AS text FROM documents), "
             + lines_ctes("doc_id") + ", " + pattern_ctes("doc_id"))
 
 
 @query("extract_record_docs", DOC_FULL + out("rec", "doc_id"))
 def extract_record_docs(spark, sf):
-    return R.to_long(E.extract_fields(docs(spark, sf).select("doc_id", "text"), CAT), ["doc_id"], CAT).drop("field_ord", "norm")
+    texts = docs(spark, sf).select("doc_id", F.expr(DOC_TEXT).alias("text"))
+    return R.to_long(E.extract_fields(texts, CAT), ["doc_id"], CAT).drop("field_ord", "norm")
+
+
+@query("extract_distinct_docs", DOC_FULL + out("rec", "doc_id"))
+def extract_distinct_docs(spark, sf):
+    """The same records, each distinct text read once."""
+    texts = docs(spark, sf).select("doc_id", F.expr(DOC_TEXT).alias("text"))
+    return R.to_long(cases.extract_distinct(texts, "doc_id", "text", CAT), ["doc_id"], CAT).drop("field_ord", "norm")
 
 
 @query("summarize_fields", FULL + f" SELECT {K}, count(*) AS n_fields, string_agg(field_name, '、' ORDER BY ord) AS fields FROM rec JOIN rules USING (ord) GROUP BY ALL")

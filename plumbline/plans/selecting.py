@@ -84,6 +84,21 @@ def document_fields(spark, sf):
     return R.to_long(E.extract_document_fields(turns, ["conv_id"], "turn", CAT), ["conv_id"], CAT).drop("field_ord", "norm")
 
 
+_ENDS = ("CASE WHEN turn % 2 = 0 THEN concat('Model: M', CAST(turn AS STRING)) WHEN turn % 4 = 1 THEN concat('x', chr(10), 'S/N') "
+         "ELSE concat('S/N', chr(10), 'SN-', CAST(turn AS STRING)) END")
+
+
+@query("document_fields_headed", f"""WITH {S.rule_table()}, src AS (SELECT conv_id, string_agg(concat('===== 第 ', CAST(turn + 1 AS STRING), ' 页 =====', chr(10),
+ text, chr(10), {_ENDS}), concat(chr(10), chr(10)) ORDER BY turn) AS text FROM conversations GROUP BY ALL), """
+       + lines_ctes("conv_id") + ", " + pattern_ctes("conv_id") + " SELECT conv_id, field_name, v AS value FROM rec JOIN rules USING (ord)")
+def document_fields_headed(spark, sf):
+    """Page by page, the record of the joined text: some pages end with a label word."""
+    turns = table(spark, sf, "conversations").select(
+        "conv_id", (F.col("turn") + 1).alias("page_no"), F.expr(f"concat(text, chr(10), {_ENDS})").alias("text"))
+    record = E.extract_document_fields(turns, ["conv_id"], "page_no", CAT, headers=True)
+    return R.to_long(record, ["conv_id"], CAT).drop("field_ord", "norm")
+
+
 # --- one drawing per part: text layer against recognised text ---------------------------
 
 _DIRECT = (f"CASE case_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('NAME: ', p_name) "

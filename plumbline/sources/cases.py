@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline import fixed_values as fv
+from plumbline.catalogue import APPLIANCE, Catalogue
 from plumbline.functions import text as T
+from plumbline.operators import extract as E, records as R
 from plumbline.operators.skew import join_unique
 from plumbline.session import saved
 
@@ -144,6 +146,16 @@ def dedupe_content(docs: DataFrame, key: str, content: Column) -> DataFrame:
     return joined.withColumn("from_cache", F.col(key) != F.col("first_" + key))
 
 
+def extract_distinct(docs: DataFrame, key: str, text: str, cat: Catalogue = APPLIANCE) -> DataFrame:
+    """Records of all documents, each distinct text extracted once and its record handed
+    to the copies. Very frequent texts are met by broadcast, the others by digest."""
+    marked = saved(dedupe_content(docs.select(key, text), key, F.col(text)))
+    first = marked.filter(~F.col("from_cache")).dropDuplicates(["content_sha256"])
+    own = E.extract_fields(first, cat, text).select("content_sha256", "n_copies", *R.RECORD)
+    copies = marked.select(key, "content_sha256", "from_cache")
+    return join_unique(copies, own, ["content_sha256"], "n_copies", [key]).drop("n_copies")
+
+
 def new_content(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Documents whose digest is not processed yet (incremental runs)."""
     return docs.join(known.select("content_sha256").distinct(), "content_sha256", "left_anti")
