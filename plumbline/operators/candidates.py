@@ -62,19 +62,20 @@ def rank_modes(pages: DataFrame, keys: list[str], cat: Catalogue = APPLIANCE) ->
 
 
 def choose_drawing_text(df: DataFrame, cat: Catalogue = APPLIANCE) -> DataFrame:
-    """Text layer or recognised text: (direct_text, ocr_text) -> raw_text, parse_mode, warnings.
+    """Text layer or recognised text: (direct_text, ocr_text) -> raw_text, parse_mode, warnings
+    and the record of the chosen text, which need not be extracted again.
 
     Recognised text is looked at only where the text layer is short or poor in
     fields, and taken if it yields at least as many fields. An ``ocr_error``
     column, if there, keeps the text layer and adds its message.
     """
-    direct = E.extract_fields(df, cat, "direct_text").withColumn(
-        "n_direct", R.n_filled()).drop(*R.RECORD)
+    direct = (E.extract_fields(df, cat, "direct_text").withColumn("n_direct", R.n_filled())
+              .withColumn("_direct", F.struct(*R.RECORD)).drop(*R.RECORD))
     short = F.length(T.strip("direct_text")) < fv.MIN_DIRECT_TEXT_CHARS
     needs = short | (F.col("n_direct") < fv.ENOUGH_FIELDS)
     direct = direct.withColumn("_needs", needs).withColumn(
         "_ocr", F.when(F.col("_needs"), F.coalesce("ocr_text", F.lit(""))).otherwise(""))
-    both = E.extract_fields(direct, cat, "_ocr").withColumn("n_ocr", R.n_filled()).drop(*R.RECORD)
+    both = E.extract_fields(direct, cat, "_ocr").withColumn("n_ocr", R.n_filled())
     error = F.col("ocr_error") if "ocr_error" in df.columns else F.lit(None).cast("string")
     failed = F.concat(F.lit(fv.WARN_OCR_FAILED), error)
     take = F.col("_needs") & failed.isNull() & (F.col("n_ocr") >= F.col("n_direct"))
@@ -84,7 +85,8 @@ def choose_drawing_text(df: DataFrame, cat: Catalogue = APPLIANCE) -> DataFrame:
             .withColumn("parse_mode", F.when(take, "ocr").otherwise("text"))
             .withColumn("warnings", F.array_compact(F.array(
                 warning, F.when(F.col("_needs"), failed))))
-            .drop("_needs", "_ocr"))
+            .withColumns({c: F.when(take, F.col(c)).otherwise(F.col(f"_direct.{c}")) for c in R.RECORD})
+            .drop("_needs", "_ocr", "_direct"))
 
 
 # --- recognised lines ---------------------------------------------------------------

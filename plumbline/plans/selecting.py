@@ -129,6 +129,15 @@ def ocr_fallback(spark, sf):
         F.array_join("warnings", fv.MESSAGE_SEPARATOR).alias("warnings"))
 
 
+@query("drawing_record", _DRAW + f""",
+d AS (SELECT d.case_id, CASE WHEN (length({S.strip('d.text')}) < 80 OR d.n < 4) AND o.n >= d.n THEN 1 ELSE 0 END AS kind
+ FROM nf d JOIN nf o ON o.case_id = d.case_id AND o.kind = 1 AND d.kind = 0)
+SELECT case_id, field_name, v AS value FROM d JOIN rec USING (case_id, kind) JOIN rules USING (ord)""")
+def drawing_record(spark, sf):
+    """The record of whichever text was chosen."""
+    return R.to_long(drawing_choice(spark, sf), ["case_id"], CAT).drop("field_ord", "norm")
+
+
 # --- three recognitions of one label per part ---------------------------------------------
 
 _CAND = [derive.DRAWING_TEXT.replace("'NAME: '", "CASE WHEN case_id % 2 = 0 THEN 'NAME; ' ELSE 'NAME: ' END").replace(
