@@ -55,8 +55,10 @@ def strip(c) -> Column:
 
 
 def nfkc(c) -> Column:
-    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"),
-                     F.coalesce(col(c).cast("string"), F.lit("")), F.lit(True))
+    """Compatibility composition; text of one byte per character is its own."""
+    c = F.coalesce(col(c).cast("string"), F.lit(""))
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(composed)
 
 
 def replace_each(c, pairs: dict[str, str]) -> Column:
