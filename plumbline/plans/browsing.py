@@ -164,7 +164,7 @@ def files(spark, sf):
 _FILES = f"""WITH files AS (SELECT DISTINCT path, string_split(path, '/') AS parts FROM ({' UNION ALL '.join(_PATHS)})),
 f AS (SELECT path, parts, parts[1] AS case_id, CASE WHEN len(parts) > 2 AND starts_with(lower(parts[2]), 'label') THEN parts[2] END AS label_dir,
  lower(regexp_extract(parts[-1], '^.+(\\.[^.]+)$', 1)) AS suffix FROM files),
-img AS (SELECT * FROM f WHERE suffix IN ('.jpg', '.jpeg', '.png', '.bmp', '.tif', '.tiff')),
+img AS (SELECT * FROM f WHERE suffix IN ({', '.join(map(S.q, fv.IMAGE_SUFFIXES))})),
 dirs AS (SELECT case_id, bool_or(label_dir IS NOT NULL) AS uses FROM f GROUP BY 1),
 pick AS (SELECT case_id, parts FROM (SELECT case_id, label_dir, min(parts) AS parts FROM img WHERE label_dir IS NOT NULL GROUP BY ALL)
  UNION ALL SELECT img.case_id, parts FROM img JOIN dirs ON dirs.case_id = img.case_id WHERE NOT uses),
