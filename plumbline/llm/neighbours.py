@@ -118,6 +118,10 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
             at, members = active[rows], tree.leaves[leaf[rows[0]]]
             score = queries[at] @ vectors[members].T
             score[query_ids[at][:, None] == ids[members][None, :]] = -np.inf
+            better = score.max(axis=1) >= best[at, -1]  # most leaves hold none of the best
+            at, score = at[better], score[better]
+            if not len(at):
+                continue
             both = np.concatenate([best[at], score], axis=1)
             names = np.concatenate([best_id[at], np.broadcast_to(ids[members], score.shape)], axis=1)
             top = np.lexsort((names, -both), axis=1)[:, :k]
