@@ -1,12 +1,16 @@
 """Language, toxicity and the pipeline: held-out accuracy, gradients, odd rows."""
 
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import language, toxicity
-from plumbline.llm.catalog import QUERIES, held_out
+from plumbline.llm import decontaminate, language, mixing, packing, toxicity
+from plumbline.llm.catalog import held_out
 from plumbline.llm.common import stored, table
+from tests.llm.test_pairs import slow_classes, slow_fingerprint
 
 ODD = [(None, "Some words without an id"), (1, None), (2, ""), (3, "123 456 !"), (4, "The end of the story. " * 6000), (4, "The end of the story."), (4, "The end of the story.")]
 
@@ -104,10 +108,34 @@ def test_stages_keep_columns_and_odd_rows(spark, documents, sf):
 
 
 def test_pipeline(spark, sf):
-    docs = table(spark, sf, "documents")
-    counts = [docs.count()]
+    """Every stage against a plain version of it, each on what the stage before kept."""
+    kept = [table(spark, sf, "documents")]
     for _, stage in corpus_pipeline.STAGES:
-        docs = stored(stage(spark, docs, sf))
-        counts.append(docs.count())
-    assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0 and counts[5] > 0
-    assert QUERIES.keys() >= {"op10_simhash"}
+        kept.append(stored(stage(spark, kept[-1], sf)))
+    texts = [{r.doc_id: r.text for r in d.select("doc_id", "text").collect()} for d in kept[:4]]
+    # language: only documents without a letter, or unclear ones, go
+    assert all(any(c.isalpha() for c in t) for t in texts[1].values())
+    assert texts[1].items() <= texts[0].items() and len(texts[1]) >= 0.98 * len(texts[0])
+    # near copies: the smallest id of each class
+    ids = sorted(texts[1])
+    classes = slow_classes([slow_fingerprint(texts[1][i], 5) for i in ids], 7)
+    assert set(texts[2]) == {ids[c] for c in classes}
+    # benchmark: the distance to every item, without the search for pieces
+    words = lambda t: [hash(w) for w in re.findall(r"[^\W_]+", t.lower())]
+    items = [words(r.text) for r in table(spark, sf, "benchmark").collect()]
+    leaks = {i for i, t in texts[2].items() for item in items if len(item) >= 8 and decontaminate.myers(item, words(t), len(item) // 5)}
+    assert set(texts[3]) == set(texts[2]) - leaks
+    # mix: whole epochs and one cut document per source
+    taken = {r.doc_id: r.taken for r in mixing.mix(kept[3]).collect()}
+    shown = Counter()
+    for r in kept[4].collect():
+        shown[r.doc_id] += len(r.text.split())
+    assert {i: n for i, n in taken.items() if n} == {i: n for i, n in shown.items() if n}
+    # pack: the ids of every row come back
+    tokens, parts = packing.encoding(packing.RANKS), {}
+    for r in kept[5].collect():
+        ids = np.frombuffer(r.input_ids, "<u2")
+        for row, doc, start, a, b in zip(r.row_ids, r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            parts.setdefault((row, doc), []).append((start, ids[a:b]))
+    back = Counter((doc, tokens.decode(np.concatenate([p for _, p in sorted(found, key=lambda f: f[0])])[:-1].tolist())) for (_, doc), found in parts.items())
+    assert back == Counter((r.doc_id, r.text) for r in kept[4].collect())
