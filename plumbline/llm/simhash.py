@@ -19,8 +19,8 @@ SEED = 42
 PART = 4096
 #: (query, plane word) items compared at a time.
 ITEMS = 1 << 16
-#: Aim for the mean number of fingerprints that share a candidate key.
-MEAN_BUCKET = 256
+#: Aim for the mean number of fingerprints that share a candidate key: a word of lanes.
+MEAN_BUCKET = 64
 
 FP_SCHEMA = "doc_id bigint, fp bigint"
 LINK_SCHEMA = "u bigint, v bigint"
