@@ -16,12 +16,13 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     else:
         sides = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = sides.join(least, "u")
+    # written first: a join with an aggregate of the same exchange could not be split
+    joined = sides.join(stored(least), "u")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            least.select("u", F.col("m").alias("v")))
+        # u itself joins the smallest too: its row with v = m becomes (u, m)
+        moved = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").distinct()
 
 

@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(named)
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))  # so that the join can be split
     of_fp = named.join(smallest, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
