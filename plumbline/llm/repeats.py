@@ -29,12 +29,12 @@ from plumbline.llm.common import stored
 from plumbline.llm.windows import merged_runs, paths, spread
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: Paths of a chunk, chunks of a task: bits of their numbers.
-PATH_BITS, TASK_BITS = 26, 13
+PATH_BITS, TASK_BITS = 26, 16
 #: Chunks looked at for hot anchors, the paths in them that make one hot, and how many
 #: anchors may be called hot. These steer the work only, never the result.
-LOOK_CHUNKS, HOT_PATHS, HOT_ANCHORS = 64, 1000, 1000
+LOOK_CHUNKS, HOT_PATHS, HOT_ANCHORS = 256, 1000, 1000
 HOT_PARTS = 64
 #: Stands for a null doc_id.
 LAST = np.iinfo(np.int64).max
@@ -118,7 +118,7 @@ def _hot_anchors(chunks: DataFrame, kind: Kind) -> np.ndarray:
             for row in _chunk_rows(batch):
                 c = Chunk(row, kind)
                 values, counts = np.unique(c.anchor[c.lead == np.arange(len(c.lead))], return_counts=True)
-                often = counts >= 8
+                often = counts >= 4
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["anchor", "n"])
 
     seen = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(step)) == 0).mapInArrow(run, "anchor bigint, n bigint")
