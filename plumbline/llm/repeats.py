@@ -187,11 +187,13 @@ def _verdicts(chunks: DataFrame, kind: Kind, hot: np.ndarray) -> DataFrame:
 def removals(docs: DataFrame, kind: Kind, open_schema: str, open_keys: list[str], open_order: list[str],
              open_rows: Callable[[Chunk, np.ndarray, np.ndarray], pa.RecordBatch | None],
              settle: Callable[[pa.Table], pa.RecordBatch], out_schema: str,
-             shown: Callable[[Chunk, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+             shown: Callable[[Chunk, np.ndarray, np.ndarray], pa.RecordBatch],
+             here: Callable[[Chunk, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """Run the five steps. ``open_rows`` gives the rows to compare of a chunk's open paths,
     ``settle`` turns whole groups (by ``open_keys``, sorted by ``open_order``) of them into
     rows of REMOVED_SCHEMA: windows first .. last - 1 of a path repeat earlier ones.
-    ``shown`` gives a chunk's result rows from its removed runs of symbols."""
+    ``shown`` gives a chunk's result rows from its removed runs of symbols, ``here`` windows
+    (start, end) that need no comparison, as their chunk shows them to be repeats."""
     chunks = gathered(docs)
     hot = _hot_anchors(chunks, kind)
     verdicts = stored(_verdicts(chunks, kind, hot))
@@ -222,9 +224,9 @@ def removals(docs: DataFrame, kind: Kind, open_schema: str, open_keys: list[str]
                 p, a, b = (np.array(row[k] or [], np.int64) for k in ("paths", "firsts", "lasts"))
                 b = np.where(b < 0, c.count[p], b) if len(p) else b
                 # paths equal to an earlier one of this chunk: repeats, or judged as that one
-                here = np.arange(len(c.lead))
-                follows = (c.lead != here) & (kind.within == False) & (c.order == c.order[c.lead])  # noqa: E712
-                repeats = np.nonzero((c.lead != here) & ~follows)[0]
+                is_lead = c.lead == np.arange(len(c.lead))
+                follows = ~is_lead & (not kind.within) & (c.order == c.order[c.lead])
+                repeats = np.nonzero(~is_lead & ~follows)[0]
                 start, end = [c.first[p] + a, c.first[repeats]], [c.first[p] + b, c.first[repeats] + c.count[repeats]]
                 if follows.any() and len(p):
                     by = np.argsort(p, kind="stable")
@@ -233,6 +235,10 @@ def removals(docs: DataFrame, kind: Kind, open_schema: str, open_keys: list[str]
                     said, own = by[spread(low, high - low)], np.repeat(f, high - low)
                     start.append(c.first[own] + a[said])
                     end.append(c.first[own] + b[said])
+                if here:
+                    more = here(c, hot)
+                    start.append(more[0])
+                    end.append(more[1])
                 yield shown(c, *merged_runs(np.concatenate(start), np.concatenate(end) + kind.width - 1, c.offsets))
 
     return chunks.join(told, "chunk", "left").mapInArrow(finish, out_schema)

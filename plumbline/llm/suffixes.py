@@ -28,6 +28,7 @@ BLOCK_BYTES = 1 << 20
 SUFFIX_SCHEMA = "anchor bigint, salt int, doc bigint, place bigint, shift int, at int, content binary"
 RESULT_SCHEMA = ("doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<first_byte:int,end_byte:int>>, kept binary")
 
+_SECOND = np.uint64(0xA0761D6478BD642F)  # odd
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -104,26 +105,46 @@ def repeated_windows(contents: list[bytes], at: np.ndarray, group: np.ndarray, o
     return row, start - base[row], repeated
 
 
+def _hot_windows(c: Chunk, hot: np.ndarray, width: int):
+    """Windows of hot anchors' distinct paths: path, place, hash, and whether an equal one
+    comes earlier in this chunk."""
+    own = np.nonzero((c.lead == np.arange(len(c.lead))) & np.isin(c.anchor.view(np.int64), hot))[0]
+    start, path = spread(c.first[own], c.count[own]), np.repeat(own, c.count[own])
+    one = RunHashes(c.symbols).of(start, start + width)
+    two = RunHashes(mixed(c.symbols), _SECOND).of(start, start + width)
+    by = np.lexsort((start, path, c.order[path], two, one))
+    later = np.zeros(len(by), bool)
+    later[by[1:]] = (one[by[1:]] == one[by[:-1]]) & (two[by[1:]] == two[by[:-1]])
+    return path, start, one, later
+
+
+def _repeats_here(c: Chunk, hot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of hot anchors that the chunk itself shows to be repeats: they are not sent."""
+    if not len(hot) or not len(c.lead):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, start, _, later = _hot_windows(c, hot, width)
+    return start[later], start[later] + 1
+
+
 def _suffixes(c: Chunk, open_paths: np.ndarray, hot: np.ndarray, width: int) -> pa.RecordBatch | None:
-    """Bytes of open paths. Paths of hot anchors come window by window, dealt by the window's hash."""
+    """Bytes of open paths. Paths of hot anchors come window by window, each distinct window
+    once per chunk, dealt by the window's hash."""
     if not len(open_paths):
         return None
-    first, count, anchor = c.first[open_paths], c.count[open_paths], c.anchor[open_paths].view(np.int64)
-    is_hot = np.isin(anchor, hot)
-    times = np.where(is_hot, count, 1)
-    path = np.repeat(open_paths, times)
-    shift = np.where(np.repeat(is_hot, times), spread(np.zeros(len(times), np.int64), times), 0)
-    length = np.where(np.repeat(is_hot, times), 1, np.repeat(count, times)) + width - 1
-    start = np.repeat(first, times) + shift
+    is_hot = np.isin(c.anchor[open_paths].view(np.int64), hot)
+    path = open_paths[~is_hot]
+    start, length, salt = c.first[path], c.count[path] + width - 1, np.zeros(len(path), np.int64)
+    if is_hot.any():
+        of, at, dealt, later = _hot_windows(c, hot, width)
+        sent = ~later & np.isin(of, open_paths)
+        path, start = np.concatenate([path, of[sent]]), np.concatenate([start, at[sent]])
+        length = np.concatenate([length, np.full(int(sent.sum()), width)])
+        salt = np.concatenate([salt, 1 + (dealt[sent] & np.uint64(HOT_PARTS - 1)).astype(np.int64)])
     raw = b"".join(c.texts)
     contents = [raw[a:a + n] for a, n in zip(start.tolist(), length.tolist())]
-    salt = np.zeros(len(path), np.int64)
-    if is_hot.any():
-        dealt = RunHashes(c.symbols).of(start, start + width)
-        salt = np.where(np.repeat(is_hot, times), 1 + (dealt & np.uint64(HOT_PARTS - 1)).astype(np.int64), 0)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(anchor, times)), pa.array(salt.astype(np.int32)), pa.array(c.order[path]), pa.array((c.number << PATH_BITS) + path),
-         pa.array(shift.astype(np.int32)), pa.array((c.place_of_anchor[path] - start).astype(np.int32)), pa.array(contents, pa.binary())],
+        [pa.array(c.anchor[path].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(c.order[path]), pa.array((c.number << PATH_BITS) + path),
+         pa.array((start - c.first[path]).astype(np.int32)), pa.array((c.place_of_anchor[path] - start).astype(np.int32)), pa.array(contents, pa.binary())],
         ["anchor", "salt", "doc", "place", "shift", "at", "content"])
 
 
@@ -186,4 +207,5 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WINDOW_BYTES, short: int
     """
     kind = Kind(width, short, byte_symbols, within=True)
     return removals(docs, kind, SUFFIX_SCHEMA, ["anchor", "salt"], ["doc", "place", "shift"],
-                    lambda c, p, hot: _suffixes(c, p, hot, width), lambda t: _settle(t, width), RESULT_SCHEMA, _documents)
+                    lambda c, p, hot: _suffixes(c, p, hot, width), lambda t: _settle(t, width), RESULT_SCHEMA, _documents,
+                    lambda c, hot: _repeats_here(c, hot, width))
