@@ -26,19 +26,24 @@ FP_SCHEMA = "doc_id bigint, fp bigint"
 LINK_SCHEMA = "u bigint, v bigint"
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Bit j is set if it is set in over half of the shingle hashes (repeats included)."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words in lower case (repeats included); a shorter text is one run."""
     words = text.lower().split()  # of bytes: A-Z only, and the six white space bytes
-    if not words:
-        return 0
     line = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)] if words else [], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-width])).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1:] - 1).tolist())),
-                         np.uint64, len(starts))
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1:] - 1).tolist())),
+                       np.uint64, len(starts))
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """Bit j is set if it is set in over half of the shingle hashes (repeats included)."""
+    hashes = shingle_hashes(text, width)
+    if len(hashes) < 2:
+        return int(hashes.sum())
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[at:at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -250,13 +255,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return fps.join(of_fp, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, radius: int = 7) -> DataFrame:
-    """``docs`` (all columns) without near copies: of each class the document with the
-    smallest doc_id stays.
-
-    Rows equal in doc_id and text are one document and give one row. Rows without a doc_id
-    cannot be told apart from their copies by name and stay as they are.
-    """
-    chosen = near_duplicates(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``docs`` without near copies, each link verified on the shingles themselves."""
+    from plumbline.llm import similar  # which uses the shingles of this module
+    return similar.deduplicated(docs, width)
