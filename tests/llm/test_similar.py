@@ -51,3 +51,13 @@ def test_near_copies_of_a_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == slow_kept(rows)
+
+
+def test_what_goes_has_a_near_copy(spark, sf):
+    """Document 192 has fingerprints within 7 bits, but no other document of similarity 0.8: it stays."""
+    docs = table(spark, sf, "documents")
+    sets = {r.doc_id: slow_set(r.text or "") for r in docs.select("doc_id", "text").collect()}
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    for i in sets.keys() - kept:
+        assert any(5 * len(sets[i] & s) >= 4 * len(sets[i] | s) for j, s in sets.items() if j != i), i
+    assert 192 in kept
