@@ -1,55 +1,109 @@
 """Row numbering, joins and ordered concatenation that survive hot keys.
 
 A single key may hold a large share of all rows. Nothing here puts such a group
-into one task: hot keys are found by a narrow pre-aggregated count, their list
-is short by construction (a key must hold at least ``1/HOT_KEYS`` of all rows),
-and only they are split further.
+into one task: rows are numbered over ranges that may cut a key, and joins split
+only hot keys, whose list is short by construction (a key must hold at least
+``1/HOT_KEYS`` of all rows).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+from plumbline.session import saved
 
 HOT_KEYS = 1000          # a hot key holds at least 1/1000 of the rows: at most 1000 of them
 HOT_ROWS = 1_000_000     # and at least this many rows, so small tables never split
 BLOCK_ROWS = 10_000      # rows concatenated into one value
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding at least ``hot_rows`` rows and ``1/HOT_KEYS`` of the table."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    counts = counts.filter(F.col("_n") >= hot_rows)
-    return (counts.join(F.broadcast(total), F.col("_n") * HOT_KEYS >= F.col("_total"))
-                  .select(*keys, "_n"))
-
-
-def number_rows(df: DataFrame, keys: list[str], order: list[str], coarse: Column,
-                out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """1-based position of each row within ``keys`` in ``order``.
-
-    ``coarse`` must be a coarsening of ``order[0]`` (never decreasing along the
-    order) with few values per key, such as a day. Hot keys are numbered per
-    (key, coarse) slice and shifted by the rows of the slices before.
+def _key_changes(columns: list[pa.Array], before: tuple | None) -> np.ndarray:
+    """Per row, whether its key differs from the row above; ``before`` is the key of the
+    row above the first one, None where there is none."""
+    n = len(columns[0])
+    same = np.ones(n - 1, bool)
+    for c in columns:
+        up, down = c.slice(0, n - 1), c.slice(1)
+        alike = pc.fill_null(pc.equal(up, down), False)
+        tests = [pc.is_null] + [pc.is_nan] * pa.types.is_floating(c.type)  # each is one key
+        for test in tests:
+            alike = pc.or_(alike, pc.fill_null(pc.and_(test(up), test(down)), False))
+        same &= alike.to_numpy(zero_copy_only=False)
+    first = before is None or repr(before) != repr(_key_at(columns, 0))
+    return np.concatenate(([first], ~same))
+
+
+def _key_at(columns: list[pa.Array], row: int) -> tuple:
+    return tuple(c[row].as_py() for c in columns)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of one task with ``_at`` (task and place), ``_pos`` (place within the
+    key inside the task) and ``_first`` (whether the key is the task's first)."""
+    at = TaskContext.get().partitionId() << 33
+    before, count, on_first = None, 0, True
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k) for k in keys]
+        new = _key_changes(columns, before) if keys else np.zeros(n, bool)
+        new[0] &= before is not None  # the task's first row goes on from zero rows
+        rows = np.arange(n)
+        start = np.maximum.accumulate(np.where(new, rows, -1))
+        pos = np.where(start < 0, rows + count, rows - start) + 1
+        first = (start < 0) if on_first else np.zeros(n, bool)
+        on_first = on_first and bool(first[-1])
+        before, count = _key_at(columns, n - 1), int(pos[-1])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(at + rows), pa.array(pos.astype(np.int64)), pa.array(first)],
+            [*batch.schema.names, "_at", "_pos", "_first"])
+        at += n
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, cut_by: int | None = None) -> DataFrame:
+    """Add ``out`` (bigint): the 1-based position of each row within ``keys`` in ``order``.
+
+    One sampled range sort by (keys, order), whatever the sizes of the keys: a key may
+    lie in many tasks. Each task numbers its own rows; a key that goes on from the task
+    before is shifted by what came there. That shift is one number per task, found from
+    one row per task, so nothing else passes the driver and no join brings it back.
+
+    ``cut_by``: ranges are cut by the first so many columns of ``order`` only (all, if not
+    given); cheaper where these leave few rows alike.
+
+    Null is a key like any other and sorts first; no keys means one group. Rows equal in
+    keys and order are numbered in any order; an empty table stays empty. Keys are columns
+    of plain types. The numbered rows are kept on shared storage.
     """
-    hot = hot_keys(df, keys, hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    slot = coarse.cast("string")
-    rows = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "_slot", F.when(F.col("_hot"), slot).otherwise(F.lit("")))
-
-    hot_rows_only = df.join(F.broadcast(hot), keys, "left_semi")
-    before = Window.partitionBy(*keys).orderBy("_coarse").rowsBetween(
-        Window.unboundedPreceding, -1)
-    shift = (hot_rows_only.groupBy(*keys, coarse.alias("_coarse"))
-             .agg(F.count("*").alias("_n"))
-             .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-             .select(*keys, F.col("_coarse").cast("string").alias("_slot"), "_shift"))
-
-    within = Window.partitionBy(*keys, "_slot").orderBy(*order)
-    return (rows.withColumn("_rn", F.row_number().over(within))
-                .join(shift, [*keys, "_slot"], "left")
-                .withColumn(out, (F.col("_rn") + F.coalesce("_shift", F.lit(0))).cast("int"))
-                .drop("_rn", "_shift", "_slot", "_hot"))
+    schema = StructType([*df.schema, StructField("_at", LongType()), StructField("_pos", LongType()),
+                         StructField("_first", BooleanType())])
+    ordered = df.repartitionByRange(*keys, *order[:cut_by]).sortWithinPartitions(*keys, *order)
+    rows = saved(ordered.mapInArrow(lambda batches: _numbered(batches, keys), schema))
+    key = F.struct(F.lit(0), *keys)
+    tasks = (rows.groupBy(F.shiftright("_at", 33).alias("task"))
+             .agg(F.min_by(key, "_at").alias("head"), F.max_by(key, "_at").alias("tail"),
+                  F.max_by("_first", "_at").alias("whole"), F.max_by("_pos", "_at").alias("run"))
+             .orderBy("task").collect())
+    shift, open_key, length = {}, None, 0
+    for t in tasks:
+        start = length if repr(t["head"]) == open_key else 0
+        if start:
+            shift[t["task"]] = start
+        open_key, length = repr(t["tail"]), t["run"] + (start if t["whole"] else 0)
+    position = F.col("_pos")
+    if shift:
+        per_task = F.lit([shift.get(t, 0) for t in range(max(shift) + 1)]).cast("array<bigint>")
+        task = F.shiftright("_at", 33).cast("int")
+        position = position + F.when(F.col("_first"), F.coalesce(F.get(per_task, task), F.lit(0))).otherwise(0)
+    return rows.withColumn(out, position).drop("_at", "_pos", "_first")
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], rows_col: str,

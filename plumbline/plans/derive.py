@@ -68,9 +68,10 @@ DRAWING_TEXT = (
 
 
 def numbered_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with ``label_no`` by ship date (days are few per part)."""
+    """Line items with ``label_no`` by ship date."""
     items = table(spark, sf_dir, "lineitem").select("l_partkey", *LABEL_ORDER)
-    return number_rows(items, ["l_partkey"], LABEL_ORDER, F.to_date("l_shipdate"), "label_no")
+    return number_rows(items, ["l_partkey"], LABEL_ORDER, "label_no", cut_by=2).withColumn(
+        "label_no", F.col("label_no").cast("int"))
 
 
 def label_source(spark: SparkSession, sf_dir: str) -> DataFrame:

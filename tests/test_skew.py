@@ -1,9 +1,10 @@
 """The paths for hot keys, forced on small data, against the plain form."""
 
+import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
 from plumbline.operators import compare as C, skew
-from plumbline.operators.skew import hot_keys, join_unique, number_rows, ordered_concat
+from plumbline.operators.skew import join_unique, number_rows, ordered_concat
 
 
 def skewed(spark, n=3000):
@@ -13,13 +14,47 @@ def skewed(spark, n=3000):
         (F.col("id") * 7919 % 997).alias("at"), "id")
 
 
+def slow_numbers(df, keys, order):
+    within = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("n", F.row_number().over(within).cast("bigint"))
+
+
 def test_number_rows_hot(spark):
-    df = skewed(spark)
-    got = number_rows(df, ["k"], ["at", "id"], F.floor(F.col("at") / 100), "n", hot_rows=100)
-    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("at", "id")))
-    assert hot_keys(df, ["k"], 100).select("k").collect()[0]["k"] == 0
-    assert sorted(map(tuple, got.select("k", "at", "id", "n").collect())) == \
-        sorted(map(tuple, want.select("k", "at", "id", "n").collect()))
+    """A key cut by many ranges; null keys, repeated rows, two key columns, no key, no rows."""
+    rows = skewed(spark).withColumn("k2", F.when(F.col("id") % 4 > 0, F.concat(F.lit("g"), F.col("id") % 4)))
+    doubled = rows.union(rows.limit(500)).withColumn("k", F.when(F.col("k") != 7, F.col("k")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keys in (["k"], ["k", "k2"], []):
+            got = number_rows(doubled, keys, ["at", "id"], "n", cut_by=1 if keys == ["k"] else None)
+            assert got.columns == [*doubled.columns, "n"]
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, slow_numbers(doubled, keys, ["at", "id"]).collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert number_rows(rows.limit(0), ["k"], ["at"], "n").collect() == []
+
+
+def test_number_rows_batches():
+    """Keys that go on over Arrow batches of one task, with nulls and not-a-numbers."""
+    values = [None, None, 1.0, 1.0, float("nan"), float("nan"), float("nan"), 2.0]
+    for cut in range(1, len(values)):
+        parts = [pa.array(v, pa.float64()) for v in (values[:cut], values[cut:])]
+        got, before = [], None
+        for p in parts:
+            got += skew._key_changes([p], before).tolist()
+            before = (p[-1].as_py(),)
+        assert got == [True, False, True, False, True, False, False, True], cut
+
+
+def test_number_rows_plan(spark, monkeypatch):
+    """One range exchange and no join: numbering costs a single pass of the rows."""
+    plans = []
+    keep = skew.saved
+    monkeypatch.setattr(skew, "saved", lambda df: plans.append(df._jdf.queryExecution().toString()) or keep(df))
+    got = number_rows(skewed(spark), ["k"], ["at"], "n")
+    physical = plans[0].split("== Physical Plan ==")[1]
+    assert physical.count("Exchange rangepartitioning") == 1 and physical.count("Exchange") == 1
+    assert "Join" not in plans[0] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_join_unique_hot(spark):
