@@ -8,17 +8,20 @@ only hot keys, whose list is short by construction (a key must hold at least
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from plumbline.session import saved
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its task functions travel with the job
+
 HOT_KEYS = 1000          # a hot key holds at least 1/1000 of the rows: at most 1000 of them
 HOT_ROWS = 1_000_000     # and at least this many rows, so small tables never split
 BLOCK_ROWS = 10_000      # rows concatenated into one value
