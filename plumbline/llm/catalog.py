@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, mixing, neighbours, packing, pii, simhash, substrings, suffixes, toxicity
+from plumbline.llm import (decontaminate, language, merkle, mixing, neighbours, packing, pii, simhash, substrings, suffixes,
+                           toxicity, whitening)
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle", merkle.MANIFEST_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.integer_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitening.whiten(vectors.select("vec_id", "x"))
