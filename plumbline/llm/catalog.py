@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import (decontaminate, language, merkle, mixing, neighbours, packing, pii, simhash, substrings, suffixes,
+from plumbline.llm import (decontaminate, jaccard, language, merkle, mixing, neighbours, packing, pii, simhash, substrings, suffixes,
                            toxicity, whitening)
 from plumbline.llm.common import table
 
@@ -94,6 +94,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+@query("op12_ngram_join", jaccard.CLASSES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whitening.integer_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import jaccard
 from plumbline.llm.common import stored
 from plumbline.llm.graph import components
 
@@ -256,6 +257,5 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
 
 
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` without near copies, each link verified on the shingles themselves."""
-    from plumbline.llm import similar  # which uses the shingles of this module
-    return similar.deduplicated(docs, width)
+    """``docs`` without near copies, each link decided on the shingles themselves."""
+    return jaccard.deduplicated(docs, width)

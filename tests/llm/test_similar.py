@@ -1,40 +1,46 @@
-"""Near copies of the pipeline against brute-force Jaccard."""
+"""The grouped prefix join and the pipeline's near copies against brute-force Jaccard."""
 
 import numpy as np
+import pytest
 
-from plumbline.llm import similar, simhash
+from plumbline.llm import jaccard, simhash
 from plumbline.llm.common import table
 
 
 def slow_set(text, width=5):
-    words = text.lower().split()
-    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))}
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def slow_kept(rows):
-    """The smallest id of each class, every pair compared."""
-    sets = {i: slow_set(t) for i, t in sorted(rows)}
-    root = {i: i for i in sets}
+def slow_classes(rows, link_empty=False):
+    """(set size, smallest place) of each row, every pair compared."""
+    sets = [slow_set(t) for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(a):
         while root[a] != a:
             a = root[a]
         return a
-    ids = list(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
+    for a in range(len(rows)):
+        for b in range(a):
             x, y = sets[a], sets[b]
-            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+            both = link_empty if not x and not y else x and y and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)
+            if both:
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
-    return {i for i in ids if find(i) == i}
+    return [(len(s), find(k)) for k, s in enumerate(sets)]
+
 
+def slow_kept(rows):
+    """The smallest id of each class."""
+    rows = sorted(rows)
+    return {rows[k][0] for k, (_, c) in enumerate(slow_classes(rows, True)) if c == k}
 
-def test_near_copies_are_those_of_similarity_four_fifths(spark, documents, monkeypatch):
-    """Edited copies on both sides of the bound, a crowded group, short and empty texts, small parts."""
-    monkeypatch.setattr(similar, "PART", 8)
-    rng = np.random.default_rng(3)
-    rows, i = [(0, ""), (1, " \t"), (2, "one"), (3, "One "), (4, "a b c d e f"), (5, "a b c d e g")], 10
+
+def copies_of_texts(seed=3):
+    """Edited copies on both sides of the bound, a crowded group, short and empty texts."""
+    rng = np.random.default_rng(seed)
+    rows, i = [(0, ""), (1, " \t"), (2, "one"), (3, "One "), (4, "a b c d e f"), (5, "a b c d e g"), (6, "a b c d e")], 10
     for base in range(12):
         words = [f"w{base}x{k}" for k in range(int(rng.integers(20, 200)))]
         for _ in range(60 if base == 0 else 6):
@@ -43,8 +49,65 @@ def test_near_copies_are_those_of_similarity_four_fifths(spark, documents, monke
                 copy[k] = f"e{rng.integers(10 ** 9)}"
             rows.append((i, " ".join(copy + ["all documents end in one and the same long line"])))
             i += 1
+    return rows
+
+
+def small_bounds(monkeypatch):
+    """Small buffers, parts and units, few ranks: every path of the join is taken."""
+    for name, value in {"PART": 8, "BUFFER": 300, "CROWD": 3, "DEALT": 3, "NEAR": 2, "TEXT_CLASSES": 64, "CLASS_BITS": 17, "PART_ENTRIES": 64,
+                        "SLICE_BYTES": 2000, "KNOWN_WORDS": 50}.items():
+        monkeypatch.setattr(jaccard, name, value)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_classes(spark, documents, monkeypatch, small):
+    if small:
+        small_bounds(monkeypatch)
+    rows = copies_of_texts() + [(500, None), (501, None), (502, "\u00c4 \u00e4"), (503, "\u00e4 \u00e4"), (504, "z " * 200_000), (505, "Z " * 200_001)]
+    want = slow_classes(rows)
+    got = jaccard.similar_classes(documents(rows))
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == {(i, n, rows[c][0]) for (i, _), (n, c) in zip(rows, want)}
+
+
+def test_classes_without_second_links_are_split_groups(spark, documents, monkeypatch):
+    """With no first meeting at all the second one finds every link."""
+    monkeypatch.setattr(jaccard, "nearest", lambda rows: rows.select(rows["key"].alias("u"), rows["key"].alias("v")).limit(0))
+    rows = copies_of_texts(7)
+    got = jaccard.similar_classes(documents(rows), link_empty=True)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, rows[c][0]) for (i, _), (_, c) in zip(rows, slow_classes(rows, True))}
+
+
+def test_members_of_one_group(spark, documents, monkeypatch):
+    """Sets with one prefix and size: alike and not alike, and linked only through others."""
+    monkeypatch.setattr(jaccard, "prefix", lambda own, ranks: np.array([9], np.uint64))
+    monkeypatch.setattr(jaccard, "prefix_length", lambda n: 1)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[:40 - 4 * (k % 6)] + [f"x{k % 6}y{j}" for j in range(4 * (k % 6))])) for k in range(12)]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_classes(documents(rows)).collect()}
+    assert got == {i: rows[c][0] for (i, _), (_, c) in zip(rows, slow_classes(rows))}
+
+
+def test_odd_rows(spark, documents):
+    rows = [(None, "some words that stand here twice"), (7, "some words that stand here twice"), (7, "some words that stand here twice"), (7, "other"), (None, None)]
+    got = sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.similar_classes(documents(rows)).collect())
+    assert got == [("7", 1, 7), ("7", 2, 7), ("7", 2, 7), ("None", 0, None), ("None", 2, 7)]
+    assert jaccard.similar_classes(documents([])).collect() == []
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_are_those_of_similarity_four_fifths(spark, documents, monkeypatch, small):
+    if small:
+        small_bounds(monkeypatch)
+    rows = copies_of_texts()
+    got = simhash.deduplicated(documents(rows))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(slow_kept(rows))
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark, documents):
+    rows = [(2, "A"), (4, "A"), (4, "B"), (4, "B"), (5, "B"), (None, "A"), (None, "A")]
     got = simhash.deduplicated(documents(rows))
-    assert {r.doc_id for r in got.collect()} == slow_kept(rows)
+    assert sorted((repr(r.doc_id), r.text) for r in got.collect()) == [("2", "A"), ("4", "B"), ("None", "A"), ("None", "A")]
 
 
 def test_near_copies_of_a_table(spark):
