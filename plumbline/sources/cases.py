@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections import deque
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline import fixed_values as fv
@@ -11,26 +18,65 @@ from plumbline.operators import extract as E, records as R
 from plumbline.operators.skew import join_unique
 from plumbline.session import saved
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its task functions travel with the job
+
 MANIFEST_SCHEMA = "case_id string, drawing string, labels array<string>"
 
 
 LISTING = "path string, is_dir boolean"
-#: Entries handed over at a time while listing.
+#: File systems that tasks can list themselves.
+TASK_SCHEMES = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+#: Directories that a task lists for each one it is given before it leaves the rest to the next round.
+LISTED_DIRS = 64
+#: Rows handed over at a time by tasks, and by the driver for other file systems.
 LISTING_ROWS = 10_000
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Relative paths of everything below ``root``, directories too (contents are not read).
-
-    Any file system Spark knows, with or without a scheme in ``root``. Unlike Spark's
-    own file index it shows empty files, empty directories and names with a leading
-    ``_`` or ``.``. Only names pass the driver, as for every listing; they are written
-    to shared storage part by part.
-    """
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    prefix = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+def _list_below(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
+    """(path, is_dir, open): entries of the given directories and of some below them; ``open``
+    marks directories whose entries are still to be listed."""
+    from pyarrow.fs import FileSelector, FileSystem, FileType
+
+    fs, top = FileSystem.from_uri(uri)
+    top = top.rstrip("/")
+    rows: list[tuple[str, bool, bool]] = []
+    for batch in batches:
+        for given in batch.column("path").to_pylist():
+            waiting, left = deque([given]), LISTED_DIRS
+            while waiting and left:
+                left -= 1
+                at = waiting.popleft()
+                for entry in fs.get_file_info(FileSelector(f"{top}/{at}" if at else top or "/")):
+                    name = f"{at}/{entry.base_name}" if at else entry.base_name
+                    is_dir = entry.type == FileType.Directory
+                    if is_dir:
+                        waiting.append(name)
+                    else:
+                        rows.append((name, False, False))
+                if at != given:
+                    rows.append((at, True, False))
+                if len(rows) >= LISTING_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "is_dir", "open"])
+                    rows = []
+            rows += [(name, True, True) for name in waiting]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "is_dir", "open"])
+
+
+def _list_by_tasks(spark: SparkSession, uri: str) -> DataFrame:
+    """Frontier rounds: tasks list the directories that the round before left open."""
+    open_dirs, rounds = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        tasks = max(1, min(open_dirs.count() // 8 + 1, 4 * spark.sparkContext.defaultParallelism))
+        found = saved(open_dirs.repartition(tasks).mapInArrow(lambda batches: _list_below(batches, uri), LISTING + ", open boolean"))
+        rounds.append(found.select("path", "is_dir"))
+        open_dirs = found.where("open").select("path")
+        if open_dirs.isEmpty():
+            return reduce(DataFrame.union, rounds)
+
+
+def _list_on_driver(spark: SparkSession, fs, top, prefix: str) -> DataFrame:
+    """For file systems that only the JVM knows: one call per directory, names part by part to shared storage."""
     parts, rows, waiting = [], [], [top]
     while waiting:
         for entry in fs.listStatus(waiting.pop()):
@@ -41,11 +87,25 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
             if len(rows) == LISTING_ROWS:
                 parts.append(saved(spark.createDataFrame(rows, LISTING)))
                 rows = []
-    parts.append(spark.createDataFrame(rows, LISTING))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return reduce(DataFrame.union, [*parts, spark.createDataFrame(rows, LISTING)])
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Relative paths of everything below ``root``, directories too (contents are not read).
+
+    With or without a scheme in ``root``. Unlike Spark's own file index it shows empty
+    files, empty directories and names with a leading ``_`` or ``.``. Directories are
+    listed by tasks, round by round: each goes some directories deep and leaves the others
+    to the next round, so neither a wide nor a deep tree passes the driver. File systems
+    that only the JVM can open are listed on the driver.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(top)
+    uri = top.toUri()
+    if uri.getScheme() in TASK_SCHEMES:
+        return _list_by_tasks(spark, f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getRawPath()}")
+    return _list_on_driver(spark, fs, top, uri.getPath().rstrip("/") + "/")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

@@ -1,51 +1,132 @@
-"""Sinks and readers of the result tables. Paths belong to shared storage."""
+"""Sinks and readers of the result tables. Paths belong to shared storage.
+
+A detection table has two folders. ``data`` holds rows by date, then by write (every attempt
+to save a batch is a write of its own), so looking up one date opens only that date. ``commits``
+holds one small file per batch that names the write which counts: it is swapped in one step,
+so readers see all of a batch or nothing of it, and a batch saved again replaces itself.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from plumbline import fixed_values as fv
 from plumbline.operators import history as H
 
-def batch_folder(path: str, batch: str) -> str:
-    """Both tables have one folder per batch, and in it one per date."""
-    return f"{path.rstrip('/')}/batch={batch}"
+COMMIT_SCHEMA = "batch string, write string, row_schema string, saved_at string"
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _swap_in(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole, replacing the one there: a new file renamed over the old."""
+    jvm = spark._jvm
+    target, fs = _file_system(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(draft), fs.makeQualified(target), over)
+
+
+def write_rows(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Rows under a new write, which nobody sees yet; its name."""
+    write = uuid.uuid4().hex
+    (df.withColumn("write", F.lit(write)).write.mode("append").partitionBy("detection_date", "write")
+       .format(fmt).save(f"{path.rstrip('/')}/data"))
+    return write
+
+
+def commit(spark: SparkSession, path: str, batch: str, write: str, schema: StructType) -> None:
+    """From now on ``write`` is what the batch holds."""
+    row = {"batch": batch, "write": write, "row_schema": schema.json(), "saved_at": uuid.uuid1().hex}
+    _swap_in(spark, f"{path.rstrip('/')}/commits/{uuid.uuid5(uuid.NAMESPACE_URL, batch).hex}.json", json.dumps(row))
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """One row per batch. A table without any has none."""
+    place, fs = _file_system(spark, f"{path.rstrip('/')}/commits")
+    if not fs.exists(place):
+        return spark.createDataFrame([], COMMIT_SCHEMA)
+    return spark.read.schema(COMMIT_SCHEMA).json(f"{path.rstrip('/')}/commits")
+
+
+def written(spark: SparkSession, path: str, write: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """The rows of one write, committed or not."""
+    return _rows(spark, path, schema, fmt).filter(F.col("write") == write).drop("write")
+
+
+def _rows(spark: SparkSession, path: str, schema: StructType, fmt: str) -> DataFrame:
+    full = StructType([*(f for f in schema if f.name not in ("detection_date", "write"))])
+    full = full.add("detection_date", "date").add("write", "string")
+    return spark.read.schema(full).format(fmt).load(f"{path.rstrip('/')}/data")
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """All committed rows, with their ``batch``. The schema is the one committed last, so no
+    file is opened to find it."""
+    done = commits(spark, path)
+    last = done.agg(F.max_by("row_schema", "saved_at").alias("s")).first().s
+    if last is None:
+        raise ValueError(f"nothing is committed in {path}")
+    schema = StructType.fromJson(json.loads(last))
+    return _rows(spark, path, schema, fmt).join(done.select("batch", "write"), "write").drop("write")
+
+
+def remove_uncommitted(spark: SparkSession, path: str) -> int:
+    """Delete the folders of writes that no commit names (failed or replaced ones); how many.
+    Not while a batch is being saved."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path.rstrip('/')}/data").select(
+        F.regexp_extract("path", "^(.*/write=([0-9a-f]+))/", 1).alias("folder"), F.regexp_extract("path", "/write=([0-9a-f]+)/", 1).alias("write"))
+    stale = names.distinct().join(commits(spark, path), "write", "left_anti").select("folder")
+    gone = 0
+    for row in stale.toLocalIterator():
+        place, fs = _file_system(spark, row.folder)
+        gone += bool(fs.delete(place, True))
+    return gone
 
 
 def append_history(detections: DataFrame, path: str, batch: str | None = None) -> None:
-    """Add rows, as a batch of their own unless one is named."""
-    folder = batch_folder(path, batch or uuid.uuid4().hex)
-    H.summary_rows(detections).write.mode("append").partitionBy("detection_date").parquet(folder)
+    """Add history rows, as a batch of their own unless one is named (which they then replace)."""
+    _save(H.summary_rows(detections), path, batch or uuid.uuid4().hex)
 
 
 def append_details(detections: DataFrame, path: str, batch: str | None = None) -> None:
     """As JSON lines."""
-    folder = batch_folder(path, batch or uuid.uuid4().hex)
-    detections.write.mode("append").partitionBy("detection_date").json(folder)
+    _save(detections, path, batch or uuid.uuid4().hex, "json")
 
 
-def _replace_batch(df: DataFrame, path: str, batch: str) -> DataFrame:
-    """Write one batch's folder anew, whatever dates it held, and read just that folder."""
-    folder = batch_folder(path, batch)
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-       .partitionBy("detection_date").parquet(folder))
-    return df.sparkSession.read.option("basePath", folder).parquet(folder)
+def _save(df: DataFrame, path: str, batch: str, fmt: str = "parquet") -> None:
+    commit(df.sparkSession, path, batch, write_rows(df, path, fmt), df.schema)
 
 
 def save_detections(detections: DataFrame, history_path: str, detail_path: str, batch: str) -> None:
     """Write the nested detail, then project the history from what was written.
 
-    The comparison runs once, both tables agree, and a batch repeated after a
-    failure replaces itself instead of adding rows twice.
+    The comparison runs once and both tables agree. Details are committed first, so
+    every history row that is seen has its detail; a batch repeated after a failure
+    replaces itself, whatever dates it held before.
     """
-    written = _replace_batch(detections, detail_path, batch)
-    _replace_batch(H.summary_rows(written), history_path, batch)
+    spark = detections.sparkSession
+    detail = write_rows(detections, detail_path)
+    summary = H.summary_rows(written(spark, detail_path, detail, detections.schema))
+    history = write_rows(summary, history_path)
+    commit(spark, detail_path, batch, detail, detections.schema)
+    commit(spark, history_path, batch, history, summary.schema)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_table(spark, path)
 
 
 def read_history_csv(spark: SparkSession, path: str, display_headers: bool = False) -> DataFrame:

@@ -66,7 +66,7 @@ def test_save_is_repeatable_and_lookup_prunes(spark, folder):
     assert history.count() == 3 and history.filter("batch = 'b1'").count() == 2
     one = history.filter("result = 'PASS'").first()["detection_id"]
     assert one.startswith("OCR-20260102-030405-678901-")
-    found = H.detail_of(spark.read.parquet(det), one)
+    found = H.detail_of(sinks.read_table(spark, det), one)
     assert found.first()["label_fields"] == {"brand": "A"}
     assert "PartitionFilters: [isnotnull(detection_date" in found._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -147,6 +147,30 @@ def test_listing_shows_everything_under_any_root(spark, folder):
         assert cases == {"_case3": ("_case3/a.pdf", []), "c4": ("", ["c4/.hidden.jpg"]), "c5": ("c5/x.pdf", ["c5/empty.png"])}
 
 
+def test_listing_by_tasks(spark, folder, monkeypatch):
+    """10,000 directories, wide and deep, in rounds of few: what the file system itself says."""
+    root = os.path.join(folder, "tree")
+    for i in range(9_900):
+        os.makedirs(os.path.join(root, f"w{i % 99}", f"d {i}"))
+    os.makedirs(os.path.join(root, *(f"%{k};" for k in range(100))))
+    touch(root, "w1/d 1/a.pdf", "w1/.x/_y", "%0;/%1;/b.png")
+    want = {(os.path.relpath(os.path.join(at, n), root), kind) for at, dirs, files in os.walk(root) for names, kind in ((dirs, True), (files, False)) for n in names}
+    monkeypatch.setattr(K, "LISTED_DIRS", 40)
+    called = []
+    monkeypatch.setattr(K, "_list_on_driver", lambda *a: called.append(a))
+    got = K.list_tree(spark, root).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and not called
+
+
+def test_listing_on_the_driver(spark, folder, monkeypatch):
+    touch(folder, "a/b/c.pdf", "a/.d")
+    os.makedirs(os.path.join(folder, "e"))
+    want = sorted(map(tuple, K.list_tree(spark, folder).collect()))
+    monkeypatch.setattr(K, "TASK_SCHEMES", ())
+    monkeypatch.setattr(K, "LISTING_ROWS", 2)
+    assert sorted(map(tuple, K.list_tree(spark, folder).collect())) == want
+
+
 def test_rerun_with_fewer_dates_leaves_none_behind(spark, folder):
     rows = detections(spark)
     later = rows.withColumn("detection_date", F.date_add("detection_date", F.when(F.col("result") == "FAIL", 1).otherwise(0)))
@@ -154,7 +178,40 @@ def test_rerun_with_fewer_dates_leaves_none_behind(spark, folder):
     sinks.save_detections(rows.filter("result = 'PASS'"), folder + "/h", folder + "/d", "b2")
     sinks.save_detections(later.filter("result = 'PASS'"), folder + "/h", folder + "/d", "b1")
     assert sorted((r["batch"], r["result"]) for r in sinks.read_history(spark, folder + "/h").collect()) == [("b1", "PASS"), ("b2", "PASS")]
-    assert spark.read.parquet(folder + "/d").count() == 2
+    assert sinks.read_table(spark, folder + "/d").count() == 2
+    assert sinks.remove_uncommitted(spark, folder + "/h") == 2  # both dates of the write that b1 replaced
+    assert sinks.remove_uncommitted(spark, folder + "/h") == 0
+    assert sinks.read_history(spark, folder + "/h").count() == 2
+
+
+def test_torn_write_is_not_seen(spark, folder):
+    """Rows without a commit, and a detail whose history was not written, change nothing that readers see."""
+    rows = detections(spark)
+    with pytest.raises(ValueError):
+        sinks.read_history(spark, folder + "/h")
+    sinks.save_detections(rows.filter("result = 'PASS'"), folder + "/h", folder + "/d", "b1")
+    sinks.write_rows(rows, folder + "/d")
+    sinks.write_rows(H.summary_rows(rows), folder + "/h")
+    assert sinks.read_history(spark, folder + "/h").count() == sinks.read_table(spark, folder + "/d").count() == 1
+    sinks.save_detections(rows, folder + "/h", folder + "/d", "b1")
+    assert sinks.read_history(spark, folder + "/h").count() == sinks.read_table(spark, folder + "/d").count() == 2
+    assert len(os.listdir(folder + "/h/commits")) <= 2  # one file, and its check sum
+
+
+def test_lookup_opens_one_date(spark, folder):
+    """Files of other dates are no Parquet at all, so opening one would fail."""
+    rows = detections(spark)
+    later = rows.withColumn("detection_date", F.date_add("detection_date", F.when(F.col("result") == "FAIL", 1).otherwise(0)))
+    sinks.save_detections(later, folder + "/h", folder + "/d", "b1")
+    one = sinks.read_history(spark, folder + "/h").filter("result = 'PASS'").first()["detection_id"]
+    other = folder + "/d/data/detection_date=2026-01-03"
+    for at, _, names in os.walk(other):
+        for name in names:
+            with open(os.path.join(at, name), "wb") as f:
+                f.write(b"no parquet")
+    assert H.detail_of(sinks.read_table(spark, folder + "/d"), one).first()["label_fields"] == {"brand": "A"}
+    with pytest.raises(Exception):
+        sinks.read_table(spark, folder + "/d").count() or sinks.read_table(spark, folder + "/d").collect()
 
 
 def test_appended_tables(spark, folder):
@@ -163,13 +220,13 @@ def test_appended_tables(spark, folder):
         sinks.append_history(rows, folder + "/h")
         sinks.append_details(rows, folder + "/d")
     assert sinks.read_history(spark, folder + "/h").count() == 4
-    details = sinks.read_details(spark, folder + "/d", "detection_id string, label_fields map<string,string>")
+    details = sinks.read_table(spark, folder + "/d", "json")
     assert details.count() == 4 and details.filter("label_fields['brand'] = 'B'").count() == 2
 
 
 def test_details_of_saved_tables(spark, folder):
     sinks.save_detections(detections(spark), folder + "/h", folder + "/d", "b1")
-    history, details = sinks.read_history(spark, folder + "/h"), spark.read.parquet(folder + "/d")
+    history, details = sinks.read_history(spark, folder + "/h"), sinks.read_table(spark, folder + "/d").drop("batch")
     more = history.union(history.withColumn("detection_id", F.lit("none")).limit(1))
     got = H.with_details(more, details.union(details)).collect()
     found = {r["detection_id"]: r["detail"] and r["detail"]["label_fields"]["brand"] for r in got}
