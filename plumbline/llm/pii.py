@@ -16,7 +16,7 @@ from plumbline.llm.common import stored
 #: (in the comments) match from left to right, without quadratic scans or deep recursion.
 BASE = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # [0-9]([\x20-]?[0-9])+ where it has 14 to 19 digits
@@ -48,6 +48,8 @@ OTHERWISE = r"(?i)(?:version|\bv\.?|section|chapter|isbn|issn|commit|order|invoi
 BEFORE, AFTER = 30, 10
 #: Classes of the word before a span, by hash.
 WORD_CLASSES = 256
+#: Spans of a text whose places are added up together.
+BLOCK = 256
 LABELERS = 5
 ROUNDS = 100
 SPAN = "start int, end int, value string, before string, after string"
@@ -62,12 +64,27 @@ def found_spans(text: Column, pattern: str, needs: str | None = None) -> Column:
     gaps = F.split(text, pattern, -1)
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
                          gaps.alias("gap"), F.slice(gaps, F.lit(2), F.lit((1 << 31) - 1)).alias("next"))
-    step = lambda z, at: F.struct(
-        (at + F.length(z["gap"])).cast("int").alias("start"), (at + F.length(z["gap"]) + F.length(z["value"])).cast("int").alias("end"),
-        z["value"].alias("value"), F.substring(z["gap"], -BEFORE, BEFORE).alias("before"), F.substring(z["next"], 1, AFTER).alias("after"))
+    parts = F.filter(parts, lambda z: z["value"].isNotNull())
+    length = lambda z: (F.length(z["gap"]) + F.length(z["value"])).cast("int")
+
+    def step(z, at):
+        return F.struct((at + F.length(z["gap"])).cast("int").alias("start"), (at + length(z)).cast("int").alias("end"), z["value"].alias("value"),
+                        F.substring(z["gap"], -BEFORE, BEFORE).alias("before"), F.substring(z["next"], 1, AFTER).alias("after"))
     empty = F.array().cast(f"array<struct<{', '.join(c.replace(' ', ':') for c in SPAN.split(', '))}>>")
-    spans = F.aggregate(F.filter(parts, lambda z: z["value"].isNotNull()), empty,
-                        lambda done, z: F.concat(done, F.array(step(z, F.when(F.size(done) > 0, F.element_at(done, -1)["end"]).otherwise(0)))))
+
+    def in_block(spans, at):
+        return F.aggregate(spans, empty, lambda done, z: F.concat(done, F.array(step(z, F.when(
+            F.size(done) > 0, F.element_at(done, -1)["end"]).otherwise(at)))))
+
+    # an array grows by copying: blocks keep that short in texts of very many spans
+    def by_block(parts):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
+        ends = lambda blocks: F.aggregate(blocks, F.array(F.lit(0)), lambda done, block: F.concat(done, F.array(
+            F.element_at(done, -1) + F.aggregate(block, F.lit(0), lambda n, z: n + length(z)))))
+        both = F.transform(F.array(blocks), lambda b: F.struct(b.alias("blocks"), ends(b).alias("at")))[0]
+        return F.flatten(F.transform(F.array(both), lambda x: F.transform(x["blocks"], lambda block, i: in_block(block, F.get(x["at"], i))))[0])
+
+    spans = F.transform(F.array(parts), lambda p: F.when(F.size(p) > BLOCK, by_block(p)).otherwise(in_block(p, F.lit(0))))[0]
     return F.when(text.contains(needs), spans).otherwise(empty) if needs else spans
 
 
