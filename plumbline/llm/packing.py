@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,17 @@ PACK_SCHEMA = ("input_ids binary, position_ids binary, cu_seqlens array<int>, ro
                "doc_ids array<bigint>, starts array<int>, n_tokens int")
 
 
+#: White space that the tokenizer's pattern is given in one run.
+GAP = 1 << 16
+
+
+def pieces(text: str) -> list[str]:
+    """The text, cut inside runs of more than GAP white space characters, on which the
+    tokenizer's pattern would recurse without bound."""
+    cuts = [m.end() for m in re.finditer(r"\s{%d}" % GAP, text)] if len(text) > GAP else []
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+
 def encoding(ranks_path: str):
     import tiktoken
 
@@ -112,7 +125,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, ranks_path: str = RANKS,
     row's ids, so the ids of every row can be put together again exactly.
 
     Every row of ``docs`` gives its text's ids and ``end_id``; null and empty texts give
-    just that. A document longer than a row is cut into whole rows and a rest. Each task
+    just that. Runs of more than GAP white space characters are tokenized in parts. A document longer than a row is cut into whole rows and a rest. Each task
     packs pools of about ``pool_tokens`` ids from the documents that it reads, which bounds
     its memory (but for a single text) and needs no shuffle; a lost task repeats the same
     work. Repeated rows and null ids are packed like others; an empty table gives no rows.
@@ -125,7 +138,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, ranks_path: str = RANKS,
             texts, doc_ids, row_ids = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("row_id").to_pylist()
             for at in range(batch.num_rows):
                 text = str(texts[at].as_py() or b"", "utf-8", "replace")
-                ids = np.append(np.array(tokens.encode_ordinary(text), np.uint32), np.uint32(end_id)).astype(kind)
+                ids = np.array([*chain.from_iterable(tokens.encode_ordinary(part) for part in pieces(text)), end_id], np.uint32).astype(kind)
                 whole = len(ids) - len(ids) % row_tokens
                 for start in range(0, whole, row_tokens):
                     full.append([(row_ids[at], doc_ids[at], start, ids[start:start + row_tokens])])

@@ -106,6 +106,16 @@ def test_personal_data(spark, sf, documents):
     assert pii.find_personal_data(documents([])).count() == 0
 
 
+def test_long_domains_and_very_many_spans(spark, documents):
+    """A domain of 200,000 dots, two million dots without one, and 20,000 addresses in one text."""
+    many = " ".join(f"a{i}@b.c" for i in range(20_000))
+    got = {r.doc_id: r for r in pii.find_personal_data(documents([(1, "x@a" + ".b" * 200_000 + " y@z"), (2, "@a" + "." * 2_000_000), (3, many), (4, "q@r..s u@v.w.")])).collect()}
+    assert got[1].n_email == 1 and got[1].spans == "email:0:400003" and got[2].n_email == 0
+    places = [(m.start(), m.end()) for m in re.finditer(r"\S+", many)]
+    assert got[3].spans == ",".join(f"email:{a}:{b}" for a, b in places) and got[3].n_email == 20_000
+    assert got[4].spans == "email:7:12"
+
+
 def test_more_kinds_need_consent(spark, documents):
     docs = documents([(1, "IBAN: GB82 WEST 1234 5698 7654 32, ssn: 123-45-6789. Dear Mr. John Smith"), (2, "GB00 WEST 1234 5698 7654 32 and 000-12-1234")])
     got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
@@ -138,6 +148,18 @@ def test_packed_rows_give_the_ids_back(spark, sf, documents):
     assert packing.pack(documents([])).count() == 0
 
 
+def test_very_long_white_space(spark, documents):
+    """Two million blanks or line ends would exhaust the tokenizer's stack in one run."""
+    texts = {1: " " * 2_000_000, 2: "a" + "\n" * 2_000_000 + " b", 3: "x" + " \t" * 80_000, 4: " " * packing.GAP + "y", 5: "c"}
+    parts = {}
+    for r in packing.pack(documents(list(texts.items()))).collect():
+        ids = np.frombuffer(r.input_ids, "<u2")
+        for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            parts.setdefault(doc, []).append((start, ids[a:b]))
+    tokens = packing.encoding(packing.RANKS)
+    assert {doc: tokens.decode(np.concatenate([p for _, p in sorted(found, key=lambda f: f[0])])[:-1].tolist()) for doc, found in parts.items()} == texts
+
+
 def test_best_fit_decreasing():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 101, 400).tolist()
