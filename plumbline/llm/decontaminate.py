@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import flat, sent, slices
+from plumbline.llm.common import flat, sent, slices, stored
 
 #: Word edits (insert, delete, replace) allowed, as a share of a test item's words.
 ERROR_RATE = 0.2
-#: Test items of fewer words say too little and are not searched.
-MIN_WORDS = 8
+#: Test items of fewer words are searched without edits: any edit would leave little of them.
+EXACT_WORDS = 8
+#: Fixed value: scripts written without spaces, in which each letter counts as a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Words of test items that one pass over the documents carries to every task.
 PASS_WORDS = 2_000_000
 #: Array values handled at a time.
@@ -25,15 +28,23 @@ MATCH_SCHEMA = "doc_id bigint, item_id bigint, distance int, first_word int, end
 
 
 def match_words(text: Column) -> Column:
-    """Hashes of the lower-cased runs of letters and digits; none for null."""
-    runs = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    """Hashes of the lower-cased runs of letters and digits, letters of scripts without
+    spaces one by one; none for null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    spaced = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    runs = F.array_remove(F.split(spaced, r"[^\p{L}\p{N}]+"), "")
     return F.transform(runs, lambda w: F.xxhash64(w))
 
 
+def budget(n: int, rate: float) -> int:
+    """Edits allowed in an item of n words."""
+    return int(n * rate) if n >= EXACT_WORDS else 0
+
+
 def pieces(n: int, rate: float) -> list[tuple[int, int]]:
     """Start and length of the (error budget + 1) pieces of an item of n words. An
     occurrence with that many errors at most leaves one piece untouched."""
-    parts = int(n * rate) + 1
+    parts = budget(n, rate) + 1
     cuts = [n * k // parts for k in range(parts + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -93,7 +104,7 @@ class Index:
     """Pieces of the test items, by length and hash of their first words."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], rate: float):
-        self.items = [(i, w.tolist(), int(len(w) * rate)) for i, w in items]
+        self.items = [(i, w.tolist(), budget(len(w), rate)) for i, w in items]
         by_width = defaultdict(list)
         for k, (_, words) in enumerate(items):
             cut = pieces(len(words), rate)
@@ -147,36 +158,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS,
-               pass_words: int = PASS_WORDS) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, pass_words: int = PASS_WORDS) -> DataFrame:
     """Occurrences of test items (item_id, text) in documents (doc_id, text), with word
     edits up to ``rate`` of the item's words. Other columns are ignored.
 
     One row for each document and item found there, with the fewest edits and the place
-    (first and end word, counted in runs of letters and digits).
-
-    Items travel to the tasks in passes of at most about ``pass_words`` words each (an item
-    is never cut), so what is broadcast stays bounded however many items there are. The
-    documents are scanned where they lie; nothing is shuffled. Null and empty texts, and
-    items of fewer than ``min_words`` words, match nothing. Items without an id are found
-    like others (null item_id). Repeated documents or items give repeated rows.
+    (first and end word, counted in runs of letters and digits). Items of under EXACT_WORDS
+    words are found only as they stand.
+
+    Items equal in their words are searched once. They travel to the tasks in passes of at
+    most about ``pass_words`` words each (an item is never cut), so what is broadcast stays
+    bounded however many items there are. The documents are scanned where they lie; only
+    what is found is shuffled, to name its items. Null texts and texts without a letter or
+    digit, of documents or items, match nothing. Items without an id are found like others
+    (null item_id). Repeated documents or items give repeated rows.
     """
     spark = docs.sparkSession
-    ready = items.select(F.col("item_id").cast("bigint").alias("item_id"), match_words(F.col("text")).alias("words")).where(F.size("words") >= min_words)
-    total = ready.agg(F.sum(F.size("words"))).first()[0] or 0
+    ready = items.select(F.col("item_id").cast("bigint").alias("item_id"), match_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    ready = stored(ready.withColumn("key", F.xxhash64("words")))
+    distinct = ready.groupBy("key").agg(F.first("words").alias("words"))
+    total = distinct.agg(F.sum(F.size("words"))).first()[0] or 0
     passes = total // pass_words + 1
     found = []
     searched = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), match_words(F.col("text")).alias("words"))
     for k in range(passes):
         # a pass holds the items of one hash class
-        part = ready.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k).orderBy("item_id", "words")
-        rows = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in part.toLocalIterator()]
+        part = distinct.where(F.pmod("key", F.lit(passes)) == k).orderBy("key")
+        rows = [(r.key, np.array(r.words, np.int64).view(np.uint64)) for r in part.toLocalIterator()]
         index = sent(spark, Index(rows, rate))
-        found.append(searched.mapInArrow(_searcher(index), MATCH_SCHEMA))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+        found.append(searched.mapInArrow(_searcher(index), MATCH_SCHEMA.replace("item_id", "key")))
+    hits = reduce(DataFrame.union, found)
+    return hits.join(ready.select("key", "item_id"), "key").select(*[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
 
 
 def _searcher(index):
@@ -187,7 +199,7 @@ def _searcher(index):
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[r], item, d, a, b, int(offsets[r + 1] - offsets[r]))
                     for r, item, d, a, b in found.search(words.view(np.uint64), offsets)]
-            names = ["doc_id", "item_id", "distance", "first_word", "end_word", "n_words"]
+            names = ["doc_id", "key", "distance", "first_word", "end_word", "n_words"]
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
     return run

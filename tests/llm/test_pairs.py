@@ -1,5 +1,7 @@
 """SimHash, decontamination, neighbours: against brute force."""
 
+import re
+
 import numpy as np
 import xxhash
 from hypothesis import given, settings
@@ -153,6 +155,22 @@ def test_items_are_found_with_edits(spark, documents):
     assert decontaminate.decontaminated(docs, items.limit(0)).count() == docs.count()
 
 
+def test_short_items_and_unspaced_scripts(spark, documents):
+    """Items of one to seven words as they stand, letters without spaces one by one, equal items once each."""
+    texts = {1: "Say a b c d e f g h now", 2: "a b c x d e f g", 3: "前面这是一个测试后面", 4: "这是 一 个测 试", 5: "这是一个错试", 6: "gfedcba a", 7: "ก่อนทดสอบครับ"}
+    given_items = {n: " ".join("abcdefg"[:n]) for n in range(1, 8)} | {20: "这是一个测试", 21: "A, B", 22: "ทดสอบ", 23: "?!", 24: ""}
+    items = spark.createDataFrame(list(given_items.items()), "item_id bigint, text string")
+
+    def words(text):
+        return re.findall(r"[\u4e00-\u9fff\u0e00-\u0e7f]|[^\W_\u4e00-\u9fff\u0e00-\u0e7f]+", re.sub(r"[\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]", " ", text.lower()))
+    want = sorted((d, i) for d, t in texts.items() for i, item in given_items.items() if (w := words(item))
+                  and any(words(t)[k:k + len(w)] == w for k in range(len(words(t)))))
+    docs = documents(list(texts.items()))
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_items(docs, items).collect()) == want
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_items(docs, items, pass_words=4).collect()) == want
+    assert (3, 20) in want and (7, 22) in want and (1, 7) in want and (2, 7) not in want
+
+
 def test_neighbours_against_brute_force(spark, sf):
     vectors = table(spark, sf, "embeddings")
     rows = [(r.vec_id, r.embedding) for r in vectors.select("vec_id", "embedding").collect()]
