@@ -43,7 +43,7 @@ BUFFER, PART_ENTRIES = 1 << 21, 1 << 18
 #: A shingle with more groups than this in a buffer is dealt out; in the first meeting to so many tasks.
 CROWD, DEALT = 256, 256
 #: Groups of one unit of comparison: a larger bucket is dealt out as pairs of parts.
-PART = 2048
+PART = 512
 #: Classes of text digests by which documents without a candidate are passed over.
 TEXT_CLASSES = 1 << 22
 #: Bytes of text that are in work at a time.
@@ -68,9 +68,9 @@ class Words(dict):
         return value
 
 
-def shingle_set(text: bytes, width: int, known: Words) -> np.ndarray:
-    """Distinct hashes, ascending, of all runs of ``width`` words in lower case (A-Z); a
-    shorter text is one run, one without words has none."""
+def shingle_hashes(text: bytes, width: int, known: Words) -> np.ndarray:
+    """Hashes of all runs of ``width`` words in lower case (A-Z), repeats included; a shorter
+    text is one run, one without words has none."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -80,7 +80,12 @@ def shingle_set(text: bytes, width: int, known: Words) -> np.ndarray:
     for k in range(size):
         out = out * _STEP + each[k:k + runs]
     out = (out ^ (out >> np.uint64(32))) * _MIX
-    return np.unique(out ^ (out >> np.uint64(29)))
+    return out ^ (out >> np.uint64(29))
+
+
+def shingle_set(text: bytes, width: int, known: Words) -> np.ndarray:
+    """The distinct ones, ascending."""
+    return np.unique(shingle_hashes(text, width, known))
 
 
 def prefix_length(n: int) -> int:
@@ -128,7 +133,7 @@ def class_ranks(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, known = np.zeros(1 << CLASS_BITS, np.uint32), Words()
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets = [shingle_set(t.as_py(), width, known) for t in batch.column("text")]
+            sets = [shingle_hashes(t.as_py(), width, known) for t in batch.column("text")]
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
         yield from rows({b: part.astype(np.int64) for b, part in enumerate(counts.reshape(-1, BLOCK)) if part.any()})
@@ -531,7 +536,8 @@ def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
 CLASSES_SQL = r"""
 WITH RECURSIVE
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[ 	-]+'), lambda x: x <> '') AS words FROM documents),
+      '[ 	-
+]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE
       list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) END AS own FROM w),
 e AS MATERIALIZED (SELECT doc_id, len(own) AS n, unnest(own) AS shingle FROM s),
