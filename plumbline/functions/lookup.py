@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,7 +35,7 @@ def field_position(key, cat: Catalogue) -> Column:
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
 
     def one(k):
-        return F.when(k.isin(list(known)), F.try_element_at(table, k))
+        return F.try_element_at(table, k)
 
     parts = F.array_min(F.transform(F.split(key, "/"), lambda p: one(T.strip(p))))
     return F.least(one(key), F.when(key.contains("/"), parts))
@@ -53,6 +54,26 @@ def line_position(line, cat: Catalogue) -> Column:
     return F.when(may_be, T.let(T.label_key(line), lambda k: field_position(k, cat)))
 
 
+def word_trie(words) -> str:
+    """One pattern for all words: letters that words begin with in common are tested once, and
+    the longest word that fits what follows the pattern is tried first."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [re.escape(letter) + pattern(below) for letter, below in node.items() if letter]
+        if not branches:
+            return ""
+        if len(branches) == 1 and "" not in node:
+            return branches[0]
+        return "(?:" + "|".join(branches) + ")" + ("?" if "" in node else "")
+    return pattern(root)
+
+
 def field_name_at(position, cat: Catalogue) -> Column:
     return F.try_element_at(F.array(*[F.lit(i) for i in cat.ids]), T.col(position) + 1)
 
@@ -66,8 +87,8 @@ def noise_key(key, cat: Catalogue) -> Column:
     """Is a label key no value: empty, itself a label word, or with a noise word?"""
     key = T.col(key)
     stop = list(word_positions(cat))
-    noise = "|".join(re.escape(w.upper()) for w in fv.NOISE_WORDS)
-    return (key == "") | key.isin(stop) | key.rlike(noise)
+    noise = [key.contains(w.upper()) for w in fv.NOISE_WORDS]
+    return reduce(lambda a, b: a | b, noise, (key == "") | key.isin(stop))
 
 
 def is_noise(value, cat: Catalogue) -> Column:
@@ -76,13 +97,9 @@ def is_noise(value, cat: Catalogue) -> Column:
 
 def six_field_position(key, cat: Catalogue) -> Column:
     """Position by whole label key only; a later field wins a shared word."""
-    key = T.col(key)
-    out = F.lit(None).cast("int")
-    for pos, f in enumerate(cat.fields):
-        names = [re.sub(r"\s+", " ", a).strip().replace("：", ":").replace("／", "/").upper()
-                 for a in f.aliases]
-        out = F.when(key.isin(names), F.lit(pos)).otherwise(out)
-    return out
+    known = {re.sub(r"\s+", " ", a).strip().replace("：", ":").replace("／", "/").upper(): pos
+             for pos, f in enumerate(cat.fields) for a in f.aliases}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), T.col(key))
 
 
 def is_six_field_word(line, cat: Catalogue) -> Column:

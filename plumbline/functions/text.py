@@ -36,18 +36,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fenced(value: Column) -> Column:
-    """The value, in a form the optimizer computes once per row and never copies.
+def fence(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column in a form the optimizer computes once per row and never copies.
 
     Without it a filter on something made from a costly column is rewritten into
     (many copies of) the column's definition, and a column used inside a lambda
-    is computed once per element. An unused fenced column is still pruned away.
+    is computed once per element. A row goes through a generator that gives it back once:
+    nothing made from the column passes that, while filters on other columns do and
+    reach the scan.
     """
-    return F.when(F.spark_partition_id() >= 0, value)
-
-
-def fence(df: DataFrame, name: str, value: Column) -> DataFrame:
-    return df.withColumn(name, fenced(value))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
 def strip(c) -> Column:
@@ -96,8 +95,8 @@ def compact_text(c) -> Column:
 def label_key(c) -> Column:
     """Comparison form of a label word; takes cleaned text."""
     c = F.btrim(F.upper(col(c)), F.lit(" :"))
-    c = F.regexp_replace(c, f"{SPACE}*/{SPACE}*", "/")
-    return F.regexp_replace(c, SQUEEZE, " ")
+    return let(c, lambda k: F.regexp_replace(F.when(
+        k.contains("/"), F.regexp_replace(k, f"{SPACE}*/{SPACE}*", "/")).otherwise(k), SQUEEZE, " "))
 
 
 def fix_ocr_digits(c) -> Column:
@@ -128,6 +127,13 @@ def tidy_candidate(c) -> Column:
     return strip(F.regexp_replace(c, SPACE + "{2,}", " "))
 
 
+def tidy_piece(c) -> Column:
+    """``tidy_candidate`` of a piece of tidied text (or of tidied lines), which needs no
+    tidying but at its ends."""
+    c = F.btrim(strip(c), F.lit(" :：|"))
+    return strip(F.regexp_replace(c, SPACE + "{2,}", " "))
+
+
 def cut_value(c) -> Column:
     c = col(c)
     return F.when(F.length(c) > fv.MAX_VALUE_CHARS,

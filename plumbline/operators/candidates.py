@@ -9,7 +9,7 @@ the candidates are few.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.catalogue import APPLIANCE, Catalogue
@@ -18,20 +18,22 @@ from plumbline.operators import extract as E, records as R
 from plumbline.operators.skew import ordered_concat
 
 
-def mode_rows(pages: DataFrame, keys: list[str]) -> DataFrame:
-    return pages.select(*keys, F.posexplode("texts").alias("mode_ord", "_t")).select(
-        *keys, "mode_ord", "_t.mode", "_t.text")
+def _scored_texts(cat: Catalogue) -> Column:
+    """Every text of a page with what its choice goes by, inside the row: the four texts
+    of a page never leave it, so choosing one needs no shuffle."""
+    def score(t, i):
+        return T.let(E.ords_of_hits(E.hits_in_row(t["text"], cat), cat), lambda ords: F.struct(
+            F.size(ords).cast("long").alias("n_fields"), T.keyword_hits(t["text"], fv.PAGE_KEYWORDS).alias("n_keywords"),
+            F.length(t["text"]).alias("n_chars"), (-i).alias("first"), t["mode"].alias("mode"), t["text"].alias("text"), ords.alias("ords")))
+    return F.transform("texts", score)
 
 
 def best_page_text(pages: DataFrame, keys: list[str], cat: Catalogue = APPLIANCE) -> DataFrame:
-    """Per page the text with most fields, then key words, then length; first mode on ties."""
-    scored = E.extract_fields(mode_rows(pages, keys), cat).select(
-        *keys, "mode", "text", R.n_filled().alias("n_fields"),
-        T.keyword_hits("text", fv.PAGE_KEYWORDS).alias("n_keywords"),
-        F.length("text").alias("n_chars"), (-F.col("mode_ord")).alias("_first"))
-    best = F.max_by(F.struct("mode", "text", "n_fields", "n_keywords", "n_chars"),
-                    F.struct("n_fields", "n_keywords", "n_chars", "_first"))
-    return scored.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+    """Per page the text with most fields, then key words, then length; first mode on ties.
+    Keys name a page; a page without texts gives no row."""
+    best = F.array_max(_scored_texts(cat))
+    return (T.fence(pages.filter(F.size("texts") > 0), "_b", best)
+            .select(*keys, "_b.mode", "_b.text", "_b.n_fields", "_b.n_keywords", "_b.n_chars"))
 
 
 def longest_page_text(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,13 +54,14 @@ def concat_pages(pages: DataFrame, keys: list[str], page_no: str, ocr: bool = Fa
 
 
 def rank_modes(pages: DataFrame, keys: list[str], cat: Catalogue = APPLIANCE) -> DataFrame:
-    """How each mode did: fields found, their names, length; best first."""
-    found = E.extract_fields(mode_rows(pages, keys), cat).select(
-        *keys, "mode", R.n_filled().alias("n_fields"),
-        F.array_join(R.names_of("ords", cat), fv.LIST_SEPARATOR).alias("fields"),
-        F.length("text").cast("long").alias("n_chars"), "mode_ord")
-    order = Window.partitionBy(*keys).orderBy(F.desc("n_fields"), F.desc("n_chars"), "mode_ord")
-    return found.withColumn("rank", F.row_number().over(order)).drop("mode_ord")
+    """How each mode did: fields found, their names, length; best first. Ranked in the row."""
+    shown = F.transform(_scored_texts(cat), lambda t: F.struct(
+        t["n_fields"].alias("n_fields"), t["n_chars"].alias("n_chars"), t["first"].alias("first"), t["mode"].alias("mode"),
+        R.names_of(t["ords"], cat).alias("names")))
+    ranked = T.fence(pages.filter(F.size("texts") > 0), "_r", F.sort_array(shown, asc=False))
+    return (ranked.select(*keys, F.posexplode("_r").alias("_i", "_t"))
+            .select(*keys, "_t.mode", "_t.n_fields", F.array_join("_t.names", fv.LIST_SEPARATOR).alias("fields"),
+                    F.col("_t.n_chars").cast("long").alias("n_chars"), (F.col("_i") + 1).alias("rank")))
 
 
 def choose_drawing_text(df: DataFrame, cat: Catalogue = APPLIANCE) -> DataFrame:

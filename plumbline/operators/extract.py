@@ -41,39 +41,56 @@ def _hit(ord_, stage, pick, line, rank, value) -> Column:
 def _accept(hits: Column, cat: Catalogue) -> Column:
     """Tidy the values, drop empty and noise ones, cut the long ones."""
     tidied = F.transform(F.filter(hits, lambda h: h["value"].isNotNull()),
-                         lambda h: h.withField("value", T.tidy_candidate(h["value"])))
+                         lambda h: h.withField("value", T.tidy_piece(h["value"])))
     kept = F.filter(tidied, lambda h: ~lookup.is_noise(h["value"], cat))
     return F.transform(kept, lambda h: h.withField("value", T.cut_value(h["value"])))
 
 
-def _word_table(cat: Catalogue) -> Column:
-    return F.array(*[F.struct(F.lit(pos).alias("ord"), F.lit(rank).alias("rank"),
-                              F.lit(word.upper()).alias("word"), F.lit(len(word)).alias("n"))
-                     for pos, rank, word in cat.label_words])
+class LabelWords:
+    """Label words (field position, rank, word) as one trie, and what each word it finds implies.
 
+    The trie gives the longest word that starts a line; the other words that start it are
+    that word's own beginnings, known beforehand. So a line is read once, whatever the
+    number of words.
+    """
+
+    def __init__(self, words: list[tuple[int, int, str]]):
+        self.rows = [(pos, rank, word.upper()) for pos, rank, word in words]
+        tails = r"(?=\s*[:：]|\s)"
+        self.pattern = f"(?iU)^({lookup.word_trie(dict.fromkeys(w for _, _, w in self.rows))}){tails}"
+        every = dict.fromkeys(w for _, _, w in self.rows)
+        self.chains = F.create_map(*[x for w in every for x in (
+            F.lit(w), self._table([r for r in self.rows if w.startswith(r[2])]))])
+        self.table = self._table(self.rows)
+
+    @staticmethod
+    def _table(rows: list[tuple[int, int, str]]) -> Column:
+        return F.array(*[F.struct(F.lit(pos).alias("ord"), F.lit(rank).alias("rank"), F.lit(len(word)).alias("n"),
+                                  F.lit(word).alias("word")) for pos, rank, word in rows])
+
+    def head(self, line: Column) -> Column:
+        """The longest label word at the start of a line that something follows, else ''."""
+        return F.regexp_extract(line, self.pattern, 1)
 
-def _words_on_line(line: Column, table: Column, after: list[str], stage: int) -> Column:
-    """Hits of all label words that start the line."""
-    starting = F.filter(table, lambda w: line["upper"].startswith(w["word"]) &
-                        (F.upper(F.substring(line["x"], F.lit(1), w["n"])) == w["word"]))
-    return F.transform(starting, lambda w: _hit(
-        w["ord"], stage, 0, line["i"], w["rank"],
-        _first_group(F.substr(line["x"], w["n"] + 1), after)))
+    def starting(self, line: Column) -> Column:
+        """All words that start the line (x, head). A head whose upper case is no word (letters
+        with several lower cases) is looked up word by word."""
+        slow = F.filter(self.table, lambda w: F.upper(F.substring(line["x"], F.lit(1), w["n"])) == w["word"])
+        return F.coalesce(F.try_element_at(self.chains, F.upper(line["head"])), slow)
 
 
-def _starts_with_word(words) -> str:
-    """One pattern telling whether any of the words could start a line with a value."""
-    words = sorted(set(words), key=len, reverse=True)
-    return r"(?iU)^(?:" + "|".join(re.escape(w) for w in words) + r")\s*(?:[:：]|\s)"
+def _word_hits(lines: Column, words: LabelWords, after: list[str], stage: int) -> Column:
+    """Hits of all label words that start a line and are followed by a value."""
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"), words.head(x).alias("head")))
+
+    def on_line(s):
+        return F.transform(words.starting(s), lambda w: _hit(
+            w["ord"], stage, 0, s["i"], w["rank"], _first_group(F.substr(s["x"], w["n"] + 1), after)))
+    return F.flatten(F.transform(F.filter(numbered, lambda s: s["head"] != ""), on_line))
 
 
 def inline_hits(lines, cat: Catalogue, after=None, stage: int = INLINE) -> Column:
-    table, start = _word_table(cat), _starts_with_word(w for _, _, w in cat.label_words)
-    numbered = F.transform(T.col(lines), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    likely = F.transform(F.filter(numbered, lambda s: s["x"].rlike(start)),
-                         lambda s: s.withField("upper", F.upper(s["x"])))
-    return F.flatten(F.transform(likely, lambda s: _words_on_line(
-        s, table, after or fv.AFTER_WORD, stage)))
+    return _word_hits(T.col(lines), LabelWords(cat.label_words), after or fv.AFTER_WORD, stage)
 
 
 def _keyed_lines(lines, cat: Catalogue) -> Column:
@@ -120,11 +137,20 @@ def _folded(text: Column) -> Column:
     return F.lower(T.replace_each(text, {"ı": "i", "İ": "i"}))
 
 
-def pattern_hits(clean, found_ords, cat: Catalogue) -> Column:
+def joined_lines(nfkc: Column, lines: Column, clean: Column) -> Column:
+    """The lines of the cleaned text, one below the other. They are the clean lines of the
+    text itself, unless cleaning turns a line break into a blank."""
+    return F.when(nfkc.rlike("\\r(?!\\n)|[\f\x0b]"), F.array_join(T.split_lines(clean), "\n")).otherwise(F.array_join(lines, "\n"))
+
+
+def pattern_hits(clean, found_ords, cat: Catalogue, joined: Column | None = None) -> Column:
     """First matching pattern of each field not found yet, over the joined lines."""
-    joined = F.array_join(T.split_lines(clean), "\n")
+    joined = F.array_join(T.split_lines(clean), "\n") if joined is None else joined
     found = T.col(found_ords)
 
+    def found_at(pos: int):
+        return lambda w: _hit(pos, PATTERN, w["n"], 0, 0, w["g"])
+
     def search(t):
         text, low = t["text"], t["low"]
         hits = []
@@ -138,11 +164,10 @@ def pattern_hits(clean, found_ords, cat: Catalogue) -> Column:
                 given = f.pattern_words[n] if n < len(f.pattern_words) else ()
                 words = given or ((hint,) if hint else ())
                 groups.append(F.when(_has_word(low, words), group) if words else group)
-            value = F.when(~F.array_contains(found, pos), F.coalesce(*groups))
-            pick = F.lit(len(groups) - 1)
-            for n in reversed(range(len(groups) - 1)):
-                pick = F.when(groups[n].isNotNull(), n).otherwise(pick)
-            hits.append(_hit(pos, PATTERN, pick if len(groups) > 1 else 0, 0, 0, value))
+            tried = [F.when(g.isNotNull(), F.struct(F.lit(n).alias("n"), g.alias("g"))) if len(groups) > 1
+                     else F.struct(F.lit(n).alias("n"), g.alias("g")) for n, g in enumerate(groups)]
+            first = F.when(~F.array_contains(found, pos), F.coalesce(*tried))
+            hits.append(T.let(first, found_at(pos)))
         return F.array(*hits)
     text = T.let(joined, lambda t: F.struct(
         t.alias("text"), _folded(t).alias("low")))
@@ -184,10 +209,11 @@ def first_hits(hits) -> Column:
 
 
 def with_text_columns(df: DataFrame, text: str = "text") -> DataFrame:
-    """``_lines``: clean lines; ``_clean``: the whole cleaned text."""
+    """``_lines``: clean lines; ``_clean``: the whole cleaned text; ``_joined``: its lines in one."""
     return (df.withColumn("_nfkc", T.nfkc(text))
               .withColumn("_lines", T.split_lines("_nfkc"))
               .withColumn("_clean", T.tidy("_nfkc"))
+              .withColumn("_joined", joined_lines(F.col("_nfkc"), F.col("_lines"), F.col("_clean")))
               .drop("_nfkc"))
 
 
@@ -199,9 +225,36 @@ def with_hits(df: DataFrame, cat: Catalogue = APPLIANCE, text: str = "text") ->
                     _accept(adjacent_hits("_keyed", cat), cat))
     out = out.withColumn("_near", near).withColumn("_near", first_hits("_near"))
     out = out.withColumn("_near", F.concat("_near", _accept(
-        pattern_hits("_clean", F.col("_near")["ord"], cat), cat)))
+        pattern_hits("_clean", F.col("_near")["ord"], cat, F.col("_joined")), cat)))
     out = T.fence(out, "hits", F.concat("_near", phrase_hits("_clean", F.col("_near")["ord"], cat)))
-    return out.drop("_lines", "_clean", "_keyed", "_near")
+    return out.drop("_lines", "_clean", "_joined", "_keyed", "_near")
+
+
+def hits_in_row(text: Column, cat: Catalogue = APPLIANCE) -> Column:
+    """The hits of ``with_hits`` as one expression, for texts inside an array."""
+    def parts(n):
+        return T.let(F.struct(T.split_lines(n).alias("lines"), T.tidy(n).alias("clean")), lambda p: F.struct(
+            p["clean"].alias("clean"), joined_lines(n, p["lines"], p["clean"]).alias("joined"), near(p["lines"]).alias("near")))
+
+    def near(lines):
+        return T.let(_keyed_lines(lines, cat), lambda keyed: first_hits(F.concat(
+            _accept(inline_hits(lines, cat), cat), _accept(adjacent_hits(keyed, cat), cat))))
+
+    def rest(p):
+        found = F.concat(p["near"], _accept(pattern_hits(p["clean"], p["near"]["ord"], cat, p["joined"]), cat))
+        return T.let(found, lambda f: F.concat(f, phrase_hits(p["clean"], f["ord"], cat)))
+    return T.let(T.let(T.nfkc(text), parts), rest)
+
+
+def ords_of_hits(hits: Column, cat: Catalogue) -> Column:
+    """Positions of the fields that the record of these hits fills, in order."""
+    def filled(ords):
+        if cat.twins is None:
+            return F.array_sort(ords)
+        a, b = (F.lit(cat.position[t]) for t in cat.twins)
+        more = F.when(F.array_contains(ords, a) | F.array_contains(ords, b), F.array_union(ords, F.array(a, b))).otherwise(ords)
+        return F.array_sort(more)
+    return T.let(hits["ord"], filled)
 
 
 def _backfill(by_position: Column, cat: Catalogue) -> Column:
@@ -311,14 +364,8 @@ def extract_six_fields(df: DataFrame, cat: Catalogue, text: str = "text") -> Dat
     label_lines = F.filter(keyed, lambda s: s["pos"].isNotNull())
     # A negative line number makes the last label line the first hit.
     near = F.transform(label_lines, lambda s: _hit(s["pos"], 1, 0, -s["i"], 0, below(s)))
-    table = F.array(*[F.struct(F.lit(p).alias("ord"), F.lit(n).alias("rank"),
-                               F.lit(w.upper()).alias("word"), F.lit(len(w)).alias("n"))
-                      for p, f in enumerate(cat.fields) for n, w in enumerate(f.aliases)])
-    start = _starts_with_word(w for f in cat.fields for w in f.aliases)
-    numbered = F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    lines = F.transform(F.filter(numbered, lambda s: s["x"].rlike(start)),
-                        lambda s: s.withField("upper", F.upper(s["x"])))
-    same = F.flatten(F.transform(lines, lambda s: _words_on_line(s, table, fv.SIX_AFTER_WORD, 2)))
+    words = LabelWords([(p, n, w) for p, f in enumerate(cat.fields) for n, w in enumerate(f.aliases)])
+    same = _word_hits(F.col("_lines"), words, fv.SIX_AFTER_WORD, 2)
     hits = F.filter(F.concat(near, same), lambda h: h["value"].isNotNull())
     out = T.fence(out, "hits", first_hits(hits))
     return (R.with_record(out, by_position(F.col("hits"), cat), cat, cleaned=True)

@@ -1,8 +1,12 @@
 """Truth rows for choosing among candidate texts."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from plumbline.operators import candidates as X
+from plumbline.catalogue import APPLIANCE as CAT
+from plumbline.functions import lookup
+from plumbline.operators import candidates as X, extract as E
 
 FOUR = "NAME: a\nMODEL: b\nVERSION: c\nBRAND: d"
 
@@ -65,3 +69,38 @@ def test_failed_recognition_keeps_the_text_layer(spark):
     df = spark.createDataFrame([("short", None, "boom")], "direct_text string, ocr_text string, ocr_error string")
     r = X.choose_drawing_text(df).first()
     assert r["parse_mode"] == "text" and r["raw_text"] == "short" and r["warnings"][1] == "PDF OCR失败，保留文字层结果：boom"
+
+
+TEXTS = ["", None, FOUR, "MODEL\nQR\nB2\nMade in china", "Model NO: x9\r\nS/N  77 88 　 z\rRated Voltage : 22O V~", "IP\n\nX4\x0bBRAND NAME: q\fCODE 10012345",
+         "能效标签 LABEL-ENERGY\n产品名称/NAME\n洗衣机", "model number Z-1\nRated Capacity of Wash : 5 kg", "MODELK x\nſerial no: 5k\nMODEL"]
+
+
+def test_row_form_gives_the_same_hits(spark):
+    """The expression used inside arrays against the columns; model twins count both."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, text string")
+    both = E.with_hits(df).select("id", "hits", F.array_sort(E.hits_in_row(F.col("text"))).alias("row_hits"), "text")
+    for r in both.collect():
+        assert sorted(r["hits"], key=lambda h: h["ord"]) == sorted(r["row_hits"], key=lambda h: h["ord"]), r["text"]
+    counted = E.record_from_hits(both.withColumn("o", E.ords_of_hits(F.col("hits"), CAT)), CAT)
+    assert all(r["o"] == r["ords"] for r in counted.collect())
+
+
+def test_page_choice_needs_no_shuffle(spark):
+    df = spark.createDataFrame([(1, [("a", "MODEL: x"), ("b", FOUR)]), (2, []), (3, None), (4, [("a", None)])],
+                               "doc int, texts array<struct<mode:string,text:string>>")
+    for got in (X.best_page_text(df, ["doc"]), X.rank_modes(df, ["doc"])):
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    ranked = sorted((r["doc"], r["rank"], r["mode"], r["n_fields"]) for r in X.rank_modes(df, ["doc"]).collect())
+    assert ranked == [(1, 1, "b", 5), (1, 2, "a", 2), (4, 1, "a", 0)]
+    assert sorted(r["doc"] for r in X.best_page_text(df, ["doc"]).collect()) == [1, 4]
+
+
+def test_trie_finds_what_single_words_find():
+    """One pattern against one test per word, over odd ends and letters with several cases."""
+    words = list(dict.fromkeys(w.upper() for _, _, w in CAT.label_words))
+    one = re.compile(lookup.word_trie(words), re.I)
+    for word in words:
+        for text in (word, word + " NO", word[:-1], word.lower() + "x", "x" + word):
+            fits = [w for w in words if text.upper().startswith(w)]
+            found = one.match(text)
+            assert (found[0].upper() if found else "") == max(fits, key=len, default="")
