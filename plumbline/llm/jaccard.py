@@ -39,7 +39,7 @@ LEADS = 4
 #: ... among so many before it in the order of sizes.
 NEAR = 128
 #: Entries that a task gathers before it sends them, and that a part of all hashes holds on average.
-BUFFER, PART_ENTRIES = 1 << 21, 1 << 18
+BUFFER, PART_ENTRIES = 1 << 19, 1 << 18
 #: A shingle with more groups than this in a buffer is dealt out; in the first meeting to so many tasks.
 CROWD, DEALT = 256, 256
 #: Groups of one unit of comparison: a larger bucket is dealt out as pairs of parts.
@@ -47,7 +47,7 @@ PART = 512
 #: Classes of text digests by which documents without a candidate are passed over.
 TEXT_CLASSES = 1 << 22
 #: Bytes of text that are in work at a time.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 #: Words whose hashes a task remembers.
 KNOWN_WORDS = 1 << 18
 
@@ -135,8 +135,8 @@ def class_ranks(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
         for batch in slices(batches, "text", SLICE_BYTES):
             sets = [shingle_hashes(t.as_py(), width, known) for t in batch.column("text")]
             if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-        yield from rows({b: part.astype(np.int64) for b, part in enumerate(counts.reshape(-1, BLOCK)) if part.any()})
+                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - CLASS_BITS)).astype(np.int64), np.uint32(1))
+        yield from rows({b: part for b, part in enumerate(counts.reshape(-1, BLOCK)) if part.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -147,7 +147,7 @@ def class_ranks(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
     def rows(blocks: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for b, part in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(part.astype(np.int64).tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
     out = np.zeros(((1 << CLASS_BITS) // BLOCK, BLOCK), np.int64)
