@@ -41,12 +41,11 @@ def fence(df: DataFrame, name: str, value: Column) -> DataFrame:
 
     Without it a filter on something made from a costly column is rewritten into
     (many copies of) the column's definition, and a column used inside a lambda
-    is computed once per element. A row goes through a generator that gives it back once:
-    nothing made from the column passes that, while filters on other columns do and
-    reach the scan.
+    is computed once per element. An unused fenced column is still pruned away. Filters
+    on other columns stay above as well: set them before, or read stored records
+    (``sources.records``), where they reach the scan.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
-    return df.select(*kept, F.explode(F.array(value)).alias(name))
+    return df.withColumn(name, F.when(F.spark_partition_id() >= 0, value))
 
 
 def strip(c) -> Column:

@@ -19,8 +19,10 @@ def assemble(compared: DataFrame, cat: Catalogue, detected_at: str, id_key: list
              extra: list[str] | None = None) -> DataFrame:
     """One row per detection: the history columns, the date, and the nested detail.
 
-    ``compared`` is a drawing comparison with ``drawing_file`` and ``label_file``.
-    Both history tables are projections of this one result.
+    ``compared`` is a drawing comparison with ``drawing_file`` and ``label_file``. What it
+    has of ``lines`` (recognised lines of the label: text, score), ``drawing_text`` and
+    ``label_text`` goes into the detail, lines as ``ocr_rows`` numbered from 1. Both
+    history tables are projections of this one result.
     """
     at = F.col(detected_at)
     row = (compared
@@ -40,7 +42,15 @@ def assemble(compared: DataFrame, cat: Catalogue, detected_at: str, id_key: list
         *HISTORY_COLUMNS, "detection_date",
         R.to_map("drawing_ords", "drawing_vals", cat).alias("drawing_fields"),
         R.to_map("ords", "vals", cat).alias("label_fields"),
-        nested.alias("comparison"), *(extra or []))
+        nested.alias("comparison"), *_recognised(compared), *(extra or []))
+
+
+def _recognised(compared: DataFrame) -> list[Column]:
+    """The recognised lines and both whole texts, as far as they are there."""
+    rows = F.transform(F.coalesce(F.col("lines"), F.array()), lambda x, i: F.struct(
+        (i + 1).alias("seq"), F.coalesce(x["text"], F.lit("")).alias("text"), x["score"].alias("score")))
+    texts = [T.safe_text(c, stripped=False).alias(c) for c in ("drawing_text", "label_text") if c in compared.columns]
+    return [rows.alias("ocr_rows")] * ("lines" in compared.columns) + texts
 
 
 def summary_rows(detections: DataFrame) -> DataFrame:

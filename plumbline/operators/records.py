@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline import fixed_values as fv
 from plumbline.catalogue import Catalogue
 from plumbline.functions import lookup, text as T
 
@@ -98,6 +99,14 @@ def missing_ords(cat: Catalogue, required_only: bool = True) -> Column:
     return F.filter(wanted, lambda o: ~F.array_contains("ords", o))
 
 
+def missing_fields(df: DataFrame, keys: list[str], cat: Catalogue, required_only: bool = True) -> DataFrame:
+    """(keys, n_missing, missing): names of the unfilled fields, of all or the required ones, of
+    every record that lacks any."""
+    return (df.select(*keys, missing_ords(cat, required_only).alias("_m")).filter(F.size("_m") > 0)
+            .select(*keys, F.size("_m").cast("long").alias("n_missing"),
+                    F.array_join(names_of("_m", cat), fv.LIST_SEPARATOR).alias("missing")))
+
+
 def to_long(df: DataFrame, keys: list[str], cat: Catalogue) -> DataFrame:
     """One row per filled field."""
     rows = F.arrays_zip("ords", "vals", "norms")

@@ -69,6 +69,14 @@ def horizontal_sheet(horizontal: DataFrame, cat: Catalogue) -> DataFrame:
         "target_value", "result", "reason")
 
 
+def ocr_sheet(labels: DataFrame, lines: str = "lines") -> DataFrame:
+    """Recognised lines of all labels of a case, in the labels' order, numbered from 1 within
+    each: (case_id, label_no, label_file, seq, text, score). Labels without lines have no row."""
+    return (labels.select(*LABEL_KEYS, "label_file", F.posexplode(lines).alias("_i", "_l"))
+            .select(*LABEL_KEYS, T.safe_text("label_file", stripped=False).alias("label_file"), (F.col("_i") + 1).alias("seq"),
+                    F.coalesce("_l.text", F.lit("")).alias("text"), F.col("_l.score").alias("score")))
+
+
 def field_matrix(labels: DataFrame, cat: Catalogue, fields: list[str] | None = None) -> DataFrame:
     """Row per label, column per field: NULL where the case does not use the field.
 
@@ -226,10 +234,20 @@ def export_tables(drawings: DataFrame, compared: DataFrame, horizontal: DataFram
     }
 
 
-def nested_case(compared: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Case results as nested documents: labels with their comparison rows, in blocks
-    of at most ``block_rows`` labels."""
+def nested_case(compared: DataFrame, block_rows: int | None = None, more: list[str] | None = None) -> DataFrame:
+    """Case results as nested documents: labels with their comparison rows and the columns
+    ``more``, in blocks of at most ``block_rows`` labels."""
     block = F.floor((F.col("label_no") - 1) / F.lit(block_rows or skew.BLOCK_ROWS)).cast("int")
-    label = F.struct("label_no", "label_file", "verdict", "cmp")
+    label = F.struct("label_no", "label_file", "verdict", "cmp", *(more or []))
     return compared.groupBy("case_id", block.alias("block_no")).agg(
         F.array_sort(F.collect_list(label)).alias("labels"))
+
+
+def nested_run(compared: DataFrame, summary: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """The full result of a run as nested documents: each case's summary row with its labels,
+    their comparison rows and the columns ``more``; a case without labels has one block
+    without any. ``summary`` has one row per case and block of errors."""
+    blocks = nested_case(compared, more=more)
+    head = F.struct(*[c for c in summary.columns if c not in ("case_id", "block_no")])
+    return (summary.select("case_id", "block_no", head.alias("summary")).join(blocks, ["case_id", "block_no"], "full")
+            .withColumn("labels", F.coalesce("labels", F.array().cast(blocks.schema["labels"].dataType))))

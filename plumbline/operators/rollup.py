@@ -113,11 +113,16 @@ def label_values(labels: DataFrame, cat: Catalogue, issues: DataFrame) -> DataFr
                     (R.value_at("ords", "norms", F.col("field_ord")) == "").alias("is_missing")))
 
 
-def batch_overview(compared: DataFrame, summary: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per case: labels, batch verdict, labels by verdict, inconsistent fields."""
+def batch_overview(compared: DataFrame, summary: DataFrame, issues: DataFrame, detected_at: str | None = None) -> DataFrame:
+    """Per case: labels, batch verdict, labels by verdict, inconsistent fields; with
+    ``detected_at`` also the time of the latest detection and the drawing's file."""
     n_issue = issues.groupBy("case_id").agg(F.count("*").alias("n_inconsistent"))
     counts = verdict_counts(compared)
     n_labels = F.col("n_label_pass") + F.col("n_label_fail") + F.col("n_label_unknown")
+    if detected_at is not None:
+        facts = compared.groupBy("case_id").agg(F.date_format(F.max(detected_at), "yyyy-MM-dd HH:mm:ss").alias("detection_time"),
+                                                F.max("drawing_file").alias("drawing_file"))
+        counts = counts.join(facts, "case_id")
     return (counts.withColumn("n_labels", n_labels)
             .join(C.batch_verdict(summary), "case_id")
             .join(n_issue, "case_id", "left")

@@ -8,7 +8,7 @@ from plumbline import fixed_values as fv
 from plumbline.catalogue import APPLIANCE as CAT
 from plumbline.operators import compare as C, records as R, rollup
 from plumbline.plans import derive, sql as S
-from plumbline.plans.registry import query
+from plumbline.plans.registry import ORACLE, query
 from plumbline.session import saved
 
 
@@ -136,6 +136,16 @@ def batch_overview(spark, sf):
                                  rollup.inconsistent_fields(labels, CAT))
 
 
+@query("batch_overview_sheet", ORACLE["batch_overview"].replace("SELECT v.case_id,", """SELECT v.case_id, strftime(t.at, '%Y-%m-%d %H:%M:%S') AS detection_time,
+ concat('drawing_', CAST(v.case_id AS STRING), '.pdf') AS drawing_file,""", 1) + " JOIN (SELECT case_id, max(l_shipdate) AS at FROM lab GROUP BY 1) t ON t.case_id = v.case_id")
+def batch_overview_sheet(spark, sf):
+    """The overview with the time of the detection and the drawing's file."""
+    labels = saved(derive.labels(spark, sf))
+    against_drawing = saved(C.compare_to_drawing(labels, derive.drawings(spark, sf), CAT).select("case_id", "verdict", "l_shipdate", "drawing_file"))
+    return rollup.batch_overview(against_drawing, C.compare_to_baseline(labels, CAT),
+                                 rollup.inconsistent_fields(labels, CAT), "l_shipdate")
+
+
 @query("field_unpivot", S.BASE + """
 SELECT case_id, label_no, lf.field_name, value FROM lf WHERE value <> ''""")
 def field_unpivot(spark, sf):

@@ -139,3 +139,14 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_source(spark, sf_dir).select(
         "case_id", "label_no", F.expr(LABEL_TEXT).alias("text"))
+
+
+# Recognised lines of a label: those of its text, each with a score of its own.
+LINE_SCORE = "(h * 7 + i * 3) % 100 / 100.0D"
+
+
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, label_no, label_file, label_text, lines)"""
+    texts = label_source(spark, sf_dir).select("case_id", "label_no", "label_file", "h", F.expr(LABEL_TEXT).alias("label_text"))
+    return texts.withColumn("lines", F.expr(
+        f"transform(split(label_text, '\\n'), (x, i) -> struct(x AS text, {LINE_SCORE} AS score))")).drop("h")

@@ -9,8 +9,9 @@ from plumbline.catalogue import APPLIANCE as CAT, SIX
 from plumbline.functions import lookup, text as T
 from plumbline.operators import extract as E, records as R
 from plumbline.plans import derive, sql as S
-from plumbline.plans.registry import query, table, text_table
-from plumbline.sources import cases
+from plumbline.plans.registry import ORACLE, query, table, text_table
+from plumbline.session import new_folder
+from plumbline.sources import cases, records
 
 
 def docs(spark, sf):
@@ -280,6 +281,25 @@ def extract_distinct_docs(spark, sf):
     return R.to_long(cases.extract_distinct(texts, "doc_id", "text", CAT), ["doc_id"], CAT).drop("field_ord", "norm")
 
 
+@query("content_store", DOC_FULL + """ SELECT doc_id, count(ord) AS n_fields, coalesce(string_agg(v, ';' ORDER BY ord), '') AS field_values, known
+FROM (SELECT doc_id, text IN (SELECT text FROM src WHERE doc_id % 2 = 0) AS known FROM src) LEFT JOIN rec USING (doc_id) GROUP BY ALL""")
+def content_store(spark, sf):
+    """Contents of half of the documents are stored by a first run; the second reads the others only."""
+    texts = docs(spark, sf).select("doc_id", F.expr(DOC_TEXT).alias("text"))
+    path = new_folder(spark)
+    records.extract_with_store(texts.filter("doc_id % 2 = 0"), "doc_id", "text", path, CAT, "first")
+    rows = records.extract_with_store(texts, "doc_id", "text", path, CAT, "second")
+    return rows.select("doc_id", R.n_filled().alias("n_fields"), F.array_join("vals", ";").alias("field_values"), "known")
+
+
+@query("missing_fields", FULL + f""" SELECT {K}, count(*) AS n_missing, string_agg(r.field_name, '、' ORDER BY r.ord) AS missing
+FROM src CROSS JOIN rules r LEFT JOIN rec USING ({K}, ord) WHERE v IS NULL GROUP BY ALL""")
+def missing_fields(spark, sf):
+    """Fields of the whole catalogue that a label's text does not give."""
+    rows = E.extract_fields(derive.label_texts(spark, sf), CAT)
+    return R.missing_fields(rows, KEYS, CAT, required_only=False)
+
+
 @query("summarize_fields", FULL + f" SELECT {K}, count(*) AS n_fields, string_agg(field_name, '、' ORDER BY ord) AS fields FROM rec JOIN rules USING (ord) GROUP BY ALL")
 def summarize_fields(spark, sf):
     rows = E.extract_fields(derive.label_texts(spark, sf), CAT)
@@ -313,3 +333,13 @@ JOIN sixnames USING (ord) GROUP BY ALL""")
 def extract_legacy6(spark, sf):
     rows = E.extract_six_fields(derive.label_texts(spark, sf), SIX)
     return R.to_long(rows, KEYS, SIX).drop("field_ord", "norm")
+
+
+@query("missing_six", ORACLE["extract_legacy6"].replace("SELECT case_id, label_no, field_name, arg_min(v, stage) AS value FROM", ", six AS (SELECT case_id, label_no, field_name FROM", 1) + """)
+SELECT l.case_id, l.label_no, count(*) AS n_missing, string_agg(n.field_name, '、' ORDER BY n.ord) AS missing
+FROM lab l CROSS JOIN sixnames n LEFT JOIN (SELECT *, 1 AS found FROM six) s ON s.case_id = l.case_id AND s.label_no = l.label_no AND s.field_name = n.field_name
+WHERE found IS NULL GROUP BY ALL""")
+def missing_six(spark, sf):
+    """The same for the six-field profile."""
+    rows = E.extract_six_fields(derive.label_texts(spark, sf), SIX)
+    return R.missing_fields(rows, KEYS, SIX, required_only=False)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.catalogue import APPLIANCE as CAT
-from plumbline.operators import compare as C, records as R, reports as P, rollup
+from plumbline.operators import compare as C, history as H, records as R, reports as P, rollup
 from plumbline.plans import derive, sql as S
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import ORACLE, query, table
 from plumbline.session import saved
 
 KEYS = ["case_id", "label_no"]
@@ -75,7 +75,7 @@ def drawing_sheet(spark, sf):
 SELECT case_id, label_no, field_name, baseline_label, bv AS baseline_value, label_file AS target_label, tv AS target_value,
  {S.RESULT} AS result, {S.by_words('status', fv.LABEL_REASONS)} AS reason FROM hcmp WHERE label_no <> 1""")
 def horizontal_sheet(spark, sf):
-    return P.horizontal_sheet(C.compare_to_baseline(derive.labels(spark, sf), CAT), CAT)
+    return P.horizontal_sheet(C.compare_to_baseline(saved(derive.labels(spark, sf)), CAT), CAT)
 
 
 _CELLS = ", ".join(f"max(CASE WHEN field_name = '{f}' THEN value END) AS {f}" for f in SHOWN)
@@ -134,13 +134,14 @@ _FACTS = f"""round({derive.LABEL_CONFIDENCE}, 4) AS confidence, {derive.PREPROCE
 SELECT s.case_id, s.label_no, s.n_pass, s.n_fail, s.n_unknown, s.verdict, f.confidence, f.preprocess, f.warnings
 FROM hsum s JOIN (SELECT case_id, label_no, {_FACTS} FROM lab) f ON f.case_id = s.case_id AND f.label_no = s.label_no""")
 def summary_enrichment(spark, sf):
-    facts = derive.label_facts(spark, sf).select(*KEYS, "preprocess", "confidence", F.col("label_warnings").alias("warnings"))
-    summary = C.label_summary(C.compare_to_baseline(derive.labels(spark, sf), CAT))
+    labels = saved(derive.label_facts(spark, sf))
+    facts = labels.select(*KEYS, "preprocess", "confidence", F.col("label_warnings").alias("warnings"))
+    summary = C.label_summary(C.compare_to_baseline(labels, CAT))
     return P.enrich_summary(summary.drop("label_file", "is_baseline"), facts)
 
 
-def reasons(spark, sf):
-    labels = derive.label_facts(spark, sf).drop("error")
+def reasons(spark, sf, labels=None):
+    labels = (derive.label_facts(spark, sf) if labels is None else labels).drop("error")
     drawings = derive.drawing_facts(spark, sf).drop("error", "p_name", "p_size")
     return P.failure_reasons(C.compare_to_drawing(labels, drawings, CAT), CAT)
 
@@ -174,13 +175,71 @@ _RUN = S.BASE + f"""SELECT v.case_id, v.label_no, v.label_file, f.preprocess, f.
  ON f.case_id = v.case_id AND f.label_no = v.label_no JOIN (REASONS) r ON r.case_id = v.case_id AND r.label_no = v.label_no"""
 
 
+def run_tables(spark, sf):
+    """The flat tables of a run; labels are read once."""
+    labels = saved(derive.label_facts(spark, sf))
+    texts = derive.label_texts(spark, sf).withColumnRenamed("text", "label_text")
+    drawings = derive.drawing_facts(spark, sf)
+    horizontal = C.compare_to_baseline(labels, CAT)
+    summary = P.case_summary(drawings, C.label_summary(horizontal), P.error_rows(drawings, labels), timings(spark, sf, ["case_id"]).drop("n_steps"))
+    return P.export_tables(drawings, reasons(spark, sf, labels).join(texts, KEYS), horizontal, summary, CAT)
+
+
 @query("label_export", _RUN.replace("REASONS", _REASONS))
 def label_export(spark, sf):
     """The label table of a run export."""
-    texts = derive.label_texts(spark, sf).withColumnRenamed("text", "label_text")
-    rows = reasons(spark, sf).join(texts, KEYS)
-    horizontal = C.compare_to_baseline(derive.labels(spark, sf), CAT)
-    return P.export_tables(derive.drawings(spark, sf), rows, horizontal, rows, CAT)["label_ocr"]
+    return run_tables(spark, sf)["label_ocr"]
+
+
+@query("export_drawing_fields", S.BASE + """
+SELECT case_id, concat('drawing_', CAST(case_id AS STRING), '.pdf') AS drawing_file, field_name, value FROM df WHERE value <> ''""")
+def export_drawing_fields(spark, sf):
+    return run_tables(spark, sf)["drawing_fields"]
+
+
+@query("export_comparisons", S.BASE + f"""
+SELECT case_id, label_no, label_file, cmp.field_name, dv AS drawing_value, lv AS label_value, dv AS drawing_raw,
+ dn AS drawing_norm, lv AS label_raw, ln AS label_norm, status, {S.RESULT} AS result, {_SPEC} AS reason,
+ CASE WHEN required THEN '是' ELSE '否' END AS required,
+ CASE status WHEN 'match' THEN 0.98::DOUBLE WHEN 'mismatch' THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END AS confidence
+FROM cmp JOIN rules USING (ord)""")
+def export_comparisons(spark, sf):
+    return run_tables(spark, sf)["comparisons"]
+
+
+@query("export_horizontal", S.BASE + f"""
+SELECT case_id, label_no, field_name, baseline_label, bv AS baseline_value, bn AS baseline_norm, label_file AS target_label,
+ tv AS target_value, tn AS target_norm, status, {S.RESULT} AS result, {S.by_words('status', fv.LABEL_REASONS)} AS reason FROM hcmp WHERE label_no <> 1""")
+def export_horizontal(spark, sf):
+    return run_tables(spark, sf)["horizontal"]
+
+
+_LINES = f"""lines AS (SELECT case_id, label_no, label_file, CAST(i + 1 AS INT) AS seq, raw[i + 1] AS text, (h * 7 + i * 3) % 100 / 100.0::DOUBLE AS score
+ FROM (SELECT case_id, label_no, label_file, h, raw, unnest(range(len(raw))) AS i FROM (
+  SELECT *, string_split({derive.LABEL_TEXT}, chr(10)) AS raw FROM lab)))"""
+
+
+@query("batch_ocr_sheet", S.BASE + f", {_LINES} SELECT * FROM lines")
+def batch_ocr_sheet(spark, sf):
+    return P.ocr_sheet(derive.label_lines(spark, sf))
+
+
+@query("detail_records", S.BASE + f""", {_LINES}
+SELECT v.case_id, v.label_no, v.label_file, v.verdict AS result, l.p_name AS drawing_text, l.label_md5,
+ o.rows AS ocr_rows, c.n AS n_rows FROM verdict v JOIN (SELECT case_id, label_no, p_name, md5({derive.LABEL_TEXT}) AS label_md5 FROM lab) l
+ ON l.case_id = v.case_id AND l.label_no = v.label_no
+JOIN (SELECT case_id, label_no, md5(string_agg(concat(seq, ':', text, ':', CAST(round(score * 100) AS INT)), '|' ORDER BY seq)) AS rows FROM lines GROUP BY ALL) o
+ ON o.case_id = v.case_id AND o.label_no = v.label_no
+JOIN (SELECT case_id, label_no, count(*) AS n FROM cmp GROUP BY ALL) c ON c.case_id = v.case_id AND c.label_no = v.label_no""")
+def detail_records(spark, sf):
+    """Whole detail records: comparison, recognised lines and both raw texts."""
+    texts = derive.label_lines(spark, sf).drop("label_file")
+    drawings = derive.drawings(spark, sf).withColumnRenamed("p_name", "drawing_text").drop("p_size")
+    compared = C.compare_to_drawing(derive.labels(spark, sf).join(texts, KEYS), drawings, CAT)
+    rows = H.assemble(compared, CAT, "l_shipdate", KEYS, KEYS)
+    shown = F.transform("ocr_rows", lambda r: F.concat(r["seq"].cast("string"), F.lit(":"), r["text"], F.lit(":"), F.round(r["score"] * 100).cast("int").cast("string")))
+    return rows.select(*KEYS, "label_file", "result", "drawing_text", F.md5("label_text").alias("label_md5"),
+                       F.md5(F.array_join(shown, "|")).alias("ocr_rows"), F.size("comparison").cast("long").alias("n_rows"))
 
 
 @query("failed_labels", S.BASE + f"""
@@ -264,3 +323,17 @@ def nested_cases(spark, sf):
     shown = F.transform("labels", lambda x: F.concat_ws(":", x["label_no"].cast("string"), x["label_file"], x["verdict"]))
     return nested.select("case_id", "block_no", F.size("labels").cast("long").alias("n_labels"),
                          total.cast("long").alias("n_rows"), F.array_join(shown, ",").alias("labels"))
+
+
+@query("nested_run", ORACLE["case_summary"].replace("SELECT d.case_id,", "SELECT d.case_id, coalesce(w.labels, '') AS labels,", 1)
+       + " LEFT JOIN (SELECT case_id, string_agg(concat(label_no, ':', verdict, ':', preprocess), ',' ORDER BY label_no) AS labels "
+       + f"FROM verdict JOIN (SELECT case_id, label_no, {derive.PREPROCESS} AS preprocess FROM lab) USING (case_id, label_no) GROUP BY ALL) w ON w.case_id = d.case_id")
+def nested_run(spark, sf):
+    """Every case of a run as one document: its summary and its labels with their comparison."""
+    labels, drawings = saved(derive.label_facts(spark, sf)), derive.drawing_facts(spark, sf)
+    summary = P.case_summary(drawings, C.label_summary(C.compare_to_baseline(labels, CAT)), P.error_rows(drawings, labels),
+                             timings(spark, sf, ["case_id"]).drop("n_steps"))
+    compared = C.compare_to_drawing(labels.drop("error"), drawings.drop("error", "p_name", "p_size"), CAT)
+    run = P.nested_run(compared, summary, ["preprocess"])
+    shown = F.transform("labels", lambda x: F.concat_ws(":", x["label_no"].cast("string"), x["verdict"], x["preprocess"]))
+    return run.select("case_id", "block_no", "summary.*", F.array_join(shown, ",").alias("labels"))

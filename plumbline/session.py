@@ -25,15 +25,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def new_folder(spark: SparkSession, kind: str = "saved") -> str:
+    """Path of a new folder on shared storage: below spark.checkpoint.dir; where that is
+    unset (one machine) in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows written once to shared storage and read back.
 
     For results that several later steps start from: they are computed once, and a
-    lost executor costs no recomputation. The folder lies below spark.checkpoint.dir;
-    where that is unset (one machine) in a temporary folder.
+    lost executor costs no recomputation.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

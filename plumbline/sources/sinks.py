@@ -8,6 +8,7 @@ so readers see all of a batch or nothing of it, and a batch saved again replaces
 
 from __future__ import annotations
 
+import datetime
 import json
 import uuid
 
@@ -39,17 +40,18 @@ def _swap_in(spark: SparkSession, path: str, text: str) -> None:
     files.rename(fs.makeQualified(draft), fs.makeQualified(target), over)
 
 
-def write_rows(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Rows under a new write, which nobody sees yet; its name."""
+def write_rows(df: DataFrame, path: str, fmt: str = "parquet", by: str = "detection_date") -> str:
+    """Rows under a new write, which nobody sees yet; its name. ``by``: the column that comes
+    first in the folder names."""
     write = uuid.uuid4().hex
-    (df.withColumn("write", F.lit(write)).write.mode("append").partitionBy("detection_date", "write")
+    (df.withColumn("write", F.lit(write)).write.mode("append").partitionBy(by, "write")
        .format(fmt).save(f"{path.rstrip('/')}/data"))
     return write
 
 
 def commit(spark: SparkSession, path: str, batch: str, write: str, schema: StructType) -> None:
     """From now on ``write`` is what the batch holds."""
-    row = {"batch": batch, "write": write, "row_schema": schema.json(), "saved_at": uuid.uuid1().hex}
+    row = {"batch": batch, "write": write, "row_schema": schema.json(), "saved_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}
     _swap_in(spark, f"{path.rstrip('/')}/commits/{uuid.uuid5(uuid.NAMESPACE_URL, batch).hex}.json", json.dumps(row))
 
 
@@ -67,8 +69,7 @@ def written(spark: SparkSession, path: str, write: str, schema: StructType, fmt:
 
 
 def _rows(spark: SparkSession, path: str, schema: StructType, fmt: str) -> DataFrame:
-    full = StructType([*(f for f in schema if f.name not in ("detection_date", "write"))])
-    full = full.add("detection_date", "date").add("write", "string")
+    full = StructType([*(f for f in schema if f.name != "write")]).add("write", "string")
     return spark.read.schema(full).format(fmt).load(f"{path.rstrip('/')}/data")
 
 
