@@ -19,6 +19,8 @@ ERROR_RATE = 0.2
 EXACT_WORDS = 8
 #: Fixed value: scripts written without spaces, in which each letter counts as a word.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Fixed value: blocks that hold all of these letters (and others); most texts are passed over by this cheaper test.
+UNSPACED_BLOCKS = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u19ff\u2e80-\ufaff\uff66-\uff9d\x{16fe0}-\x{3ffff}]"
 #: Words of test items that one pass over the documents carries to every task.
 PASS_WORDS = 2_000_000
 #: Array values handled at a time.
@@ -31,7 +33,7 @@ def match_words(text: Column) -> Column:
     """Hashes of the lower-cased runs of letters and digits, letters of scripts without
     spaces one by one; none for null."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    spaced = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    spaced = F.when(low.rlike(UNSPACED_BLOCKS), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
     runs = F.array_remove(F.split(spaced, r"[^\p{L}\p{N}]+"), "")
     return F.transform(runs, lambda w: F.xxhash64(w))
 
