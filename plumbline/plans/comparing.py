@@ -154,8 +154,9 @@ def field_unpivot(spark, sf):
 
 @query("field_table", S.BASE + """
 SELECT case_id, label_no, field_name, value, '成功' AS recognised FROM lf WHERE value <> ''
-UNION ALL SELECT l.case_id, l.label_no, r.field_name, '', '未识别' FROM lab l CROSS JOIN rules r
-WHERE r.ord < 6 AND NOT EXISTS (SELECT 1 FROM lf WHERE lf.case_id = l.case_id AND lf.label_no = l.label_no AND value <> '')""")
+UNION ALL SELECT l.case_id, l.label_no, r.field_name, '', '未识别' FROM lab l JOIN rules r ON r.ord < 6
+LEFT JOIN (SELECT case_id, label_no, count(*) AS n FROM lf WHERE value <> '' GROUP BY ALL) f ON f.case_id = l.case_id AND f.label_no = l.label_no
+WHERE f.n IS NULL""")
 def field_table(spark, sf):
     return R.field_table(derive.labels(spark, sf), ["case_id", "label_no"], CAT).drop("field_ord")
 

@@ -98,7 +98,7 @@ _ORDER = ", ".join(derive.LABEL_ORDER)
 
 # lab: labels; draw: drawings; lf / df: their field values, '' where absent; used: comparison rows
 LAB = f"""WITH {rule_table()},
-lab AS (SELECT i.*, p_name, p_brand, p_size FROM (
+lab AS MATERIALIZED (SELECT i.*, p_name, p_brand, p_size FROM (
   SELECT l_partkey AS case_id, {derive.LABEL_CLASS} AS h,
    CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY {_ORDER}) AS INT) AS label_no,
    concat('label_', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING), '.jpg') AS label_file,
@@ -116,27 +116,27 @@ verdict AS (SELECT case_id, label_no, label_file,
   FROM cmp GROUP BY ALL)"""
 
 BASE = LAB + f""",
-lf AS ({_fields('lab', derive.LABEL_FIELDS, 'case_id, label_no, label_file')}),
-df AS ({_fields('draw', derive.DRAWING_FIELDS, 'case_id')}),
+lf AS MATERIALIZED ({_fields('lab', derive.LABEL_FIELDS, 'case_id, label_no, label_file')}),
+df AS MATERIALIZED ({_fields('draw', derive.DRAWING_FIELDS, 'case_id')}),
 pairs AS (SELECT lf.case_id, lf.label_no, lf.label_file, lf.ord, lf.field_name,
    df.value AS dv, lf.value AS lv, df.norm AS dn, lf.norm AS ln
   FROM lf JOIN df ON lf.case_id = df.case_id AND lf.ord = df.ord),
-used AS (SELECT * FROM pairs WHERE dv <> '' OR lv <> ''),
-cmp0 AS (SELECT * FROM used UNION ALL
+used AS MATERIALIZED (SELECT * FROM pairs WHERE dv <> '' OR lv <> ''),
+cmp0 AS MATERIALIZED (SELECT * FROM used UNION ALL
   SELECT l.case_id, l.label_no, l.label_file, r.ord, r.field_name, '', '', '', ''
-  FROM lab l CROSS JOIN rules r
-  WHERE r.ord < {fv.DEFAULT_FIELD_COUNT} AND NOT EXISTS (
-    SELECT 1 FROM used u WHERE u.case_id = l.case_id AND u.label_no = l.label_no)),
+  FROM lab l JOIN rules r ON r.ord < {fv.DEFAULT_FIELD_COUNT}
+  LEFT JOIN (SELECT case_id, label_no, count(*) AS n FROM used GROUP BY ALL) u ON u.case_id = l.case_id AND u.label_no = l.label_no
+  WHERE u.n IS NULL),
 {VERDICT},
 filled AS (SELECT DISTINCT case_id, ord FROM lf WHERE value <> ''),
 active AS (SELECT case_id, ord FROM filled UNION ALL
   SELECT c.case_id, r.ord FROM (SELECT DISTINCT case_id FROM lab) c CROSS JOIN rules r
   WHERE r.ord < {fv.DEFAULT_FIELD_COUNT} AND c.case_id NOT IN (SELECT case_id FROM filled)),
-grid AS (SELECT l.case_id, l.label_no, l.label_file, a.ord, r.field_name,
+grid AS MATERIALIZED (SELECT l.case_id, l.label_no, l.label_file, a.ord, r.field_name,
    coalesce(f.value, '') AS value, coalesce(f.norm, '') AS norm
   FROM lab l JOIN active a ON a.case_id = l.case_id JOIN rules r ON r.ord = a.ord
   LEFT JOIN lf f ON f.case_id = l.case_id AND f.label_no = l.label_no AND f.ord = a.ord),
-hcmp AS (SELECT t.case_id, t.label_no, t.label_file, t.ord, t.field_name, b.label_file AS baseline_label,
+hcmp AS MATERIALIZED (SELECT t.case_id, t.label_no, t.label_file, t.ord, t.field_name, b.label_file AS baseline_label,
    b.value AS bv, b.norm AS bn, t.value AS tv, t.norm AS tn,
    CASE WHEN b.value = '' AND t.value = '' THEN 'not_applicable' WHEN b.value = '' THEN 'baseline_missing'
     WHEN t.value = '' THEN 'target_missing' WHEN b.norm = t.norm THEN 'match' ELSE 'mismatch' END AS status
