@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,6 +12,7 @@ from plumbline import fixed_values as fv
 from plumbline.catalogue import Catalogue
 from plumbline.functions import lookup, text as T
 from plumbline.operators import compare as C, records as R
+from plumbline.session import saved
 
 HISTORY_COLUMNS = list(fv.HISTORY_HEADERS)
 
@@ -74,6 +76,68 @@ def file_matches(pattern: str, literal: bool = False) -> Column:
             | F.coalesce(F.col("label_file").rlike(rx), F.lit(False)))
 
 
+# --- file names by their trigrams ------------------------------------------------------
+# The letters beyond ASCII that a pattern without case takes for ASCII ones.
+FOLDED = {"ſ": "s", "ı": "i", "İ": "i", "K": "k"}
+TRIGRAM = 3
+
+
+def _trigrams(name) -> Column:
+    low = F.lower(T.replace_each(F.coalesce(T.col(name), F.lit("")), FOLDED))
+    return F.transform(F.sequence(F.lit(1), F.length(low) - TRIGRAM + 1), lambda i: F.substr(low, i, F.lit(TRIGRAM)))
+
+
+def name_postings(history: DataFrame, key: str) -> DataFrame:
+    """(trigram, key): which rows hold which three letters in a row in one of their file
+    names. Kept in the order of trigrams, so a search opens the few parts that hold its own."""
+    long_enough = lambda c: F.when(F.length(c) >= TRIGRAM, _trigrams(c)).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(*[long_enough(F.coalesce(F.col(c), F.lit(""))) for c in ("drawing_file", "label_file")]))
+    rows = history.select(key, F.explode(every).alias("trigram")).repartitionByRange("trigram", key).sortWithinPartitions("trigram", key)
+    return saved(rows)
+
+
+def sure_trigrams(pattern: str, literal: bool = False) -> list[list[str]] | None:
+    """For each alternative of a pattern the trigrams every match of it holds; None if an
+    alternative has none for sure, or the pattern cannot be judged."""
+    if literal:
+        branches = [[(re._constants.LITERAL, ord(c)) for c in pattern]]
+    else:
+        try:
+            parsed = re._parser.parse(pattern)
+        except (re.error, RecursionError, OverflowError):
+            return None
+        if parsed.state.flags & (re.VERBOSE | re.LOCALE):
+            return None
+        top = list(parsed)
+        branches = [list(b) for b in top[0][1][1]] if len(top) == 1 and top[0][0] is re._constants.BRANCH else [top]
+    out = []
+    for branch in branches:
+        runs = [""]
+        for op, value in branch:
+            if op is re._constants.LITERAL and value < 128:
+                runs[-1] += chr(value).lower()
+            elif op is not re._constants.AT:
+                runs.append("")
+        found = sorted({r[i:i + TRIGRAM] for r in runs for i in range(len(r) - TRIGRAM + 1)})
+        if not found:
+            return None
+        out.append(found)
+    return out
+
+
+def name_matches(history: DataFrame, postings: DataFrame, key: str, pattern: str, literal: bool = False) -> DataFrame:
+    """Rows with a matching file name. Rows that hold all sure trigrams of an alternative are
+    candidates, which the pattern then judges; without a sure trigram all rows are.
+    ``key`` names a row."""
+    wanted = sure_trigrams(pattern, literal)
+    if wanted is not None:
+        whole = [F.count_if(F.col("trigram").isin(alternative)) == len(alternative) for alternative in wanted]
+        rows = postings.filter(F.col("trigram").isin(sorted({t for w in wanted for t in w})))
+        candidates = rows.groupBy(key).agg(reduce(lambda a, b: a | b, whole).alias("_all")).filter("_all").select(key)
+        history = history.join(candidates, key, "left_semi")
+    return history.filter(file_matches(pattern, literal))
+
+
 def latest(history: DataFrame, limit: int | None = None, time: str = "detection_time",
            key: str = "detection_id") -> DataFrame:
     """Latest first; with a limit a top-k per task and one merge, no full sort."""

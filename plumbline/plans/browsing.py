@@ -9,7 +9,7 @@ from plumbline.catalogue import APPLIANCE as CAT
 from plumbline.functions import text as T
 from plumbline.operators import compare as C, history as H
 from plumbline.plans import derive, sql as S
-from plumbline.plans.registry import query, table, text_table
+from plumbline.plans.registry import ORACLE, query, table, text_table
 from plumbline.sources import cases as K
 
 # --- history: every event is a detection ------------------------------------------------
@@ -55,6 +55,21 @@ def history_search_literal(spark, sf):
         "event_id", "drawing_file", "label_file")
 
 
+@query("history_search_indexed", ORACLE["history_search"])
+def history_search_indexed(spark, sf):
+    """The search by pattern through the trigrams of the file names."""
+    rows = history(spark, sf)
+    found = H.name_matches(rows, H.name_postings(rows, "event_id"), "event_id", r"LABEL_.*7|drawing_1.\.")
+    return found.select("event_id", "result", "drawing_file", "label_file")
+
+
+@query("history_search_literal_indexed", ORACLE["history_search_literal"])
+def history_search_literal_indexed(spark, sf):
+    rows = history(spark, sf)
+    found = H.name_matches(rows, H.name_postings(rows, "event_id"), "event_id", "_1.", literal=True)
+    return H.by_verdict(found, "PASS").select("event_id", "drawing_file", "label_file")
+
+
 @query("history_match_count", f"WITH {_HIST} SELECT count(*) AS n_matches FROM history WHERE result = 'FAIL' AND (regexp_matches(drawing_file, '(?i)7') OR regexp_matches(label_file, '(?i)7'))")
 def history_match_count(spark, sf):
     return H.match_count(H.by_verdict(history(spark, sf), "FAIL").filter(H.file_matches("7")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.catalogue import APPLIANCE as CAT
 from plumbline.fixed_values import HISTORY_HEADERS
 from plumbline.operators import compare as C, history as H, records as R
-from plumbline.sources import cases as K, sinks
+from plumbline.sources import cases as K, records, sinks
 from plumbline.streaming import ingest
 from tests.test_compare import drawings_of, labels_of
 
@@ -108,6 +108,47 @@ def test_history_search(spark):
     assert ids(verdict="FAIL") == [3, 2] and ids(verdict="PASS", limit=2, limit_first=True) == []
 
 
+PATTERNS = ["label_", "LABEL_.*7", "draw|abel_1", "^label_1$", "l.b", "x?label", "(?x) l a b e l", "(label|none)_1", "[", "a{2}bel", "ſtaſ", "kiss", "é_1", "\\\\d_1", "b\\\\.jpg", ""]
+
+
+def test_search_by_trigrams_finds_what_a_scan_finds(spark):
+    names = ["label_1", "Label_17.jpg", "LABEL_2", "draw_1", "abel_1", "é_1", "aabel", "stas", "ſtas", "KISS", "kıſs", "ab", "", None, "label\\x.jpg", "9_1b.jpg"]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in names for b in names[::3])],
+                                 "id int, drawing_file string, label_file string")
+    postings = H.name_postings(rows, "id")
+    for literal in (False, True):
+        for pattern in PATTERNS:
+            try:
+                want = sorted(r["id"] for r in rows.filter(H.file_matches(pattern, literal)).collect())
+            except Exception:
+                continue  # no pattern at all
+            assert sorted(r["id"] for r in H.name_matches(rows, postings, "id", pattern, literal).collect()) == want, pattern
+    assert H.sure_trigrams("LABEL_.*7|drawing_1.\\\\.") == [["abe", "bel", "el_", "lab"], ["awi", "dra", "g_1", "ing", "ng_", "raw", "win"]]
+    assert H.sure_trigrams("a.c") is None and H.sure_trigrams("abc|d") is None
+
+
+def test_content_store_reads_new_contents_only(spark, folder, monkeypatch):
+    texts = spark.createDataFrame([(1, "MODEL: a"), (2, "MODEL: b"), (3, "MODEL: a"), (4, None), (5, "")], "id int, text string")
+    read = []
+    keep = records.E.extract_fields
+
+    def counted(df, *more):
+        read.append(df.count())
+        return keep(df, *more)
+    monkeypatch.setattr(records.E, "extract_fields", counted)
+
+    def run(rows, name):
+        got = records.extract_with_store(rows, "id", "text", folder + "/store", run=name).collect()
+        return {r["id"]: (r["known"], list(r["vals"])) for r in got}
+    assert run(texts.filter("id <= 2"), "one") == {1: (False, ["a", "a"]), 2: (False, ["b", "b"])}
+    want = {1: (True, ["a", "a"]), 2: (True, ["b", "b"]), 3: (True, ["a", "a"]), 4: (False, []), 5: (False, [])}
+    assert run(texts, "two") == want
+    assert run(texts, "two") == want  # a run under its name again adds nothing
+    assert read == [2, 1, 1] and records.stored_records(spark, folder + "/store").count() == 3
+    plan = records.stored_records(spark, folder + "/store").filter("content_sha256 = 'x'")
+    assert "PushedFilters: [IsNotNull(content_sha256), EqualTo(content_sha256,x)" in plan._jdf.queryExecution().toString()
+
+
 def test_stream_equals_batch(spark, folder):
     texts = spark.createDataFrame(
         [(1, 1, "a.jpg", "MODEL: A1\nBRAND: x"), (1, 2, "b.jpg", "MODEL: A2"), (2, 1, "c.jpg", "")],
