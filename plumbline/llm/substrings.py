@@ -1,10 +1,10 @@
-"""Repeated word windows: a de Bruijn graph, compacted, with its open edges verified.
+"""Repeated word windows by minimizer winnowing, which stands in for a de Bruijn graph.
 
-Windows of words are the graph's edges. Windows that follow each other and share an anchor
-are a path; paths are compacted into one row each before anything is shuffled, and meet in
-joins by anchor. Where an anchor has one path only, no edge branches and the path is
-settled as a whole; edges of branching paths are compared singly, each with its source
-place, and the removed spans follow from the places of repeated edges.
+Windows of words that follow each other and share an anchor (their least word hash) are a
+path, cut inside one chunk of text; a path is one row before anything is shuffled, and paths
+meet in joins by anchor. An anchor with one digest of paths is settled as a whole; windows
+of the others are compared singly by two 64-bit hashes, each with its source place. No
+degrees of nodes are computed and no source words are read back.
 """
 
 from __future__ import annotations
