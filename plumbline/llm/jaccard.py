@@ -46,6 +46,8 @@ CROWD, DEALT = 256, 256
 PART = 512
 #: Classes of text digests by which documents without a candidate are passed over.
 TEXT_CLASSES = 1 << 22
+#: Classes of documents by which those that surely stay pass without a join by name.
+ROW_CLASSES = 1 << 20
 #: Bytes of text that are in work at a time.
 SLICE_BYTES = 1 << 22
 #: Words whose hashes a task remembers.
@@ -508,25 +510,13 @@ def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
     found = stored(_classes(docs, width, True).where("doc_id IS NOT NULL").groupBy("doc_id", "text_key")
                    .agg(F.count("*").alias("copies"), F.min(F.col("doc_id") == F.col("component_id")).alias("stays"))
                    .where("copies > 1 OR NOT stays"))
-    place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(TEXT_CLASSES))
-    marked = np.zeros(TEXT_CLASSES, bool)
-    for r in found.select(place.alias("c")).distinct().toLocalIterator():
-        marked[r.c] = True
-    marked_of = sent(docs.sparkSession, np.packbits(marked))
+    place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(ROW_CLASSES))
+    marked = stored(found.select(place.alias("c")).distinct())  # ROW_CLASSES rows at most
     text_key = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_key.alias("text_key"))
     rows = rows.withColumn("c", F.when(F.col("doc_id").isNotNull(), place))
-
-    def sieve(marks: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            marked = np.unpackbits(marked_of()).view(bool)
-            for batch in batches:
-                c = batch.column("c").fill_null(-1).to_numpy()
-                yield batch.filter(pa.array(((c >= 0) & marked[c]) == marks, pa.bool_()))
-        return run
-
-    passing = rows.mapInArrow(sieve(False), rows.schema).select("row.*")
-    asked = (rows.mapInArrow(sieve(True), rows.schema)
+    passing = rows.join(F.broadcast(marked), "c", "left_anti").select("row.*")
+    asked = (rows.join(F.broadcast(marked), "c", "left_semi")
              .join(found.where("NOT stays").select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti")
              .dropDuplicates(["doc_id", "text_key"]).select("row.*"))
     return passing.union(asked)

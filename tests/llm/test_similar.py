@@ -54,7 +54,7 @@ def copies_of_texts(seed=3):
 
 def small_bounds(monkeypatch):
     """Small buffers, parts and units, few ranks: every path of the join is taken."""
-    for name, value in {"PART": 8, "BUFFER": 300, "CROWD": 3, "DEALT": 3, "NEAR": 2, "TEXT_CLASSES": 64, "CLASS_BITS": 17, "PART_ENTRIES": 64,
+    for name, value in {"PART": 8, "BUFFER": 300, "CROWD": 3, "DEALT": 3, "NEAR": 2, "TEXT_CLASSES": 64, "ROW_CLASSES": 64, "CLASS_BITS": 17, "PART_ENTRIES": 64,
                         "SLICE_BYTES": 2000, "KNOWN_WORDS": 50}.items():
         monkeypatch.setattr(jaccard, name, value)
 
