@@ -189,6 +189,32 @@ def percent(c) -> Column:
     return F.format_string("%.2f%%", F.round(col(c) * 100, 2))
 
 
+def round_exact(c, digits: int) -> Column:
+    """The double ``c`` rounded to ``digits`` (0 to 8) decimals by its exact binary value, half to even.
+
+    ``F.round`` goes by the printed decimal instead: it takes 2.675 to 2.68, although the
+    double lies below it. The product with 10^digits is held as a rounded double plus its
+    error, so the side of a tie is known. From 2^53 / 10^digits on doubles are too far
+    apart to be rounded and stay as they are, like NaN and infinities; null stays null.
+    """
+    if not 0 <= digits <= 8:
+        raise ValueError("digits must lie between 0 and 8, so that products of half doubles are exact")
+    x, scale = col(c).cast("double"), float(10 ** digits)
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper 26 bits of x
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.rint(product)
+    rest = product - whole
+    whole = (F.when((rest == 0.5) & (error > 0), whole + 1).when((rest == -0.5) & (error < 0), whole - 1)
+             .when((F.abs(error) == 0.5) & (F.abs(whole % 2) == 1), whole + error * 2).otherwise(whole))
+    return F.when(F.abs(product) >= 2.0 ** 53, x).otherwise(whole / scale)
+
+
+def percent_exact(c) -> Column:
+    """A share as a percentage of two decimals, rounded by ``round_exact`` (shares below 10^11)."""
+    return F.format_string("%.2f%%", round_exact(col(c).cast("double") * 100, 2))
+
+
 def words(c, mapping: dict[str, str]) -> Column:
     """Show a code by its word; unknown codes pass through."""
     c = col(c)

@@ -254,3 +254,15 @@ def percent_format(spark, sf):
             .agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m")))
     return mean.select("doc_id", "n", T.percent(F.col("m") / 50).alias("mean_percent"),
                        F.round(F.col("m") / 50, 4).alias("mean_score"))
+
+
+@query("percent_exact", """
+SELECT l_orderkey AS doc_id, format('{:.2f}%', avg(l_quantity) / 50 * 100) AS mean_percent,
+ CAST(format('{:.4f}', avg(l_quantity) / 50) AS DOUBLE) AS mean_score,
+ CAST(format('{:.4f}', avg(l_quantity) / 32) AS DOUBLE) AS mean_of_32 FROM lineitem GROUP BY 1""")
+def percent_exact(spark, sf):
+    from plumbline.functions import text as T
+    mean = (table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.avg("l_quantity").alias("m")))
+    return mean.select("doc_id", T.percent_exact(F.col("m") / 50).alias("mean_percent"),
+                       T.round_exact(F.col("m") / 50, 4).alias("mean_score"),
+                       T.round_exact(F.col("m") / 32, 4).alias("mean_of_32"))

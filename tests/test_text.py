@@ -91,6 +91,32 @@ def test_export_and_flags(spark):
     assert run(spark, ["0.12345"], lambda c: T.percent(c.cast("double"))) == ["12.35%"]
 
 
+TIES = [2.675, 0.5, 1.5, 2.5, 0.125, 0.375, 0.03125, 1.00005, -2.675, -0.00001, 0.0, 5e-324, 1e300, 2.0 ** 52 / 100,
+        2.0 ** 53 / 100, 90071992547409.9, 45035996273704.985]
+
+
+def test_round_exact_special_values(spark):
+    df = spark.createDataFrame([(None,), (float("inf"),), (float("-inf"),), (float("nan"),)], "x double")
+    got = [r[0] for r in df.select(T.round_exact("x", 4)).collect()]
+    assert got[:3] == [None, float("inf"), float("-inf")] and got[3] != got[3]
+    with pytest.raises(ValueError):
+        T.round_exact("x", 9)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.floats(-1e13, 1e13), st.floats(-2, 2), st.integers(-10 ** 9, 10 ** 9).map(lambda n: n / 64),
+                          st.integers(-10 ** 9, 10 ** 9).map(lambda n: n / 10 ** 5 * 0.5)), min_size=1, max_size=200))
+def test_round_exact_is_rounding_of_the_binary_value(spark, values):
+    values = values + TIES
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i")
+    for digits in (0, 2, 4, 8):
+        got = [r[0] for r in df.select(T.round_exact("x", digits)).collect()]
+        assert list(map(repr, got)) == [repr(float(round(v, digits))) for v in values]
+    small = [v for v in values if abs(v) < 1e11]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(small)], "i int, x double").orderBy("i")
+    assert [r[0] for r in df.select(T.percent_exact("x")).collect()] == [f"{v:.2%}" for v in small]
+
+
 def test_six_field_words(spark):
     assert run(spark, ["产品名称 ／ NAME", "name", "SERIAL"], lambda c: lookup.is_six_field_word(c, SIX)) == [True, True, False]
 
