@@ -1,6 +1,9 @@
 """What shows only on larger tables, in small."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
+from plumbline.operators import history as H
 
 
 def test_broadcast_by_measured_size(spark):
@@ -9,3 +12,10 @@ def test_broadcast_by_measured_size(spark):
     for name in ("case_verdict", "detail_records"):
         plan = found[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_details_of_shared_ids(spark):
+    history = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "event_id int, detection_id string")
+    details = spark.createDataFrame([("a", "x"), ("a", "y"), ("c", "z")], "detection_id string, props string")
+    got = H.with_details(history, details, every=True).select("event_id", F.col("detail.props").alias("p")).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, None)]
