@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from plumbline.operators import history as H
+from plumbline.catalogue import APPLIANCE as CAT
+from plumbline.functions import text as T
+from plumbline.operators import extract as E, history as H
 
 
 def test_broadcast_by_measured_size(spark):
@@ -19,3 +21,25 @@ def test_details_of_shared_ids(spark):
     details = spark.createDataFrame([("a", "x"), ("a", "y"), ("c", "z")], "detection_id string, props string")
     got = H.with_details(history, details, every=True).select("event_id", F.col("detail.props").alias("p")).collect()
     assert sorted(map(tuple, got), key=str) == [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, None)]
+
+
+def test_same_texts_once(spark):
+    """Equal texts of a case are read once, in lists of bounded length, and every label comes back."""
+    rows = [(k % 2, n, f"f{k}{n}", f"Model: A{n % 3}") for k in range(2) for n in range(1, 8)] + [(0, 10_001, "late", "Model: A0")]
+    labels = spark.createDataFrame(rows, "case_id int, label_no int, label_file string, text string")
+    same = E.same_texts(labels, ["case_id"], "label_no")
+    assert same.count() == 7
+    got = E.each_row(E.extract_fields(same, CAT)).select("case_id", "label_no", "label_file", "text", "vals")
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(rows)
+    assert all(r["vals"][0] == r["text"][7:] for r in got.collect())
+
+
+def test_lines_of_odd_texts(spark):
+    """Lines tidied as a whole text are those tidied one by one."""
+    texts = ["", " \t\n\x0b ", "a \xa0 \t b\r\n\r\n c\\d — e\x1f\x1fz \x85 x　y \t", "\x1ca\r\tb\x0c\xa0\xa0c  d  e\n\n\n\nf", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    def each(tidied, c):
+        return F.filter(F.transform(F.split(c, T.LINE_BREAK), tidied), lambda x: x != "")
+    for new, tidied, c in ((T.split_lines, T.tidy, T.nfkc("t")), (T.plain_lines, T.clean_line, F.coalesce("t", F.lit("")))):
+        for a, b in df.select(new(c), each(tidied, c)).collect():
+            assert a == b
