@@ -22,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.llm.common import flat, sent, slices, stored
 from plumbline.llm.graph import components
@@ -50,8 +52,8 @@ TEXT_CLASSES = 1 << 22
 ROW_CLASSES = 1 << 20
 #: Bytes of text that are in work at a time.
 SLICE_BYTES = 1 << 22
-#: Words whose hashes a task remembers.
-KNOWN_WORDS = 1 << 18
+#: Bytes and words of text that are hashed at a time; words of more bytes than LONG_WORD are hashed singly.
+PIECE, KNOWN_WORDS, LONG_WORD = 1 << 16, 1 << 18, 64
 
 #: Seed of the digests of texts: the one of Spark's own xxhash64.
 SEED = 42
@@ -60,24 +62,47 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-class Words(dict):
-    """Hashes of words, remembered while they fit."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+class Words:
+    """Hashes of the words of a text: differences of running sums of (a number of the byte) times
+    (a power of its place), so that all words come at once; long words singly."""
+
+    def __init__(self):
+        self.gaps = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+        self.letters = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+        factors = np.array([[int(_STEP)], [pow(int(_STEP), -1, 1 << 64)]], np.uint64).repeat(PIECE + 1, axis=1)
+        factors[:, 0] = 1
+        self.powers, self.back = np.cumprod(factors, axis=1, dtype=np.uint64)
+
+    def hashes(self, text: bytes) -> np.ndarray:
+        low = text.lower()
+        raw = np.frombuffer(low, np.uint8)
+        gap = np.ones(len(raw) + 2, bool)
+        gap[1:-1] = self.gaps[raw]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        out, at = np.zeros(len(starts), np.uint64), 0
+        while at < len(starts):
+            upto = min(max(int(np.searchsorted(ends, starts[at] + PIECE, side="right")), at + 1), at + KNOWN_WORDS)
+            first, last = starts[at], ends[upto - 1]
+            if last - first <= PIECE:
+                sums = np.zeros(last - first + 1, np.uint64)
+                np.cumsum(self.letters[raw[first:last]] * self.powers[:last - first], out=sums[1:])
+                out[at:upto] = (sums[ends[at:upto] - first] - sums[starts[at:upto] - first]) * self.back[starts[at:upto] - first]
+            at = upto
+        out = (out ^ (out >> np.uint64(32))) * _MIX
+        out ^= out >> np.uint64(29)
+        for k in np.flatnonzero(ends - starts > LONG_WORD):
+            out[k] = xxhash.xxh64_intdigest(low[starts[k]:ends[k]])
+        return out
 
 
 def shingle_hashes(text: bytes, width: int, known: Words) -> np.ndarray:
     """Hashes of all runs of ``width`` words in lower case (A-Z), repeats included; a shorter
     text is one run, one without words has none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    runs, size = max(1, len(words) - width + 1), min(width, len(words))
+    each = known.hashes(text)
+    if not len(each):
+        return each
+    runs, size = max(1, len(each) - width + 1), min(width, len(each))
     out = np.full(runs, size, np.uint64)
     for k in range(size):
         out = out * _STEP + each[k:k + runs]
@@ -87,7 +112,8 @@ def shingle_hashes(text: bytes, width: int, known: Words) -> np.ndarray:
 
 def shingle_set(text: bytes, width: int, known: Words) -> np.ndarray:
     """The distinct ones, ascending."""
-    return np.unique(shingle_hashes(text, width, known))
+    own = np.sort(shingle_hashes(text, width, known))
+    return own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
 
 
 def prefix_length(n: int) -> int:
@@ -162,48 +188,47 @@ def _digest(values: np.ndarray, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(values.tobytes(), seed)
 
 
-def described(texts: DataFrame, width: int, ranks_of: Callable[[], np.ndarray]) -> DataFrame:
-    """Of every document: doc_id, key (its set), text_key, n, gid (its prefix and size), sketches."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, known = ranks_of(), Words()
-        for batch in slices(batches, "text", SLICE_BYTES):
-            numbers, sketches, minis = [], [], []
-            for t in batch.column("text"):
-                text = t.as_py()
-                own = shingle_set(text, width, known)
-                numbers.append((_digest(own), xxhash.xxh64_intdigest(text, SEED), len(own), _digest(prefix(own, ranks), len(own))))
-                sketches.append(parity(own, sketch_bits(len(own))).tobytes())
-                minis.append(parity(own, MINI_BITS).tobytes())
-            table = np.array(numbers, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c) for c in table.T.copy()), pa.array(sketches, pa.binary()), pa.array(minis, pa.binary())],
-                ["doc_id", "key", "text_key", "n", "gid", "sketch", "mini"])
-
-    return texts.mapInArrow(run, "doc_id bigint, key bigint, text_key bigint, n bigint, gid bigint, sketch binary, mini binary")
-
-
 ENTRY = np.dtype([("h", np.uint64), ("gid", np.int64), ("n", np.int32), ("p", np.int32), ("lead", np.bool_)])
+DESCRIBED = "doc_id bigint, key bigint, text_key bigint, n bigint, gid bigint, sketch binary, mini binary"
+PACKED = "part bigint, crowd boolean, rows binary"
 
 
-def entries(texts: DataFrame, width: int, ranks_of: Callable[[], np.ndarray], parts: int) -> DataFrame:
-    """(part, crowd, rows): prefix entries of all groups by part of the hashes, packed.
+def described(texts: DataFrame, width: int, ranks_of: Callable[[], np.ndarray], parts: int) -> DataFrame:
+    """Two kinds of rows, as each set is made once. Of every document: doc_id, key (its set),
+    text_key, n, gid (its prefix and size), sketches. And, with ``rows``: part, crowd, rows, the
+    prefix entries of all groups by part of the hashes, packed.
 
     ``crowd`` rows hold shingles with very many groups and go anywhere, as it is known that
     several groups have them; two entries of each go to its part too, for those elsewhere.
     """
+    schema = T.StructType.fromDDL(f"{DESCRIBED}, {PACKED}")
+    arrow = to_arrow_schema(schema)
+
+    def made(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in arrow], arrow.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known, held, size, turn = ranks_of(), Words(), [], 0, 0
         for batch in slices(batches, "text", SLICE_BYTES):
+            numbers, sketches, minis = [], [], []
             for t in batch.column("text"):
-                own = shingle_set(t.as_py(), width, known)
+                text = t.as_py()
+                own = shingle_set(text, width, known)
+                first = prefix(own, ranks)
+                gid = _digest(first, len(own))
+                numbers.append((_digest(own), xxhash.xxh64_intdigest(text, SEED), len(own), gid))
+                sketches.append(parity(own, sketch_bits(len(own))).tobytes())
+                minis.append(parity(own, MINI_BITS).tobytes())
                 if len(own):
-                    first = prefix(own, ranks)
                     part = np.empty(len(first), ENTRY)
-                    part["h"], part["gid"], part["n"], part["p"] = first, np.uint64(_digest(first, len(own))).view(np.int64), len(own), np.arange(len(first))
+                    part["h"], part["gid"], part["n"], part["p"] = first, np.uint64(gid).view(np.int64), len(own), np.arange(len(first))
                     part["lead"] = False
                     part["lead"][np.argpartition(first, LEADS)[:LEADS] if len(first) > LEADS else slice(None)] = True
                     held.append(part)
                     size += len(part)
+            table = np.array(numbers, np.uint64).reshape(-1, 4).view(np.int64)
+            yield made({"doc_id": batch.column("doc_id"), **dict(zip(("key", "text_key", "n", "gid"), map(pa.array, table.T.copy()))),
+                        "sketch": pa.array(sketches, pa.binary()), "mini": pa.array(minis, pa.binary())}, batch.num_rows)
             if size >= BUFFER:
                 turn += 1
                 yield from packed(np.concatenate(held), turn)
@@ -222,9 +247,10 @@ def entries(texts: DataFrame, width: int, ranks_of: Callable[[], np.ndarray], pa
         starts, sizes = _runs(number)
         out += [(int(number[a]), False, rows[a:a + k].tobytes()) for a, k in zip(starts, sizes)]
         for at in range(0, len(out), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at:at + 256]), (pa.int64(), pa.bool_(), pa.binary()))], ["part", "crowd", "rows"])
+            some = out[at:at + 256]
+            yield made({c: pa.array(v, t) for c, v, t in zip(("part", "crowd", "rows"), zip(*some), (pa.int64(), pa.bool_(), pa.binary()))}, len(some))
 
-    return texts.select("text").mapInArrow(run, "part bigint, crowd boolean, rows binary")
+    return texts.mapInArrow(run, schema)
 
 
 def _ordered(rows: np.ndarray) -> np.ndarray:
@@ -444,10 +470,11 @@ def _classes(docs: DataFrame, width: int, link_empty: bool) -> DataFrame:
     texts = texts_of(docs)
     ranks, total = class_ranks(texts, width)
     ranks_of = sent(docs.sparkSession, ranks)
-    rows = stored(described(texts, width, ranks_of))
-    members = stored(rows.where("n > 0").select("key", "text_key", "n", "gid", "sketch", "mini").dropDuplicates(["key"]))
     parts = 1 << max(4, (total // UNDER // PART_ENTRIES).bit_length())
-    met = stored(shared(entries(texts, width, ranks_of, parts)))
+    both = stored(described(texts, width, ranks_of, parts))
+    rows = both.where("rows IS NULL").drop("part", "crowd", "rows")
+    members = stored(rows.where("n > 0").select("key", "text_key", "n", "gid", "sketch", "mini").dropDuplicates(["key"]))
+    met = stored(shared(both.where("rows IS NOT NULL").select("part", "crowd", "rows")))
 
     groups = members.groupBy("gid").agg(F.min_by(F.struct("key", "mini"), "key").alias("least"))
     groups = stored(groups.select("gid", "least.key", "least.mini"))
