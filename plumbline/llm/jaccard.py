@@ -472,9 +472,9 @@ def _classes(docs: DataFrame, width: int, link_empty: bool) -> DataFrame:
     ranks_of = sent(docs.sparkSession, ranks)
     parts = 1 << max(4, (total // UNDER // PART_ENTRIES).bit_length())
     both = stored(described(texts, width, ranks_of, parts))
-    rows = both.where("rows IS NULL").drop("part", "crowd", "rows")
+    rows = both.where("part IS NULL").drop("part", "crowd", "rows")
     members = stored(rows.where("n > 0").select("key", "text_key", "n", "gid", "sketch", "mini").dropDuplicates(["key"]))
-    met = stored(shared(both.where("rows IS NOT NULL").select("part", "crowd", "rows")))
+    met = stored(shared(both.where("part IS NOT NULL").select("part", "crowd", "rows")))
 
     groups = members.groupBy("gid").agg(F.min_by(F.struct("key", "mini"), "key").alias("least"))
     groups = stored(groups.select("gid", "least.key", "least.mini"))
