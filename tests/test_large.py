@@ -6,6 +6,8 @@ import __spark_entry__
 from plumbline.catalogue import APPLIANCE as CAT
 from plumbline.functions import text as T
 from plumbline.operators import extract as E, history as H
+from plumbline.operators import records as R, reports as P, rollup, skew
+from plumbline.plans import derive, reporting
 
 
 def test_broadcast_by_measured_size(spark):
@@ -43,3 +45,55 @@ def test_lines_of_odd_texts(spark):
     for new, tidied, c in ((T.split_lines, T.tidy, T.nfkc("t")), (T.plain_lines, T.clean_line, F.coalesce("t", F.lit("")))):
         for a, b in df.select(new(c), each(tidied, c)).collect():
             assert a == b
+
+
+def test_numbering_of_usual_keys_is_one_hash_exchange(spark, monkeypatch):
+    """Neither sampled nor sent through Python; the same numbers on either path, and a join by the key adds no exchange."""
+    rows = spark.range(3000).select((F.col("id") % 50).alias("k"), (F.col("id") * 7919 % 3001).alias("at"), "id")
+    got = skew.number_small_groups(rows, ["k"], ["at", "id"], "n")
+    joined = got.join(rows.groupBy("k").agg(F.max("id").alias("m")).hint("merge"), "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "MapInArrow" not in plan and plan.count("Exchange hashpartitioning") == 2
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    hot = skew.number_small_groups(rows, ["k"], ["at", "id"], "n")
+    assert "Window" not in hot._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, hot.collect()))
+
+
+def test_value_columns_without_a_row_per_label_and_field(spark):
+    """As from the long form: odd values, missing fields, a last block that is not full, a case without issues."""
+    rows = [(c, n, f"f{n}", {"serial_no": "" if n % 4 == 0 else f"SN{n % 3}", "rated_voltage": "220 V", "product_name": " a  b " if n == 2 else "x"})
+            for c, last in ((1, 7), (2, 5), (3, 1)) for n in range(1, last + 1)]
+    labels = R.record_from_map(spark.createDataFrame(rows, "case_id bigint, label_no int, label_file string, m map<string,string>"), "m", CAT)
+    issues = rollup.inconsistent_fields(labels, CAT)
+    got = rollup.label_value_blocks(labels, CAT, issues)
+    want = P.label_value_columns(rollup.label_values(labels, CAT, issues))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 4 + 2
+
+
+def test_records_of_known_columns_and_of_long_rows(spark):
+    """The same records by either way, from odd and missing values; long rows are dealt once."""
+    texts = [None, "", " ", "a  b", "3.0 LITERS", "LITERX 2.50", "x5.00", "5.0.0", "１２０Ｖ", "a\\b", "KGS\t5", " -LITER-", "1O KWH/YEAR", "tab\n\n\nend ", "é.0"]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)], "id bigint, a string, b string")
+    fields = {"product_name": F.col("a"), "rated_voltage": F.col("b")}
+    want = R.record_from_map(rows.withColumn("m", F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])), "m", CAT).select("id", *R.RECORD).collect()
+    assert sorted(R.record_from_columns(rows, fields, CAT).select("id", *R.RECORD).collect()) == sorted(want)
+    long = rows.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("field_name"), v.alias("value")) for k, v in [*fields.items(), ("unknown", F.col("a"))]])).alias("r")).select("id", "r.*")
+    back = R.from_long(long, ["id"], CAT)
+    assert back._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(back.collect()) == sorted(want)
+    up = F.upper("a")
+    for new, old in ((T.LITERS, r"(?U)\bLITERS?\b"), (T.ZERO_DECIMALS, r"(?U)(?<=\d)\.0+(?=\D|$)")):
+        assert rows.where(F.regexp_replace(up, new, "L") != F.regexp_replace(up, old, "L")).count() == 0
+    assert rows.where(~F.col("a").rlike(T.PLAIN) != F.col("a").rlike(r"[^ -\[\]-~]|  |^ | \z")).count() == 0
+
+
+def test_run_export_makes_only_what_a_table_needs(spark, monkeypatch):
+    """Labels are numbered once for a run, and not at all for its drawing table."""
+    numbered = []
+    keep = derive.numbered_lineitem
+    monkeypatch.setattr(derive, "numbered_lineitem", lambda *a: numbered.append(1) or keep(*a))
+    reporting.export_drawing_fields(spark, "/root/testdata/sf0.001")
+    assert not numbered
+    reporting.label_export(spark, "/root/testdata/sf0.001")
+    assert len(numbered) == 1
