@@ -71,6 +71,15 @@ def test_repeats_of_nothing(spark, documents):
     assert sorted((str(r.doc_id), r.n_removed) for r in twice) == [("4", 0), ("4", len(LINE)), ("None", len(LINE)), ("None", len(LINE))]
 
 
+@pytest.mark.parametrize("remove", [substrings.remove_repeated_windows, suffixes.remove_repeated_bytes])
+def test_texts_are_shuffled_once(spark, sf, remove):
+    """Both joins of the chunks read one exchange of them."""
+    got = remove(table(spark, sf, "documents"))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan.*\bblob#", plan)) == 1
+
+
 def test_difference_cover():
     cover = suffixes.difference_cover()
     assert {(int(a) - int(b)) % suffixes.COVER for a in cover for b in cover} == set(range(suffixes.COVER))
