@@ -10,6 +10,9 @@ Groups meet twice. First each looks, at four shingles of its prefix, for the gro
 it; what these pairs link is one class. Then all groups meet at every shingle of their
 prefixes, but only those of different classes, so that a class of very many near copies
 costs no square of pairs.
+
+A caller may have the sets fingerprinted and send pairs of its own to the first meeting
+(``Fingerprint``, ``Pairs``); they are decided on whole sets like all others.
 """
 
 from __future__ import annotations
@@ -56,6 +59,9 @@ PIECE, KNOWN_WORDS, LONG_WORD = 1 << 16, 1 << 18, 64
 #: Seed of the digests of texts: the one of Spark's own xxhash64.
 SEED = 42
 
+#: From the hashes of a set its fingerprint; from sets (key, fp) the pairs (u, v) that may be similar.
+Fingerprint, Pairs = Callable[[np.ndarray], int], Callable[[DataFrame], DataFrame]
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -186,8 +192,8 @@ def _digest(values: np.ndarray, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(values.tobytes(), seed)
 
 
-def described(texts: DataFrame, width: int, ranks_of: Callable[[], np.ndarray]) -> DataFrame:
-    """Of every document: doc_id, key (its set), text_key, n, gid (its prefix and size), sketches."""
+def described(texts: DataFrame, width: int, ranks_of: Callable[[], np.ndarray], fingerprint: Fingerprint) -> DataFrame:
+    """Of every document: doc_id, key (its set), text_key, n, gid (its prefix and size), fp, sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = ranks_of(), Words()
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -195,15 +201,15 @@ def described(texts: DataFrame, width: int, ranks_of: Callable[[], np.ndarray])
             for t in batch.column("text"):
                 text = t.as_py()
                 own = shingle_set(text, width, known)
-                numbers.append((_digest(own), xxhash.xxh64_intdigest(text, SEED), len(own), _digest(prefix(own, ranks), len(own))))
+                numbers.append((_digest(own), xxhash.xxh64_intdigest(text, SEED), len(own), _digest(prefix(own, ranks), len(own)), fingerprint(own)))
                 sketches.append(parity(own, sketch_bits(len(own))).tobytes())
                 minis.append(parity(own, MINI_BITS).tobytes())
-            table = np.array(numbers, np.uint64).reshape(-1, 4).view(np.int64)
+            table = np.array(numbers, np.uint64).reshape(-1, 5).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c) for c in table.T.copy()), pa.array(sketches, pa.binary()), pa.array(minis, pa.binary())],
-                ["doc_id", "key", "text_key", "n", "gid", "sketch", "mini"])
+                ["doc_id", "key", "text_key", "n", "gid", "fp", "sketch", "mini"])
 
-    return texts.mapInArrow(run, "doc_id bigint, key bigint, text_key bigint, n bigint, gid bigint, sketch binary, mini binary")
+    return texts.mapInArrow(run, "doc_id bigint, key bigint, text_key bigint, n bigint, gid bigint, fp bigint, sketch binary, mini binary")
 
 
 ENTRY = np.dtype([("h", np.uint64), ("gid", np.int64), ("n", np.int32), ("p", np.int32), ("lead", np.bool_)])
@@ -463,13 +469,13 @@ def _links(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int) -
     return stored(verified(left, sets))
 
 
-def _classes(docs: DataFrame, width: int, link_empty: bool) -> DataFrame:
+def _classes(docs: DataFrame, width: int, link_empty: bool, fingerprint: Fingerprint = lambda own: 0, more: Pairs | None = None) -> DataFrame:
     """(doc_id, text_key, n, component_id) of every row, see similar_classes."""
     texts = texts_of(docs)
     ranks, total = class_ranks(texts, width)
     ranks_of = sent(docs.sparkSession, ranks)
-    rows = stored(described(texts, width, ranks_of))
-    members = stored(rows.where("n > 0").select("key", "text_key", "n", "gid", "sketch", "mini").dropDuplicates(["key"]))
+    rows = stored(described(texts, width, ranks_of, fingerprint))
+    members = stored(rows.where("n > 0").select("key", "text_key", "n", "gid", "fp", "sketch", "mini").dropDuplicates(["key"]))
     parts = 1 << max(4, (total // UNDER // PART_ENTRIES).bit_length())
     met = stored(shared(entries(texts, width, ranks_of, parts)))
 
@@ -478,7 +484,8 @@ def _classes(docs: DataFrame, width: int, link_empty: bool) -> DataFrame:
     salt = F.when(F.col("crowd"), F.pmod(F.xxhash64("gid"), F.lit(DEALT))).otherwise(0)
     first = nearest(met.where("lead").withColumn("salt", salt).join(groups, "gid"))
     inside = members.join(groups.select("gid", F.col("key").alias("u")), "gid").where("u < key").select("u", F.col("key").alias("v"))
-    links = _links(stored(first.union(inside)), texts, members, width)
+    pairs = first.union(inside)
+    links = _links(stored(pairs.union(more(members.select("key", "fp"))).distinct() if more else pairs), texts, members, width)
 
     label = F.coalesce("root", "key")
     roots = stored(components(links).withColumnRenamed("node", "key"))
@@ -521,7 +528,7 @@ def similar_classes(docs: DataFrame, width: int = 5, link_empty: bool = False) -
     return _classes(docs, width, link_empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 5, fingerprint: Fingerprint = lambda own: 0, more: Pairs | None = None) -> DataFrame:
     """``docs`` (all columns) without near copies: of each class of similar_classes, texts
     without words being one class, the document with the smallest doc_id stays.
 
@@ -531,7 +538,7 @@ def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
     are. Most rows pass by a table of fixed size (classes of what goes or is repeated);
     only the rest is joined with the list of what goes, so few texts are shuffled.
     """
-    found = stored(_classes(docs, width, True).where("doc_id IS NOT NULL").groupBy("doc_id", "text_key")
+    found = stored(_classes(docs, width, True, fingerprint, more).where("doc_id IS NOT NULL").groupBy("doc_id", "text_key")
                    .agg(F.count("*").alias("copies"), F.min(F.col("doc_id") == F.col("component_id")).alias("stays"))
                    .where("copies > 1 OR NOT stays"))
     place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(ROW_CLASSES))

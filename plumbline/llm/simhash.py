@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -16,6 +16,8 @@ from plumbline.llm.common import stored
 from plumbline.llm.graph import components
 
 SEED = 42
+#: Fingerprints link at so many differing bits or fewer.
+RADIUS = 4
 #: Fingerprints of one unit of comparison: a larger bucket is dealt out as pairs of parts.
 PART = 4096
 #: (query, plane word) items compared at a time.
@@ -40,9 +42,8 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
                        np.uint64, len(starts))
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Bit j is set if it is set in over half of the shingle hashes (repeats included)."""
-    hashes = shingle_hashes(text, width)
+def majority(hashes: np.ndarray) -> int:
+    """Bit j is set if it is set in over half of the hashes."""
     if len(hashes) < 2:
         return int(hashes.sum())
     counts = np.zeros(64, np.int64)
@@ -52,6 +53,11 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    """Of the shingle hashes, repeats included."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp) for every row of ``docs``; text may be null (fingerprint zero)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +139,9 @@ def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def group_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what lies within ``radius`` in each group (``starts``: first places,
-    ending with the length). One link for each fingerprint but the first of its component."""
+def close_places(fps: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all fingerprints within ``radius`` of each other in each group (``starts``:
+    first places, ending with the length), each pair once or twice, by parts."""
     sizes = np.diff(starts)
     n_words = -(-sizes // 64)
     word_start = np.concatenate(([0], np.cumsum(n_words)))
@@ -147,7 +153,6 @@ def group_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.nd
     place[lane] = np.arange(len(fps))
     used = np.packbits(place >= 0, bitorder="little").view(np.uint64)
     planes = bit_planes(padded)
-    label = np.arange(len(fps))
     own = lane // 64
     counts = word_start[group + 1] - own  # each is compared with its own word and those after
     at = 0
@@ -162,12 +167,34 @@ def group_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.nd
         item, mask = item[hit], mask[hit]
         bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         k, bit = np.nonzero(bits)
-        label = merge_labels(label, rows[item[k]], place[64 * words[item[k]] + bit])
+        yield rows[item[k]], place[64 * words[item[k]] + bit]
         at = to
+
+
+def group_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what lies within ``radius`` in each group. One link for each
+    fingerprint but the first of its component."""
+    label = np.arange(len(fps))
+    for i, j in close_places(fps, starts, radius):
+        label = merge_labels(label, i, j)
     other = np.nonzero(label != np.arange(len(fps)))[0]
     return fps[other], fps[label[other]]
 
 
+def closest_pairs(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group every fingerprint with the one closest to it, if within ``radius``."""
+    none = np.iinfo(np.int64).max
+    best = np.full(len(fps), none)  # distance, then place
+    for i, j in close_places(fps, starts, radius):
+        i, j = i[i != j], j[i != j]
+        far = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64) << 32
+        np.minimum.at(best, j, far | i)
+        np.minimum.at(best, i, far | j)
+    own = np.nonzero(best != none)[0]
+    x, y = fps[own], fps[best[own] & 0xFFFFFFFF]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
 def _masks(blocks: int, shared: int) -> list[int]:
     """Masks of every choice of ``shared`` among ``blocks`` nearly equal runs of the 64 bits."""
     cuts = [64 * b // blocks for b in range(blocks + 1)]
@@ -193,9 +220,10 @@ def candidate_masks(count: int, radius: int) -> list[int]:
     return _masks(radius + shared, shared)
 
 
-def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int,
+                      of_groups: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]] = group_links) -> DataFrame:
     """(u, v) links among distinct fingerprints (column fp) that connect exactly what
-    pairs within ``radius`` bits connect.
+    pairs within ``radius`` bits connect; with ``closest_pairs`` only pairs that are so close.
 
     Fingerprints meet under candidate keys. A bucket of over PART of them is dealt out as
     all pairs of its parts, so a task compares at most two parts at a time.
@@ -222,7 +250,7 @@ def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
             yield from linked(rest[0], np.array([0, rest.shape[1]]))
 
     def linked(ids: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, v = group_links(np.ascontiguousarray(ids).view(np.uint64), starts, radius)
+        u, v = of_groups(np.ascontiguousarray(ids).view(np.uint64), starts, radius)
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     keys = ["t", "key", "a", "b"]
@@ -234,7 +262,7 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
     """SimHash near-duplicate classes of ``docs`` (doc_id, text; other columns are ignored).
 
     Returns one row per input row: doc_id, fingerprint (16 hex digits), component_id, the
@@ -256,6 +284,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return fps.join(of_fp, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def close_sets(members: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): keys of ``members`` (key, fp) whose fingerprints are equal or, the closest of them in
+    some bucket, within ``radius``. A fingerprint of several keys meets others by its least key."""
+    least = stored(members.groupBy("fp").agg(F.min("key").alias("u")))
+    equal = members.join(least, "fp").where("u < key").select("u", F.col("key").alias("v"))
+    side = lambda fp, key: least.select(F.col("fp").alias(fp), F.col("u").alias(key))
+    near = (fingerprint_links(least.select("fp"), radius, closest_pairs).toDF("a", "b")
+            .join(side("a", "x"), "a").join(side("b", "y"), "b"))
+    return equal.union(near.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` without near copies, each link decided on the shingles themselves."""
-    return jaccard.deduplicated(docs, width)
+    """``docs`` without near copies (see jaccard.deduplicated): fingerprints of the sets of shingles
+    find the closest ones, each pair is decided on the sets themselves, and the sets whose
+    fingerprints lie farther apart meet by their rarest shingles, so that no link is lost."""
+    return jaccard.deduplicated(docs, width, majority, close_sets)

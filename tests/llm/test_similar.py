@@ -110,6 +110,33 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark, documents):
     assert sorted((repr(r.doc_id), r.text) for r in got.collect()) == [("2", "A"), ("4", "B"), ("None", "A"), ("None", "A")]
 
 
+def test_fingerprints_find_near_copies(spark, documents, monkeypatch):
+    """With the join by shingles cut off, what SimHash alone finds goes, if its set is similar."""
+    monkeypatch.setattr(jaccard, "nearest", lambda rows: rows.select(rows["key"].alias("u"), rows["key"].alias("v")).limit(0))
+    monkeypatch.setattr(jaccard, "group_pairs", lambda rows: rows.selectExpr("gid", "label", "gid AS other_gid", "label AS other_label").limit(0))
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(words[:500 * k] + [f"x{k}"] + words[500 * k + 1:])) for k in range(6)] + [(9, "other words altogether")]
+    assert {r.doc_id for r in simhash.deduplicated(documents(rows)).collect()} == {0, 9}
+    assert slow_kept(rows) == {0, 9}
+
+
+def test_equal_fingerprints_are_decided_on_sets(spark, documents, monkeypatch):
+    monkeypatch.setattr(simhash, "majority", lambda own: 5)
+    rows = copies_of_texts(5)
+    assert sorted(r.doc_id for r in simhash.deduplicated(documents(rows)).collect()) == sorted(slow_kept(rows))
+
+
+def test_close_sets(spark):
+    """Only pairs within the radius; each set that has a close one gets one."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 20)
+    fps = [int(base[k % 20]) ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 4)), replace=False)) for k in range(200)]
+    got = {(r.u, r.v) for r in simhash.close_sets(spark.createDataFrame(list(enumerate(fps)), "key bigint, fp bigint")).collect()}
+    assert got and all((fps[u] ^ fps[v]).bit_count() <= simhash.RADIUS for u, v in got)
+    near = {v for v in range(200) for u in range(200) if u != v and (fps[u] ^ fps[v]).bit_count() <= simhash.RADIUS}
+    assert near == {k for pair in got for k in pair}
+
+
 def test_near_copies_of_a_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
