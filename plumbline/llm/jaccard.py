@@ -11,7 +11,7 @@ it; what these pairs link is one class. Then all groups meet at every shingle of
 prefixes, but only those of different classes, so that a class of very many near copies
 costs no square of pairs.
 
-A caller may have the sets fingerprinted and send pairs of its own to the first meeting
+A caller may have the sets fingerprinted and send pairs of its own to both meetings
 (``Fingerprint``, ``Pairs``); they are decided on whole sets like all others.
 """
 
@@ -59,8 +59,10 @@ PIECE, KNOWN_WORDS, LONG_WORD = 1 << 16, 1 << 18, 64
 #: Seed of the digests of texts: the one of Spark's own xxhash64.
 SEED = 42
 
-#: From the hashes of a set its fingerprint; from sets (key, fp) the pairs (u, v) that may be similar.
-Fingerprint, Pairs = Callable[[np.ndarray], int], Callable[[DataFrame], DataFrame]
+#: From the hashes of a set its fingerprint; from sets (key, fp) pairs (u, v) that may be similar, and from
+#: sets (key, fp, label) all of different classes that may be.
+Fingerprint = Callable[[np.ndarray], int]
+Pairs = tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -470,7 +472,7 @@ def _links(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int) -
 
 
 def _classes(docs: DataFrame, width: int, link_empty: bool, fingerprint: Fingerprint = lambda own: 0, more: Pairs | None = None) -> DataFrame:
-    """(doc_id, text_key, n, component_id) of every row, see similar_classes."""
+    """(doc_id, text_key, n, root, component_id) of every row, see similar_classes; ``root`` names the class."""
     texts = texts_of(docs)
     ranks, total = class_ranks(texts, width)
     ranks_of = sent(docs.sparkSession, ranks)
@@ -485,11 +487,11 @@ def _classes(docs: DataFrame, width: int, link_empty: bool, fingerprint: Fingerp
     first = nearest(met.where("lead").withColumn("salt", salt).join(groups, "gid"))
     inside = members.join(groups.select("gid", F.col("key").alias("u")), "gid").where("u < key").select("u", F.col("key").alias("v"))
     pairs = first.union(inside)
-    links = _links(stored(pairs.union(more(members.select("key", "fp"))).distinct() if more else pairs), texts, members, width)
+    links = _links(stored(pairs.union(more[0](members.select("key", "fp"))).distinct() if more else pairs), texts, members, width)
 
     label = F.coalesce("root", "key")
     roots = stored(components(links).withColumnRenamed("node", "key"))
-    named = stored(members.select("key", "gid", "n").join(roots, "key", "left").select("key", "gid", "n", label.alias("label")))
+    named = stored(members.select("key", "gid", "n", "fp").join(roots, "key", "left").select("key", "gid", "n", "fp", label.alias("label")))
     classes = stored(named.groupBy("gid", "label").agg(F.first("n").alias("n")))
     split = classes.groupBy("gid").count().where("count > 1").select("gid")
     again = met.select("h", "gid", "p").join(classes, "gid").union(
@@ -498,15 +500,19 @@ def _classes(docs: DataFrame, width: int, link_empty: bool, fingerprint: Fingerp
     one = named.select("gid", "label", F.col("key").alias("u"))
     two = named.select(F.col("gid").alias("other_gid"), F.col("label").alias("other_label"), F.col("key").alias("v"))
     expanded = pairs.join(one, ["gid", "label"]).join(two, ["other_gid", "other_label"]).select("u", "v")
+    if more:
+        expanded = stored(expanded.union(more[1](named.select("key", "fp", "label")))
+                          .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     links = links.union(_links(expanded, texts, members, width))
 
     roots = components(links).withColumnRenamed("node", "key")
     least = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
     least = stored(least.join(roots, "key", "left").select("key", "least", label.alias("root")))
     smallest = stored(least.groupBy("root").agg(F.min("least").alias("component_id")))
-    found = rows.select("doc_id", "text_key", "key", "n").join(least.join(smallest, "root").select("key", "component_id"), "key")
+    found = rows.select("doc_id", "text_key", "key", "n").join(least.join(smallest, "root").select("key", "root", "component_id"), "key")
     alone = F.lit(False) if link_empty else F.col("n") == 0
-    return found.select("doc_id", "text_key", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", "text_key", "n", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
 
 def similar_classes(docs: DataFrame, width: int = 5, link_empty: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns
@@ -539,8 +545,11 @@ def deduplicated(docs: DataFrame, width: int = 5, fingerprint: Fingerprint = lam
     only the rest is joined with the list of what goes, so few texts are shuffled.
     """
     found = stored(_classes(docs, width, True, fingerprint, more).where("doc_id IS NOT NULL").groupBy("doc_id", "text_key")
-                   .agg(F.count("*").alias("copies"), F.min(F.col("doc_id") == F.col("component_id")).alias("stays"))
-                   .where("copies > 1 OR NOT stays"))
+                   .agg(F.count("*").alias("copies"), F.min("root").alias("root"), F.min(F.col("doc_id") == F.col("component_id")).alias("least")))
+    first = found.where("least").groupBy("root").agg(F.min("text_key").alias("first"), F.count("*").alias("texts"))
+    several = stored(first.where("texts > 1").select("root", "first"))
+    found = found.join(several, "root", "left").withColumn("stays", F.col("least") & (F.col("first").isNull() | (F.col("text_key") == F.col("first"))))
+    found = stored(found.where("copies > 1 OR NOT stays").select("doc_id", "text_key", "stays"))
     place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(ROW_CLASSES))
     marked = stored(found.select(place.alias("c")).distinct())  # ROW_CLASSES rows at most
     text_key = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))

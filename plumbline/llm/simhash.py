@@ -26,7 +26,6 @@ ITEMS = 1 << 16
 MEAN_BUCKET = 64
 
 FP_SCHEMA = "doc_id bigint, fp bigint"
-LINK_SCHEMA = "u bigint, v bigint"
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -195,6 +194,17 @@ def closest_pairs(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.
     return np.minimum(x, y), np.maximum(x, y)
 
 
+def apart_pairs(fps: np.ndarray, label: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each group all pairs within ``radius`` whose labels differ, by parts: fp, label, fp, label."""
+    for i, j in close_places(fps, starts, radius):
+        differ = label[i] != label[j]
+        i, j = i[differ], j[differ]
+        swap = (fps[i] > fps[j]) | ((fps[i] == fps[j]) & (label[i] > label[j]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        i, j = np.divmod(np.unique(i * len(fps) + j), len(fps))
+        yield fps[i], label[i], fps[j], label[j]
+
+
 def _masks(blocks: int, shared: int) -> list[int]:
     """Masks of every choice of ``shared`` among ``blocks`` nearly equal runs of the 64 bits."""
     cuts = [64 * b // blocks for b in range(blocks + 1)]
@@ -220,42 +230,49 @@ def candidate_masks(count: int, radius: int) -> list[int]:
     return _masks(radius + shared, shared)
 
 
-def fingerprint_links(fps: DataFrame, radius: int,
-                      of_groups: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]] = group_links) -> DataFrame:
-    """(u, v) links among distinct fingerprints (column fp) that connect exactly what
-    pairs within ``radius`` bits connect; with ``closest_pairs`` only pairs that are so close.
+def _met(rows: DataFrame, radius: int, of_groups: Callable[..., Iterator[tuple[np.ndarray, ...]]], out: list[str]) -> DataFrame:
+    """What ``of_groups`` finds among distinct ``rows`` (fp, maybe more numbers), group by group: bigints ``out``.
 
     Fingerprints meet under candidate keys. A bucket of over PART of them is dealt out as
     all pairs of its parts, so a task compares at most two parts at a time.
     """
-    masks = candidate_masks(fps.count(), radius)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
+    own = rows.columns
+    masks = candidate_masks(rows.count(), radius)
+    keyed = rows.select(*own, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
     sizes = keyed.groupBy("t", "key").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64(*own), F.col("parts")).cast("int")
     units = (keyed.join(sizes, ["t", "key"]).withColumn("part", part)
-             .select("fp", "t", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-             .select("fp", "t", "key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")))
+             .select(*own, "t", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+             .select(*own, "t", "key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")))
+    n = len(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((5, 0), np.int64)
+        rest = np.zeros((n + 4, 0), np.int64)
         for batch in batches:
             rows = np.concatenate([rest, np.array([c.to_numpy() for c in batch.columns], np.int64)], axis=1)
-            cut = np.nonzero((rows[1:, 1:] != rows[1:, :-1]).any(axis=0))[0] + 1
+            cut = np.nonzero((rows[n:, 1:] != rows[n:, :-1]).any(axis=0))[0] + 1
             if not len(cut):
                 rest = rows
                 continue
             rest = rows[:, cut[-1]:]
-            yield from linked(rows[0, :cut[-1]], np.concatenate(([0], cut)))
+            yield from found(rows[:n, :cut[-1]], np.concatenate(([0], cut)))
         if rest.shape[1]:
-            yield from linked(rest[0], np.array([0, rest.shape[1]]))
+            yield from found(rest[:n], np.array([0, rest.shape[1]]))
 
-    def linked(ids: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, v = of_groups(np.ascontiguousarray(ids).view(np.uint64), starts, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+    def found(ids: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for columns in of_groups(np.ascontiguousarray(ids[0]).view(np.uint64), *ids[1:], starts, radius):
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], out)
 
     keys = ["t", "key", "a", "b"]
-    return (units.select("fp", *[F.col(k).cast("bigint") for k in keys]).repartition(*keys)
-            .sortWithinPartitions(*keys).mapInArrow(run, LINK_SCHEMA).distinct())
+    return (units.select(*own, *[F.col(k).cast("bigint") for k in keys]).repartition(*keys)
+            .sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{c} bigint" for c in out)).distinct())
+
+
+def fingerprint_links(fps: DataFrame, radius: int,
+                      of_groups: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]] = group_links) -> DataFrame:
+    """(u, v) links among distinct fingerprints (column fp) that connect exactly what
+    pairs within ``radius`` bits connect; with ``closest_pairs`` only pairs that are so close."""
+    return _met(fps, radius, lambda *group: iter([of_groups(*group)]), ["u", "v"])
 
 
 def hex16(fp: Column) -> Column:
@@ -295,8 +312,18 @@ def close_sets(members: DataFrame, radius: int = RADIUS) -> DataFrame:
     return equal.union(near.select(F.least("x", "y"), F.greatest("x", "y")))
 
 
+def apart_sets(members: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): all keys of ``members`` (key, fp, label) whose fingerprints are equal or within
+    ``radius`` and whose labels differ."""
+    points = stored(members.select("fp", "label").distinct())
+    met = stored(_met(points, radius, apart_pairs, ["fp", "label", "other_fp", "other_label"]))
+    one = members.select("fp", "label", F.col("key").alias("u"))
+    return met.join(one, ["fp", "label"]).join(one.toDF("other_fp", "other_label", "v"), ["other_fp", "other_label"]).select("u", "v")
+
+
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` without near copies (see jaccard.deduplicated): fingerprints of the sets of shingles
-    find the closest ones, each pair is decided on the sets themselves, and the sets whose
-    fingerprints lie farther apart meet by their rarest shingles, so that no link is lost."""
-    return jaccard.deduplicated(docs, width, majority, close_sets)
+    """``docs`` without near copies (see jaccard.deduplicated): every two sets of shingles whose
+    fingerprints lie within RADIUS are of one class already, by the closest ones of each, or are
+    compared as sets; and the sets whose fingerprints lie farther apart meet by their rarest
+    shingles, so that no link is lost."""
+    return jaccard.deduplicated(docs, width, majority, (close_sets, apart_sets))

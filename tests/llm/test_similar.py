@@ -151,3 +151,37 @@ def test_what_goes_has_a_near_copy(spark, sf):
     for i in sets.keys() - kept:
         assert any(5 * len(sets[i] & s) >= 4 * len(sets[i] | s) for j, s in sets.items() if j != i), i
     assert 192 in kept
+
+
+def test_fingerprints_within_the_radius_are_all_compared(spark, documents, monkeypatch):
+    """With the join by shingles cut off, similar sets meet also where each has a closer one that is not."""
+    monkeypatch.setattr(jaccard, "nearest", lambda rows: rows.select(rows["key"].alias("u"), rows["key"].alias("v")).limit(0))
+    monkeypatch.setattr(jaccard, "group_pairs", lambda rows: rows.selectExpr("gid", "label", "gid AS other_gid", "label AS other_label").limit(0))
+    fps = {60: 0, 30: 1, 61: 6, 31: 7, 62: 3, 32: 3}
+    monkeypatch.setattr(simhash, "majority", lambda own: fps[len(own)])
+    words = [f"w{k}" for k in range(64)]
+    rows = [
+        (1, " ".join(words)), (2, " ".join(f"b{k}" for k in range(34))), (3, " ".join(words + ["e0"])),
+        (4, " ".join(f"d{k}" for k in range(35))), (5, " ".join(words + ["e1", "e2"])), (6, " ".join(f"f{k}" for k in range(36)))]
+    assert slow_kept(rows) == {1, 2, 4, 6}
+    assert sorted(r.doc_id for r in simhash.deduplicated(documents(rows)).collect()) == [1, 2, 4, 6]
+
+
+@pytest.mark.parametrize("part", [3, 4096])
+def test_apart_sets(spark, monkeypatch, part):
+    """All pairs within the radius and of different labels, from buckets whole or dealt out."""
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 8)
+    fps = [int(base[k % 8]) ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 4)), replace=False)) for k in range(150)]
+    labels = [int(k) for k in rng.integers(0, 3, 150)]
+    rows = [(k, fps[k], labels[k]) for k in range(150)]
+    got = {(min(r), max(r)) for r in map(tuple, simhash.apart_sets(spark.createDataFrame(rows, "key bigint, fp bigint, label bigint")).collect())}
+    assert got == {(u, v) for v in range(150) for u in range(v) if labels[u] != labels[v] and (fps[u] ^ fps[v]).bit_count() <= simhash.RADIUS}
+
+
+def test_near_copies_under_one_id(spark, documents):
+    """Different texts of one id and class are near copies of each other: one stays."""
+    rows = [(4, "A b"), (4, "a B"), (4, "C"), (5, "a b"), (7, ""), (7, None), (7, " ")]
+    got = sorted((r.doc_id, (r.text or "").strip().lower()) for r in simhash.deduplicated(documents(rows)).collect())
+    assert got == [(4, "a b"), (4, "c"), (7, "")]
