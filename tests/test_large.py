@@ -97,3 +97,17 @@ def test_run_export_makes_only_what_a_table_needs(spark, monkeypatch):
     assert not numbered
     reporting.label_export(spark, "/root/testdata/sf0.001")
     assert len(numbered) == 1
+
+
+def test_detail_records_write_nothing_aside(spark, monkeypatch):
+    """Labels are dealt once, as line items, and nothing is written; cases of very many labels give the same rows."""
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(str, reporting.detail_records(spark, sf).collect()))
+    with monkeypatch.context() as no_files:
+        for module in (derive, reporting, skew):
+            no_files.setattr(module, "saved", None)
+        plan = reporting.detail_records(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(exchanged) == 4 and sum("l_partkey" in line for line in exchanged) == 1  # the others: parts, drawings
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    assert sorted(map(str, reporting.detail_records(spark, sf).collect())) == want
