@@ -7,7 +7,7 @@ from plumbline.catalogue import APPLIANCE as CAT
 from plumbline.functions import text as T
 from plumbline.operators import extract as E, history as H
 from plumbline.operators import records as R, reports as P, rollup, skew
-from plumbline.plans import derive, reporting
+from plumbline.plans import chain, derive, reporting
 
 
 def test_broadcast_by_measured_size(spark):
@@ -111,3 +111,18 @@ def test_detail_records_write_nothing_aside(spark, monkeypatch):
     assert len(exchanged) == 4 and sum("l_partkey" in line for line in exchanged) == 1  # the others: parts, drawings
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
     assert sorted(map(str, reporting.detail_records(spark, sf).collect())) == want
+
+
+def test_texts_are_compared_once_where_they_lie(spark, monkeypatch):
+    """Equal texts of a case are compared once and nothing is written; cases of very many labels give the same rows."""
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    want = sorted(map(str, chain.text_case_verdict(spark, sf).collect()))
+    with monkeypatch.context() as no_files:
+        for module in (derive, chain, skew):
+            no_files.setattr(module, "saved", None)
+        once = chain.compared_texts(spark, sf)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert len(want) == labels and once.count() < labels and plan.count("Exchange hashpartitioning") == 4
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    assert sorted(map(str, chain.text_case_verdict(spark, sf).collect())) == want
